@@ -127,8 +127,8 @@ reps AS (SELECT min(doc_id) AS doc_id, n, h FROM n WHERE n > 0 GROUP BY n, h),
 e AS (SELECT doc_id, unnest(s) AS g FROM sets SEMI JOIN reps USING (doc_id)),
 pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN reps p ON p.doc_id = a JOIN reps q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b),
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(comp.c, n.doc_id) AS component_id, n.doc_id = coalesce(comp.c, n.doc_id) AS kept
 FROM n LEFT JOIN reps ON reps.n = n.n AND reps.h = n.h LEFT JOIN comp ON comp.a = reps.doc_id

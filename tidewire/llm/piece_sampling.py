@@ -220,66 +220,103 @@ def sample_paths(lat: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return out, begin
 
 
+M64 = 2**64 - 1
+
+
+def _scalar(x: int) -> float:
+    """_uniform of one number."""
+    x = ((x ^ (x >> 30)) * int(C2)) & M64
+    x = ((x ^ (x >> 27)) * int(C3)) & M64
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
 class Search:
-    """The k samples of one text: occurrences lo..hi of the batch."""
+    """The samples found and the frontier of one text: occurrences lo..hi of the batch."""
 
-    def __init__(self, lat: Lattice, unit: np.ndarray, paths: list, lo: int, hi: int, seed: np.uint64):
+    def __init__(self, lat: Lattice, unit: np.ndarray, paths: list, lo: int, hi: int, seed: int):
         self.lat, self.unit, self.paths, self.lo, self.hi, self.seed, self.draws = lat, unit, paths, lo, hi, seed, 0
-
-    def draw(self, n: int) -> np.ndarray:
-        """n uniform numbers of this text's own stream."""
-        self.draws += n
-        return _uniform(self.seed + C3 * (np.arange(self.draws - n, self.draws, dtype=np.uint64) + np.uint64(1)))
-
-    def bounds(self, loc: np.ndarray, top: float) -> np.ndarray:
-        """Maxima of sets of Gumbel variables of log mass loc, truncated at top."""
-        return loc - np.logaddexp(loc - top, np.log(-np.log(self.draw(len(loc)))))
-
-    def run(self, k: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-        """([(edges, log p, perturbed log p)], kappa)."""
-        lat = self.lat
-        edges, begin = self.paths[0]
-        path = edges[begin[self.lo]:begin[self.hi]]
-        owner = np.repeat(np.arange(self.lo, self.hi), np.diff(begin[self.lo:self.hi + 1]))
-        top = -math.log(-math.log(self.draw(1)[0]))
-        found, fronts = [], []
-        fresh_from = 0
-        while True:
-            log = lat.log[path]
-            phi = np.cumsum(log)
-            found.append((path, float(phi[-1]) if len(phi) else 0.0, top))
-            before = phi - log
-            bound = np.full(len(path), -np.inf)  # the sets before fresh_from stay with the path they were made for
-            if fresh_from < len(path):
-                bound[fresh_from:] = self.bounds(before[fresh_from:] + lat.rest[path[fresh_from:]], top)
-            fronts.append({"path": path, "owner": owner, "phi": before, "bound": bound, "used": {}})
-            tops = [f["bound"].max() for f in fronts]
-            kappa = float(max(tops))
-            f = fronts[tops.index(kappa)]
-            if len(found) == k or not math.isfinite(kappa):
-                return found, kappa
-            j, top = int(f["bound"].argmax()), kappa
-            # Leave f's path at j by an edge not used yet.
-            taken = f["used"].setdefault(j, [int(f["path"][j])])
-            own = int(np.searchsorted(lat.begin, taken[0], side="right") - 1)
-            options = np.setdiff1d(np.arange(lat.begin[own], lat.begin[own + 1]), taken)
-            p = lat.prob[options]
-            e = int(options[min(len(options) - 1, int(np.searchsorted(np.cumsum(p), self.draw(1)[0] * p.sum())))])
-            taken.append(e)
-            left = 1.0 - lat.prob[taken].sum()
-            f["bound"][j] = self.bounds(np.array([f["phi"][j] + math.log(left)]), top)[0] if left > 1e-12 and len(options) > 1 else -np.inf
-            # Finish the unit, then go on with the sample of this turn.
-            occ, added, node = int(f["owner"][j]), [e], own + int(lat.length[e])
-            end = int(lat.first[self.unit[occ]] + lat.size[self.unit[occ]])
-            while node < end:
-                x = int(lat.pick(np.array([node]), self.draw(1))[0])
-                added.append(x)
-                node += int(lat.length[x])
-            edges, begin = self.paths[len(found)]
-            tail = edges[begin[occ + 1]:begin[self.hi]]
-            path = np.concatenate([f["path"][:j], added, tail]).astype(np.int64)
-            owner = np.concatenate([f["owner"][:j], np.full(len(added), occ), np.repeat(np.arange(occ + 1, self.hi), np.diff(begin[occ + 1:self.hi + 1]))])
-            fresh_from = j + 1
+        self.found: list[tuple[np.ndarray, float, float]] = []
+        self.fronts: list[dict] = []
+        edges, begin = paths[0]
+        self.path, self.fresh_from = edges[begin[lo]:begin[hi]], 0
+        self.owner = np.repeat(np.arange(lo, hi), np.diff(begin[lo:hi + 1]))
+        self.top, self.kappa = -math.log(-math.log(self.draw())), -math.inf
+
+    def draw(self) -> float:
+        """The next uniform number of this text's own stream."""
+        self.draws += 1
+        return _scalar((self.seed + int(C3) * self.draws) & M64)
+
+    def add(self, before: np.ndarray, total: float, bound: np.ndarray) -> None:
+        """Take in the present path: log p before each of its edges and in all, and the bounds of the sets that leave it."""
+        self.found.append((self.path, total, self.top))
+        self.fronts.append({"path": self.path, "owner": self.owner, "before": before, "bound": bound, "used": {}})
+        tops = [float(f["bound"].max()) for f in self.fronts]
+        self.kappa = max(tops)
+        self.best = tops.index(self.kappa)
+
+    def go_on(self) -> bool:
+        """Make the next path from the largest frontier entry; False if there is none."""
+        if not math.isfinite(self.kappa):
+            return False
+        lat, f = self.lat, self.fronts[self.best]
+        j, self.top = int(f["bound"].argmax()), self.kappa
+        taken = f["used"].setdefault(j, [int(f["path"][j])])
+        own = int(np.searchsorted(lat.begin, taken[0], side="right") - 1)
+        options = [e for e in range(int(lat.begin[own]), int(lat.begin[own + 1])) if e not in taken]
+        p = [float(lat.prob[e]) for e in options]
+        u, e = self.draw() * sum(p), options[-1]
+        for x, y in zip(options, p, strict=True):
+            if u < y:
+                e = x
+                break
+            u -= y
+        taken.append(e)
+        left = sum(y for x, y in zip(options, p, strict=True) if x != e)
+        # What is still left of the set, below the value just taken.
+        if left > 1e-12:
+            loc = float(f["before"][j]) + math.log(left)
+            f["bound"][j] = loc - np.logaddexp(loc - self.top, math.log(-math.log(self.draw())))
+        else:
+            f["bound"][j] = -math.inf
+        # Finish the unit, then go on with the sample of this turn.
+        occ, added, node = int(f["owner"][j]), [e], own + int(lat.length[e])
+        end = int(lat.first[self.unit[occ]] + lat.size[self.unit[occ]])
+        while node < end:
+            x, u = int(lat.begin[node]), self.draw()
+            while u >= lat.cdf[x]:
+                x += 1
+            added.append(x)
+            node += int(lat.length[x])
+        edges, begin = self.paths[len(self.found)]
+        self.path = np.concatenate([f["path"][:j], added, edges[begin[occ + 1]:begin[self.hi]]]).astype(np.int64)
+        self.owner = np.concatenate([f["owner"][:j], np.full(len(added), occ), np.repeat(np.arange(occ + 1, self.hi), np.diff(begin[occ + 1:self.hi + 1]))])
+        self.fresh_from = j + 1
+        return True
+
+
+def search_all(lat: Lattice, live: list[Search], k: int) -> None:
+    """Run the searches together: a turn adds one path to each text, and the bounds of all its sets are drawn at once."""
+    for turn in range(k):
+        sizes = np.array([len(s.path) for s in live], np.int64)
+        ends = np.cumsum(sizes)
+        path = np.concatenate([s.path for s in live]) if live else np.zeros(0, np.int64)
+        log = lat.log[path]
+        total = np.cumsum(log)
+        start = np.concatenate([[0.0], total])[ends - sizes]
+        before = total - log - np.repeat(start, sizes)
+        local = np.arange(len(path)) - np.repeat(ends - sizes, sizes)
+        seeds = np.array([s.seed for s in live], np.uint64) ^ np.uint64((turn + 1) * 0xA0761D6478BD642F & M64)
+        u = _uniform(np.repeat(seeds, sizes) + C1 * (local.astype(np.uint64) + np.uint64(1)))
+        loc = before + lat.rest[path]
+        bound = loc - np.logaddexp(loc - np.repeat(np.array([s.top for s in live]), sizes), np.log(-np.log(u)))
+        # Sets before fresh_from stay with the path they were made for.
+        bound[local < np.repeat(np.array([s.fresh_from for s in live]), sizes)] = -np.inf
+        for i, s in enumerate(live):
+            b, e = ends[i] - sizes[i], ends[i]
+            s.add(before[b:e], float(total[e - 1] - start[i]), bound[b:e])
+        live = [s for s in live if s.go_on()] if turn + 1 < k else []
 
 
 def _row_seed(key, seed: int) -> int:
@@ -303,12 +340,14 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     sizes = np.diff(ends)
     occ_key = np.repeat(own, sizes) + C2 * (np.arange(len(unit), dtype=np.uint64) - np.repeat(np.array(ends[:-1], np.uint64), sizes))
     paths = [sample_paths(lat, unit_a, occ_key ^ np.uint64((r + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) for r in range(k)]
+    searches = {i: Search(lat, unit_a, paths, ends[i], ends[i + 1], int(own[i] ^ C1)) for i in range(len(texts)) if sizes[i]}
+    search_all(lat, list(searches.values()), k)
     out = []
     for i in range(len(texts)):
         if sizes[i] == 0:
             out.append([(np.zeros(0, np.int32), 0.0, 0.0, 0.0)])
             continue
-        found, kappa = Search(lat, unit_a, paths, ends[i], ends[i + 1], own[i] ^ C1).run(k)
+        found, kappa = searches[i].found, searches[i].kappa
         rows = []
         for path, lp, g in found:
             ids = lat.piece[path]
@@ -320,7 +359,7 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 5_000_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
 

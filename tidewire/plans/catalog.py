@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+from tidewire.plans.registry import ORACLES, QUERIES
+
+MODULES = ["overview"]
+for _name in MODULES:
+    importlib.import_module(f"tidewire.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -6,7 +6,7 @@ import importlib
 
 from tidewire.plans.registry import ORACLES, QUERIES
 
-MODULES = ["overview", "articles"]
+MODULES = ["overview", "articles", "vectors", "observability"]
 for _name in MODULES:
     importlib.import_module(f"tidewire.plans.{_name}")
 

@@ -6,8 +6,9 @@
 2. Candidates share a band.  In a band's bucket everybody is compared with the bucket's hub (the representative that
    comes first in a hashed order), not with each other.  Then those of a bucket that aren't in their hub's component
    get a hub of their own; last, the representatives of a bucket that still lie in different components are compared
-   with each other, so no link that would join two components is missed for want of a hub.
-3. A candidate pair's signatures are compared batch by batch.  After each batch the posterior probability (uniform
+   with each other, so no link that would join two components is missed for want of a hub.  That comparison is done
+   in blocks of about 800 rows on signatures alone and hands on just the pairs that pass; no pair is made a row first.
+3. A candidate pair's signatures are compared batch by batch (blocks add a one-permutation sketch of 512 bins).  After each batch the posterior probability (uniform
    prior, so a Beta law) that the similarity reaches the threshold is looked up in a table of the least number of
    agreements; a pair whose probability falls under the miss probability is pruned.
 4. Survivors are verified exactly on their full shingle sets: 100 * intersection >= percent * union.
@@ -130,8 +131,34 @@ def least_agreements(percent: int, total: int, batch: int, miss: float, bits: in
     return tuple(out)
 
 
+BINS = 512
+
+
+def one_permutation(s: np.ndarray) -> bytes:
+    """A byte for each of 512 bins of a sorted set of hashes: from the smallest hash of the bin, 0 if it has none."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique((s >> np.uint64(55)).astype(np.int64), return_index=True)
+    out[bins] = 1 + (s[first] % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
+@lru_cache(4)
+def least_of_bins(percent: int, miss: float) -> np.ndarray:
+    """Least agreements by the number of bins in use, in steps of 8: fewer, and P(similarity >= threshold) < miss."""
+    s = (np.arange(1000) + 0.5) / 1000
+    p = s + (1 - s) / 255
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(8, BINS + 1, 8):
+        m = np.arange(n + 1)[:, None]
+        log = m * np.log(p) + (n - m) * np.log1p(-p)
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        fine = w[:, s >= percent / 100].sum(axis=1) / w.sum(axis=1) >= miss
+        out[n:n + 8] = int(np.flatnonzero(fine)[0])
+    return out
+
+
 def sketches(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """_id, _n, _k1, _k2 (hash of the set), _sig (a byte of each value), _bands; the last three null for empty sets."""
+    """_id, _n, _k1, _k2 (hash of the set), _sig (a byte of each value), _oph (512 bins), _bands; null for empty sets."""
     ship(docs.sparkSession)
     total = plan.bands * plan.rows
 
@@ -140,19 +167,19 @@ def sketches(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFra
             rows = []
             for s in shingles(part["_t"].tolist(), plan.words):
                 if not len(s):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 sig = signature(s, total)
                 bands = sig.reshape(plan.bands, plan.rows)
                 keys = [xxhash.xxh3_64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(bands)]
                 raw = s.tobytes()
-                rows.append((len(s), xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63), xxhash.xxh3_64_intdigest(raw, 2) - (1 << 63), (sig & 0xFF).astype(np.uint8).tobytes(), keys))
-            out = pd.DataFrame(rows, columns=["_n", "_k1", "_k2", "_sig", "_bands"]).astype({"_k1": "Int64", "_k2": "Int64"})
+                rows.append((len(s), xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63), xxhash.xxh3_64_intdigest(raw, 2) - (1 << 63), (sig & 0xFF).astype(np.uint8).tobytes(), one_permutation(s), keys))
+            out = pd.DataFrame(rows, columns=["_n", "_k1", "_k2", "_sig", "_oph", "_bands"]).astype({"_k1": "Int64", "_k2": "Int64"})
             out.insert(0, "_id", part["_id"].to_numpy())
             yield out
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")).where(F.col("_id").isNotNull())
-    return rows.mapInPandas(run, "_id bigint, _n bigint, _k1 bigint, _k2 bigint, _sig binary, _bands array<bigint>")
+    return rows.mapInPandas(run, "_id bigint, _n bigint, _k1 bigint, _k2 bigint, _sig binary, _oph binary, _bands array<bigint>")
 
 
 def _survivors(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
@@ -181,32 +208,76 @@ def _survivors(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose full sets are similar enough.  Only texts that occur in a pair are read again."""
+def _sets(ids: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """Full shingle sets of the listed documents, written once; of rows that repeat an id the largest set."""
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "_t", 2_000_000):
             got = shingles(part["_t"].tolist(), plan.words)
             yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": [s.tobytes() for s in got]})
 
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
+    return keep(texts.join(ids, "_id", "left_semi").mapInPandas(run, "_id bigint, _set binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ok = []
             for p, q in zip(f["sa"], f["sb"], strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= plan.percent * (len(x) + len(y) - inter))
+                ok.append(100 * inter >= plan.percent * (len(both) - inter))
             yield f.loc[np.array(ok, bool), ["a", "b"]]
 
-    need = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
-    found = keep(texts.join(need, "_id", "left_semi").mapInPandas(sets, "_id bigint, _set binary"), "sets")
-    side = lambda k: found.select(F.col("_id").alias(k), F.col("_set").alias(f"s{k}"))
+    side = lambda k: sets.select(F.col("_id").alias(k), F.col("_set").alias(f"s{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(check, "a bigint, b bigint").distinct()
 
 
+def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
+    """Pairs (a, b) of a bucket's rows in different components that pass the sequential test and that of the bins.
+
+    rows: _key, _id, _c, _n, _sig, _oph.  A bucket is dealt into blocks by a hash; a task compares two blocks.
+    """
+    total = plan.bands * plan.rows
+    steps = least_agreements(plan.percent, total, plan.batch, plan.miss)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = f[f["_blk"] == f["_p"]]
+        y = f[f["_blk"] == f["_q"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sig = lambda g: np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), total)
+        oph = lambda g: np.frombuffer(b"".join(g["_oph"]), np.uint8).reshape(len(g), BINS)
+        sx, sy, ox, oy, least = sig(x), sig(y), oph(x), oph(y), least_of_bins(plan.percent, plan.miss)
+        cx, cy, nx, ny, ix, iy = (g[k].to_numpy() for k in ("_c", "_n", "_id") for g in (x, y))
+        found = []
+        for i in range(len(x)):
+            j = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= plan.percent * np.maximum(ny, nx[i])))
+            agreed, before = np.zeros(len(j), np.int64), 0
+            for n, most in steps:
+                if not len(j):
+                    break
+                agreed = agreed + (sy[j, before:n] == sx[i, before:n]).sum(axis=1)
+                stay = agreed >= most
+                j, agreed, before = j[stay], agreed[stay], n
+            if len(j):
+                used = (oy[j] > 0) | (ox[i] > 0)
+                same = ((oy[j] == ox[i]) & used).sum(axis=1)
+                j = j[same >= least[used.sum(axis=1)]]
+                found.append(np.stack([np.minimum(iy[j], ix[i]), np.maximum(iy[j], ix[i])], 1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    blocks = rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_m"))
+    dealt = rows.join(blocks, "_key").withColumn("_blk", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_m")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).withColumns({"_p": F.least("_o", "_blk"), "_q": F.greatest("_o", "_blk")})
+    return dealt.select("_key", "_p", "_q", "_blk", "_id", "_c", "_n", "_sig", "_oph").groupBy("_key", "_p", "_q").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
 def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable), kept; a row for each row of docs."""
     plan = plan or Plan()
@@ -214,14 +285,16 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     filled = own.where(F.col("_n") > 0)
     classes = keep(filled.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep")), "classes")
     member = filled.join(classes, ["_k1", "_k2"])
-    reps = keep(member.where(F.col("_id") == F.col("_rep")).select("_id", "_n", "_sig", "_bands").dropDuplicates(["_id"]), "reps")
+    reps = keep(member.where(F.col("_id") == F.col("_rep")).select("_id", "_n", "_sig", "_oph", "_bands").dropDuplicates(["_id"]), "reps")
     order = F.xxhash64("_id")
     banded = reps.select("_id", order.alias("_o"), F.posexplode("_bands").alias("_p", "_v")).select("_id", "_o", F.xxhash64("_p", "_v").alias("_key"))
     shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("_o", "_id")).alias("_h")).where(F.col("_m") > 1)
     buckets = keep(banded.join(shared.select("_key", F.col("_h._id").alias("_hub")), "_key").select("_key", "_id", "_o", "_hub"), "buckets")
 
+    sets = _sets(buckets.select("_id").distinct(), docs, plan, id_col, text_col)
+
     def links_of(pairs: DataFrame) -> DataFrame:
-        return keep(_verified(keep(_survivors(pairs, reps, plan), "survivors"), docs, plan, id_col, text_col), "links")
+        return keep(_verified(_survivors(pairs, reps, plan), sets, plan), "links")
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = links_of(buckets.where(F.col("_id") != F.col("_hub")).select(*ordered(F.col("_id"), F.col("_hub"))).distinct())
@@ -243,12 +316,8 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     # Buckets that still hold several components: compare across components, each pair once, smaller component first.
     placed = labelled(buckets.select("_key", "_id"), "_id", "_c")
     mixed = placed.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-    sizes = reps.select("_id", "_n")
-    left_over = keep(placed.join(mixed.select("_key"), "_key", "left_semi").join(sizes, "_id"), "left_over")
-    x, y = left_over.alias("x"), left_over.alias("y")
-    close = (F.col("x._n") * 100 >= F.col("y._n") * plan.percent) & (F.col("y._n") * 100 >= F.col("x._n") * plan.percent)
-    across = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x._c") < F.col("y._c")) & close).select(*ordered(F.col("x._id"), F.col("y._id"))).distinct()
-    last = links_of(across)
+    left_over = keep(placed.join(mixed.select("_key"), "_key", "left_semi").join(reps.select("_id", "_n", "_sig", "_oph"), "_id"), "left_over")
+    last = keep(_verified(keep(_across(left_over, plan), "across"), sets, plan), "links")
     if not last.isEmpty():
         links = links.unionByName(last)
         label = components(links)

@@ -8,7 +8,7 @@
    get a hub of their own; last, the representatives of a bucket that still lie in different components are compared
    with each other, so no link that would join two components is missed for want of a hub.  That comparison is done
    in blocks of about 800 rows on signatures alone and hands on just the pairs that pass; no pair is made a row first.
-3. A candidate pair's signatures are compared batch by batch (blocks add a one-permutation sketch of 512 bins).  After each batch the posterior probability (uniform
+3. A candidate pair's signatures are compared batch by batch (blocks add a one-permutation sketch of 1024 bins).  After each batch the posterior probability (uniform
    prior, so a Beta law) that the similarity reaches the threshold is looked up in a table of the least number of
    agreements; a pair whose probability falls under the miss probability is pruned.
 4. Survivors are verified exactly on their full shingle sets: 100 * intersection >= percent * union.
@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -131,34 +132,30 @@ def least_agreements(percent: int, total: int, batch: int, miss: float, bits: in
     return tuple(out)
 
 
-BINS = 512
+BINS, BIN_SHIFT = 1024, 54
 
 
 def one_permutation(s: np.ndarray) -> bytes:
-    """A byte for each of 512 bins of a sorted set of hashes: from the smallest hash of the bin, 0 if it has none."""
+    """A byte for each of 1024 bins of a sorted set of hashes: from the smallest hash of the bin, 0 if it has none."""
     out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((s >> np.uint64(55)).astype(np.int64), return_index=True)
+    bins, first = np.unique((s >> np.uint64(BIN_SHIFT)).astype(np.int64), return_index=True)
     out[bins] = 1 + (s[first] % np.uint64(255)).astype(np.uint8)
     return out.tobytes()
 
 
-@lru_cache(4)
-def least_of_bins(percent: int, miss: float) -> np.ndarray:
-    """Least agreements by the number of bins in use, in steps of 8: fewer, and P(similarity >= threshold) < miss."""
-    s = (np.arange(1000) + 0.5) / 1000
-    p = s + (1 - s) / 255
-    out = np.zeros(BINS + 1, np.int64)
-    for n in range(8, BINS + 1, 8):
-        m = np.arange(n + 1)[:, None]
-        log = m * np.log(p) + (n - m) * np.log1p(-p)
-        w = np.exp(log - log.max(axis=1, keepdims=True))
-        fine = w[:, s >= percent / 100].sum(axis=1) / w.sum(axis=1) >= miss
-        out[n:n + 8] = int(np.flatnonzero(fine)[0])
-    return out
+def least_of_bins(percent: int, used: np.ndarray, union: np.ndarray, miss: float) -> np.ndarray:
+    """Least share of agreeing bins: below it P(similarity >= threshold) < miss.
+
+    The bins in use are a sample of the union without replacement, so the deviation shrinks with the part left out.
+    """
+    t = percent / 100
+    z = NormalDist().inv_cdf(1 - miss / 2)
+    left_out = np.maximum(0.02, 1 - used / np.maximum(union, used))
+    return t - z * np.sqrt(t * (1 - t) / np.maximum(1, used) * left_out) - 1 / np.maximum(1, used)
 
 
 def sketches(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """_id, _n, _k1, _k2 (hash of the set), _sig (a byte of each value), _oph (512 bins), _bands; null for empty sets."""
+    """_id, _n, _k1, _k2 (hash of the set), _sig (a byte of each value), _oph (1024 bins), _bands; null for empty sets."""
     ship(docs.sparkSession)
     total = plan.bands * plan.rows
 
@@ -240,7 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
     """Pairs (a, b) of a bucket's rows in different components that pass the sequential test and that of the bins.
 
-    rows: _key, _id, _c, _n, _sig, _oph.  A bucket is dealt into blocks by a hash; a task compares two blocks.
+    rows: _key, _band, _id, _c, _n, _sig, _oph.  A bucket is dealt into blocks by a hash; a task compares two blocks.
     """
     total = plan.bands * plan.rows
     steps = least_agreements(plan.percent, total, plan.batch, plan.miss)
@@ -252,7 +249,7 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sig = lambda g: np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), total)
         oph = lambda g: np.frombuffer(b"".join(g["_oph"]), np.uint8).reshape(len(g), BINS)
-        sx, sy, ox, oy, least = sig(x), sig(y), oph(x), oph(y), least_of_bins(plan.percent, plan.miss)
+        sx, sy, ox, oy, band = sig(x), sig(y), oph(x), oph(y), int(f["_band"].iloc[0])
         cx, cy, nx, ny, ix, iy = (g[k].to_numpy() for k in ("_c", "_n", "_id") for g in (x, y))
         found = []
         for i in range(len(x)):
@@ -267,7 +264,12 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
             if len(j):
                 used = (oy[j] > 0) | (ox[i] > 0)
                 same = ((oy[j] == ox[i]) & used).sum(axis=1)
-                j = j[same >= least[used.sum(axis=1)]]
+                n = used.sum(axis=1)
+                union = (ny[j] + nx[i]) / (1 + plan.percent / 100)
+                j = j[same >= least_of_bins(plan.percent, n, union, plan.miss) * n]
+                # Each pair once: in the first band that it shares.
+                shared = (sy[j] == sx[i]).reshape(len(j), plan.bands, plan.rows).all(axis=2)
+                j = j[shared.argmax(axis=1) == band]
                 found.append(np.stack([np.minimum(iy[j], ix[i]), np.maximum(iy[j], ix[i])], 1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
@@ -275,7 +277,7 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
     blocks = rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_m"))
     dealt = rows.join(blocks, "_key").withColumn("_blk", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_m")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).withColumns({"_p": F.least("_o", "_blk"), "_q": F.greatest("_o", "_blk")})
-    return dealt.select("_key", "_p", "_q", "_blk", "_id", "_c", "_n", "_sig", "_oph").groupBy("_key", "_p", "_q").applyInPandas(run, "a bigint, b bigint").distinct()
+    return dealt.select("_key", "_band", "_p", "_q", "_blk", "_id", "_c", "_n", "_sig", "_oph").groupBy("_key", "_p", "_q").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,9 +289,9 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     member = filled.join(classes, ["_k1", "_k2"])
     reps = keep(member.where(F.col("_id") == F.col("_rep")).select("_id", "_n", "_sig", "_oph", "_bands").dropDuplicates(["_id"]), "reps")
     order = F.xxhash64("_id")
-    banded = reps.select("_id", order.alias("_o"), F.posexplode("_bands").alias("_p", "_v")).select("_id", "_o", F.xxhash64("_p", "_v").alias("_key"))
+    banded = reps.select("_id", order.alias("_o"), F.posexplode("_bands").alias("_band", "_v")).select("_id", "_o", "_band", F.xxhash64("_band", "_v").alias("_key"))
     shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("_o", "_id")).alias("_h")).where(F.col("_m") > 1)
-    buckets = keep(banded.join(shared.select("_key", F.col("_h._id").alias("_hub")), "_key").select("_key", "_id", "_o", "_hub"), "buckets")
+    buckets = keep(banded.join(shared.select("_key", F.col("_h._id").alias("_hub")), "_key").select("_key", "_band", "_id", "_o", "_hub"), "buckets")
 
     sets = _sets(buckets.select("_id").distinct(), docs, plan, id_col, text_col)
 
@@ -314,10 +316,11 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
         label = components(links)
 
     # Buckets that still hold several components: compare across components, each pair once, smaller component first.
-    placed = labelled(buckets.select("_key", "_id"), "_id", "_c")
+    placed = labelled(buckets.select("_key", "_band", "_id"), "_id", "_c")
     mixed = placed.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
     left_over = keep(placed.join(mixed.select("_key"), "_key", "left_semi").join(reps.select("_id", "_n", "_sig", "_oph"), "_id"), "left_over")
-    last = keep(_verified(keep(_across(left_over, plan), "across"), sets, plan), "links")
+    across = keep(_across(left_over, plan), "across")
+    last = keep(_verified(across, sets, plan), "links")
     if not last.isEmpty():
         links = links.unionByName(last)
         label = components(links)

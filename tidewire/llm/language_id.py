@@ -111,10 +111,12 @@ class Model:
         return got[stay]
 
     def dense(self, nxt: list[dict[int, int]]) -> np.ndarray:
-        root = np.zeros(self.width, np.int32)
+        dead = len(nxt)  # a letter that the sample lacks is a phrase of its own
+        root = np.full(self.width, dead, np.int32)
         for c, q in nxt[0].items():
             root[c] = q
-        table = np.tile(root | FLAG, (len(nxt), 1))
+        table = np.tile(root | FLAG, (len(nxt) + 1, 1))
+        table[0] = root
         for s, row in enumerate(nxt):
             if row:
                 table[s, list(row)] = list(row.values())

@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,12 +147,12 @@ class Lattice:
         last = self.begin[1:] - 1
         if len(last):
             self.cdf[last] = 2.0
-        self.log = np.log(np.maximum(self.prob, 1e-300))
+        self.log = np.log(np.maximum(self.prob, 1e-300)).astype(np.float32)
         with np.errstate(divide="ignore"):
             rest = 1.0 - self.prob
-            self.rest = np.log(np.where(rest < 1e-12, 0.0, rest))  # log mass of a node's other edges
+            self.rest = np.log(np.where(rest < 1e-12, 0.0, rest)).astype(np.float32)  # log mass of a node's other edges
 
-    def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 20_000):
+    def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 8_000):
         most = min(v.longest, size)
         for b in range(0, len(code), step):
             c = code[b:b + step]
@@ -184,7 +185,7 @@ class Lattice:
                 beta[:, i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
             real = np.isfinite(weight)
             r, i, m = np.nonzero(real)
-            yield real.sum(axis=2).ravel(), m + 1, piece[real], np.exp(weight[real] + beta[r, i + m + 1] - beta[r, i])
+            yield real.sum(axis=2).ravel(), (m + 1).astype(np.int8), piece[real], np.exp(weight[real] + beta[r, i + m + 1] - beta[r, i])
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at quantile u."""
@@ -303,7 +304,7 @@ def search_all(lat: Lattice, live: list[Search], k: int) -> None:
         ends = np.cumsum(sizes)
         path = np.concatenate([s.path for s in live]) if live else np.zeros(0, np.int64)
         log = lat.log[path]
-        total = np.cumsum(log)
+        total = np.cumsum(log, dtype=np.float64)
         start = np.concatenate([[0.0], total])[ends - sizes]
         before = total - log - np.repeat(start, sizes)
         local = np.arange(len(path)) - np.repeat(ends - sizes, sizes)
@@ -359,29 +360,29 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 5_000_000) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 2_500_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
         for batch in batches:
-            every = batch.column("_t").to_pylist()
+            sizes = pc.fill_null(pc.utf8_length(batch.column("_t")), 0).to_numpy(zero_copy_only=False)
             begin = 0
-            while begin < len(every):
+            while begin < len(sizes):
                 end, held = begin, 0
-                while end < len(every) and (end == begin or held + len(every[end] or "") <= most_chars):
-                    held += len(every[end] or "")
+                while end < len(sizes) and (end == begin or held + sizes[end] <= most_chars):
+                    held += sizes[end]
                     end += 1
                 part = batch.slice(begin, end - begin)
-                texts, keys = every[begin:end], part.column("_id").to_pylist()
+                texts, keys = part.column("_t").to_pylist(), part.column("_id").to_pylist()
                 got = encode_batch(keys, texts, v, k, seed)
                 rows = [(i, s, *x) for i, samples in enumerate(got) for s, x in enumerate(samples)]
-                sizes = np.array([len(r[2]) for r in rows], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
+                lens = np.array([len(r[2]) for r in rows], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
                 ok = [v.decode(r[2].tolist()) == (texts[r[0]] or "") for r in rows]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(sizes, pa.int32()), ids,
+                    part.column("_id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(lens, pa.int32()), ids,
                     *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)], pa.array(ok, pa.bool_())],
                     names=["_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
                 begin = end

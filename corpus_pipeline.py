@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every text."""
-    return piece_sampling.encode(docs)
+    return piece_sampling.encode(docs, most_chars=2_500_000)  # executors hold the earlier stages' heap
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", pieces)]

@@ -152,7 +152,7 @@ class Lattice:
             rest = 1.0 - self.prob
             self.rest = np.log(np.where(rest < 1e-12, 0.0, rest)).astype(np.float32)  # log mass of a node's other edges
 
-    def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 8_000):
+    def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 20_000):
         most = min(v.longest, size)
         for b in range(0, len(code), step):
             c = code[b:b + step]
@@ -360,7 +360,7 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 2_500_000) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 4_500_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
 

@@ -74,9 +74,13 @@ class Vocabulary:
         for rank, (p, i) in enumerate(sorted(pieces, key=lambda x: (-sp.get_score(x[1]), x[1]))):
             own[len(p)].append((self.hash_of(p), i, -alpha * (math.log(rank + 2.0) + flat)))
         rows = [r for n in sorted(own) for r in own[n]]
+        self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.begin_of = np.cumsum(self.size_of) - self.size_of
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.keys, self.ids, self.weights = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])
         # Two hash tables: keys that lose their slot of the first are in the second (its load is tiny).
-        self.slots = [np.full(1 << 20, -1, np.int32), np.full(1 << 20, -1, np.int32)]
+        small = np.int16 if len(rows) < 1 << 15 else np.int32
+        self.slots = [np.full(1 << 20, -1, small), np.full(1 << 20, -1, small)]
         late = []
         for i, slot in enumerate(self.slot_of(self.keys, 0)):
             if self.slots[0][slot] < 0:
@@ -87,11 +91,13 @@ class Vocabulary:
             if self.slots[1][slot] >= 0:
                 raise ValueError("two pieces share both slots")
             self.slots[1][slot] = i
-        self.byte_weight = -alpha * (math.log(len(pieces)) + flat)
+        # After the pieces: characters that are none, of one to four bytes; the last entry, number -1, is no edge.
+        byte_weight = -alpha * (math.log(len(pieces)) + flat)
+        self.weights = np.concatenate([self.weights, byte_weight * np.arange(1, 5), [-np.inf]])
 
     @staticmethod
     def slot_of(h: np.ndarray, which: int) -> np.ndarray:
-        return ((h * (C1 if which == 0 else C3)) >> np.uint64(44)).astype(np.int32)
+        return ((h * (C1 if which == 0 else C3)) >> np.uint64(44)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat places in h that are pieces, their numbers)."""
@@ -99,7 +105,7 @@ class Vocabulary:
         got = self.slots[0].take(self.slot_of(h, 0))
         full = np.flatnonzero(got >= 0)
         no = got[full]
-        same = self.keys[no] == h[full]
+        same = self.keys.take(no) == h.take(full)
         other = full[~same]
         second = self.slots[1].take(self.slot_of(h[other], 1))
         ok = (second >= 0) & (self.keys[second] == h[other])
@@ -112,9 +118,23 @@ class Vocabulary:
             h = (h * int(BASE) + ord(c) + 7) & (2**64 - 1)
         return h
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray, step: int = 500_000) -> list[bytes]:
+        """The UTF-8 text of each run of ids; run i ends before ids[ends[i]]."""
+        out, b = [], 0
+        while b < len(ends):
+            lo = int(ends[b - 1]) if b else 0
+            e = max(b + 1, int(np.searchsorted(ends, lo + step, side="right")))
+            part = ids[lo:int(ends[e - 1])]
+            sizes = self.size_of.take(part)
+            to = np.cumsum(sizes)
+            data = self.all_bytes.take(np.repeat(self.begin_of.take(part) - to + sizes, sizes) + np.arange(to[-1] if len(to) else 0)).tobytes()
+            cuts = np.concatenate([[0], to]).take(np.concatenate([[lo], ends[b:e]]) - lo).tolist()
+            out += [data[x + (data[x:x + 1] == b" " and x < y):y] for x, y in zip(cuts, cuts[1:])]
+            b = e
+        return out
+
     def decode(self, ids) -> str:
-        out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
-        return out[1:] if out.startswith(" ") else out
+        return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(2)
@@ -154,62 +174,73 @@ class Lattice:
 
     def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 20_000):
         most = min(v.longest, size)
+        byte0 = np.array([v.byte_id[x] for x in range(128)], np.int64)
         for b in range(0, len(code), step):
             c = code[b:b + step]
             n = len(c)
             pre = np.zeros((n, size + 1), np.uint64)
             for i in range(size):
                 pre[:, i + 1] = pre[:, i] * BASE + c[:, i] + np.uint64(7)
-            weight = np.full((n, size, most), -np.inf)
-            piece = np.zeros((n, size, most), np.int32)
+            number = np.full((n, size, most), -1, np.int32)  # of the piece that fits, by row, place and length
             for m in range(1, most + 1):
                 power = np.uint64(pow(int(BASE), m, 2**64))
                 wide = size - m + 1
                 at, no = v.find(pre[:, m:] - pre[:, :wide] * power)
-                flat = (at // wide * size + at % wide) * most + (m - 1)
-                weight.ravel()[flat] = v.weights[no]
-                piece.ravel()[flat] = v.ids[no]
-            bare = np.isneginf(weight[:, :, 0])  # characters that are no piece
+                number.ravel()[(at // wide * size + at % wide) * most + (m - 1)] = no
+            bare = number[:, :, 0] < 0  # characters that are no piece
             if bare.any():
                 own = c[bare]
                 own = np.where(own == 0xD800, 0x2581, own).astype(np.int64)
-                width = np.select([own < 0x80, own < 0x800, own < 0x10000], [1, 2, 3], 4)
-                byte0 = np.array([v.byte_id[x] for x in range(128)], np.int64)
-                weight[:, :, 0][bare] = v.byte_weight * width
-                piece[:, :, 0][bare] = np.where(own < 0x80, byte0[np.minimum(own, 127)], own + WIDE)
-            beta = np.full((n, size + 1), 0.0)
+                number[:, :, 0][bare] = len(v.ids) + np.select([own < 0x80, own < 0x800, own < 0x10000], [0, 1, 2], 3)
+            weight = v.weights.take(number.transpose(1, 2, 0), mode="wrap")  # rows last: sums run along whole columns
+            beta = np.zeros((size + 1, n))
             for i in range(size - 1, -1, -1):
                 k = min(most, size - i)
-                s = weight[:, i, :k] + beta[:, i + 1:i + 1 + k]
-                top = s.max(axis=1)
-                beta[:, i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-            real = np.isfinite(weight)
-            r, i, m = np.nonzero(real)
-            yield real.sum(axis=2).ravel(), (m + 1).astype(np.int8), piece[real], np.exp(weight[real] + beta[r, i + m + 1] - beta[r, i])
+                x = weight[i, :k] + beta[i + 1:i + 1 + k]
+                top = x.max(axis=0)
+                x -= top
+                np.exp(x, out=x)
+                beta[i] = top + np.log(x.sum(axis=0))
+            edge = np.flatnonzero(number >= 0)
+            no = number.ravel().take(edge)
+            node, m = edge // most, edge % most
+            r, i = node // size, node % size
+            piece = v.ids.take(no, mode="clip")
+            odd = np.flatnonzero(no >= len(v.ids))
+            if len(odd):
+                own = c.ravel().take(node.take(odd)).astype(np.int64)
+                own = np.where(own == 0xD800, 0x2581, own)
+                piece[odd] = np.where(own < 0x80, byte0.take(own, mode="clip"), own + WIDE)
+            flat = beta.ravel()
+            log = v.weights.take(no) + flat.take((i + m + 1) * n + r) - flat.take(i * n + r)
+            yield np.bincount(node, minlength=n * size), (m + 1).astype(np.int8), piece, np.exp(log)
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at quantile u."""
-        e = self.begin[node]
-        todo = np.flatnonzero(u >= self.cdf[e])
+        e = self.begin.take(node)
+        todo = np.flatnonzero(u >= self.cdf.take(e))
+        u, at = u.take(todo), e.take(todo)
         while len(todo):
-            e[todo] += 1
-            todo = todo[u[todo] >= self.cdf[e[todo]]]
+            at += 1
+            more = u >= self.cdf.take(at)
+            e[todo] = at  # the last word stands
+            todo, u, at = todo[more], u[more], at[more]
         return e
 
 
 def sample_paths(lat: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A path through every unit occurrence: (edges, begin of each occurrence's edges)."""
-    node, left = lat.first[unit], lat.size[unit].astype(np.int64)
+    node, left = lat.first.take(unit), lat.size.take(unit)
     live, steps, who = np.arange(len(unit)), [], []
     t = 0
     while len(live):
-        u = _uniform(key[live] + np.uint64(t * int(C1) & (2**64 - 1)))
-        e = lat.pick(node[live], u)
+        e = lat.pick(node, _uniform(key + np.uint64(t * int(C1) & (2**64 - 1))))
         steps.append(e)
         who.append(live)
-        node[live] += lat.length[e]
-        left[live] -= lat.length[e]
-        live = live[left[live] > 0]
+        length = lat.length.take(e)
+        node, left = node + length, left - length
+        on = left > 0
+        live, node, left, key = live[on], node[on], left[on], key[on]
         t += 1
     count = np.zeros(len(unit), np.int64)
     for w in who:
@@ -303,17 +334,20 @@ def search_all(lat: Lattice, live: list[Search], k: int) -> None:
         sizes = np.array([len(s.path) for s in live], np.int64)
         ends = np.cumsum(sizes)
         path = np.concatenate([s.path for s in live]) if live else np.zeros(0, np.int64)
-        log = lat.log[path]
+        log = lat.log.take(path)
         total = np.cumsum(log, dtype=np.float64)
         start = np.concatenate([[0.0], total])[ends - sizes]
         before = total - log - np.repeat(start, sizes)
-        local = np.arange(len(path)) - np.repeat(ends - sizes, sizes)
-        seeds = np.array([s.seed for s in live], np.uint64) ^ np.uint64((turn + 1) * 0xA0761D6478BD642F & M64)
-        u = _uniform(np.repeat(seeds, sizes) + C1 * (local.astype(np.uint64) + np.uint64(1)))
-        loc = before + lat.rest[path]
-        bound = loc - np.logaddexp(loc - np.repeat(np.array([s.top for s in live]), sizes), np.log(-np.log(u)))
         # Sets before fresh_from stay with the path they were made for.
-        bound[local < np.repeat(np.array([s.fresh_from for s in live]), sizes)] = -np.inf
+        since = np.array([s.fresh_from for s in live], np.int64)
+        fresh = sizes - since
+        local = np.arange(int(fresh.sum())) - np.repeat(np.cumsum(fresh) - fresh - since, fresh)
+        at = local + np.repeat(ends - sizes, fresh)
+        seeds = np.array([s.seed for s in live], np.uint64) ^ np.uint64((turn + 1) * 0xA0761D6478BD642F & M64)
+        u = _uniform(np.repeat(seeds, fresh) + C1 * (local.astype(np.uint64) + np.uint64(1)))
+        loc = before.take(at) + lat.rest.take(path.take(at))
+        bound = np.full(len(path), -np.inf)
+        bound[at] = loc - np.logaddexp(loc - np.repeat(np.array([s.top for s in live]), fresh), np.log(-np.log(u)))
         for i, s in enumerate(live):
             b, e = ends[i] - sizes[i], ends[i]
             s.add(before[b:e], float(total[e - 1] - start[i]), bound[b:e])
@@ -333,7 +367,7 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     for t in texts:
         if t:
             s = SPACE + (t.replace(SPACE, MARK) if SPACE in t else t).replace(" ", SPACE)
-            unit += [place[u] for u in UNIT.findall(s)]
+            unit.extend(map(place.__getitem__, UNIT.findall(s)))
         ends.append(len(unit))
     lat = Lattice(list(place), v)
     unit_a = np.array(unit, np.int64)
@@ -380,7 +414,7 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, mode
                 rows = [(i, s, *x) for i, samples in enumerate(got) for s, x in enumerate(samples)]
                 lens = np.array([len(r[2]) for r in rows], np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
-                ok = [v.decode(r[2].tolist()) == (texts[r[0]] or "") for r in rows]
+                ok = [x == (texts[r[0]] or "").encode() for r, x in zip(rows, v.decode_all(ids.values.to_numpy(), np.cumsum(lens)), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     part.column("_id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(lens, pa.int32()), ids,
                     *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)], pa.array(ok, pa.bool_())],

@@ -394,7 +394,7 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 4_500_000) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 3_000_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
 

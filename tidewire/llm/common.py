@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -38,6 +39,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers are used again by later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(frames, text_col: str, most_chars: int = 4_000_000):
     """Cut pandas frames into pieces of about `most_chars` of text (a longer row is a piece of its own)."""
     for frame in frames:
@@ -112,5 +123,6 @@ def annotate(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]],
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, k) for x, k in zip(got, kinds, strict=True)]], names=[*part.schema.names, *[n for n, _ in fields]])
                 begin = end
+        release()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import chunks, keep, ship
+from tidewire.llm.common import chunks, keep, release, ship
 from tidewire.llm.components import components
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -174,6 +174,7 @@ def sketches(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFra
             out = pd.DataFrame(rows, columns=["_n", "_k1", "_k2", "_sig", "_oph", "_bands"]).astype({"_k1": "Int64", "_k2": "Int64"})
             out.insert(0, "_id", part["_id"].to_numpy())
             yield out
+        release()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")).where(F.col("_id").isNotNull())
     return rows.mapInPandas(run, "_id bigint, _n bigint, _k1 bigint, _k2 bigint, _sig binary, _oph binary, _bands array<bigint>")
@@ -212,6 +213,7 @@ def _sets(ids: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: st
         for part in chunks(frames, "_t", 2_000_000):
             got = shingles(part["_t"].tolist(), plan.words)
             yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": [s.tobytes() for s in got]})
+        release()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
     return keep(texts.join(ids, "_id", "left_semi").mapInPandas(run, "_id bigint, _set binary"), "sets")

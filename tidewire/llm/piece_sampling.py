@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import ship
+from tidewire.llm.common import release, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, MARK = "▁", "\ud800"  # MARK stands for a SPACE that is in the text itself
@@ -394,7 +394,7 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 3_000_000) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1_500_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
 
@@ -420,6 +420,7 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, mode
                     *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)], pa.array(ok, pa.bool_())],
                     names=["_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
                 begin = end
+            release()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kind = rows.schema["_id"].dataType.simpleString()

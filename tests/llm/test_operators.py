@@ -129,6 +129,16 @@ def test_near_dedup_hard_rows(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_first_shared_band(spark):
+    """All bytes of the signatures agree, the keys of the bands from 3 on alone: the pair comes from band 3, and only from it."""
+    plan = near_dedup.Plan()
+    sig, oph = bytes(plan.bands * plan.rows), bytes([1]) * near_dedup.BINS
+    rows = [(key, band, i, i, 1000, sig, oph, [b if b >= 3 else 100 * i + b for b in range(plan.bands)]) for key, band in ((7, 3), (8, 5)) for i in (1, 2)]
+    made = spark.createDataFrame(rows, "_key bigint, _band int, _id bigint, _c bigint, _n bigint, _sig binary, _oph binary, _bands array<bigint>")
+    assert rows_of(near_dedup._across(made, plan), "a", "b") == [(1, 2)]
+    assert near_dedup._across(made.where("_band = 5"), plan).count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 21)] + [(100, 100 + k) for k in range(1, 50)] + [(149, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

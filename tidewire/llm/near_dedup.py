@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
     """Pairs (a, b) of a bucket's rows in different components that pass the sequential test and that of the bins.
 
-    rows: _key, _band, _id, _c, _n, _sig, _oph.  A bucket is dealt into blocks by a hash; a task compares two blocks.
+    rows: _key, _band, _id, _c, _n, _sig, _oph, _bands.  A bucket is dealt into blocks by a hash; a task compares two blocks.
     """
     total = plan.bands * plan.rows
     steps = least_agreements(plan.percent, total, plan.batch, plan.miss)
@@ -252,6 +252,7 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
         sig = lambda g: np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(len(g), total)
         oph = lambda g: np.frombuffer(b"".join(g["_oph"]), np.uint8).reshape(len(g), BINS)
         sx, sy, ox, oy, band = sig(x), sig(y), oph(x), oph(y), int(f["_band"].iloc[0])
+        bx, by = (np.stack(g["_bands"].to_numpy()) for g in (x, y))
         cx, cy, nx, ny, ix, iy = (g[k].to_numpy() for k in ("_c", "_n", "_id") for g in (x, y))
         found = []
         for i in range(len(x)):
@@ -269,9 +270,8 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
                 n = used.sum(axis=1)
                 union = (ny[j] + nx[i]) / (1 + plan.percent / 100)
                 j = j[same >= least_of_bins(plan.percent, n, union, plan.miss) * n]
-                # Each pair once: in the first band that it shares.
-                shared = (sy[j] == sx[i]).reshape(len(j), plan.bands, plan.rows).all(axis=2)
-                j = j[shared.argmax(axis=1) == band]
+                # Each pair once: in the first band that it shares, by the bands' full keys (signatures hold bytes alone).
+                j = j[(by[j] == bx[i]).argmax(axis=1) == band]
                 found.append(np.stack([np.minimum(iy[j], ix[i]), np.maximum(iy[j], ix[i])], 1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
@@ -279,7 +279,7 @@ def _across(rows: DataFrame, plan: Plan, block: int = 800) -> DataFrame:
     blocks = rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_m"))
     dealt = rows.join(blocks, "_key").withColumn("_blk", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_m")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).withColumns({"_p": F.least("_o", "_blk"), "_q": F.greatest("_o", "_blk")})
-    return dealt.select("_key", "_band", "_p", "_q", "_blk", "_id", "_c", "_n", "_sig", "_oph").groupBy("_key", "_p", "_q").applyInPandas(run, "a bigint, b bigint").distinct()
+    return dealt.select("_key", "_band", "_p", "_q", "_blk", "_id", "_c", "_n", "_sig", "_oph", "_bands").groupBy("_key", "_p", "_q").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,7 +320,7 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     # Buckets that still hold several components: compare across components, each pair once, smaller component first.
     placed = labelled(buckets.select("_key", "_band", "_id"), "_id", "_c")
     mixed = placed.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-    left_over = keep(placed.join(mixed.select("_key"), "_key", "left_semi").join(reps.select("_id", "_n", "_sig", "_oph"), "_id"), "left_over")
+    left_over = keep(placed.join(mixed.select("_key"), "_key", "left_semi").join(reps.select("_id", "_n", "_sig", "_oph", "_bands"), "_id"), "left_over")
     across = keep(_across(left_over, plan), "across")
     last = keep(_verified(across, sets, plan), "links")
     if not last.isEmpty():

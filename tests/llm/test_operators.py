@@ -179,6 +179,24 @@ def test_mixing_reaches_targets(spark):
     assert all(r.rate >= 0 and math.floor(r.rate) <= r.copies <= math.floor(r.rate) + 1 for r in got)
 
 
+def test_mixing_soft_posteriors(spark):
+    """Where posteriors are soft, targets are met, and where bounds forbid that, totals are those of a long descent."""
+    g = np.random.default_rng(3)
+    p = np.round(g.dirichlet([6, 5, 0.6], 400), 6)
+    n = g.integers(20, 200, 400)
+    post = spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(n, p, strict=True))], "_id bigint, _n bigint, _p array<double>").coalesce(1)
+    natural = n @ p
+    for lift, low in (({"good": 1.25, "low": 0.75, "toxic": 0.5}, 0.0), ({"good": 1.25}, 1.0)):
+        target = natural * [lift.get(d, 1.0) for d in mixing.DOMAINS]
+        r = np.ones(400)
+        for _ in range(30_000):
+            r = np.clip(r - p @ (((n * r) @ p - target) / natural), low, 8.0)
+        rated, report = mixing.rates(post, lift=lift, low=low)
+        got = rated.orderBy("_id").toPandas()["_r"].to_numpy()
+        assert got.min() >= low and np.allclose((n * got) @ p, report["reached"])
+        assert np.abs(((n * got) @ p - (n * r) @ p) / natural).max() < 2e-3
+
+
 def test_mixing_hard_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 0), (7, None, 0)], "doc_id bigint, quality int, toxic int")
     got = mixing.mix(docs, labels, low=1.0).collect()

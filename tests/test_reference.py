@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,20 @@ def test_scan_is_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in plan
 
 
+def test_cosine_topk_of_many_queries(spark, tmp_path):
+    """More queries than one block holds: every one gets its five nearest."""
+    n = 4200
+    x = np.random.default_rng(5).normal(size=(n, 4))
+    spark.createDataFrame([(100 * i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["cosine_topk"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 5 * n and set(got.groupby("query_id").size()) == {5}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -2)
+    want = -np.sort(-scores, axis=1)[:, :5]
+    assert np.abs(got.sort_values(["query_id", "rank"]).score.to_numpy().reshape(n, 5) - want).max() < 1e-4
+
+
 def test_runs_without_training_operators(tmp_path):
     root = Path(__file__).resolve().parents[1]
     code = f"import sys; sys.path.insert(0, {str(root)!r}); import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n == 'tidewire.llm' else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q)"

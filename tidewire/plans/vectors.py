@@ -53,11 +53,22 @@ def block_topk(queries, base, k: int, spark_rows: int = 4096):
     return near.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
 
+def topk_in_blocks(queries, base, k: int, rows: int = 2048):
+    """Exact top-k for any number of queries: hashed blocks of about `rows` of them, one scan of base for each block."""
+    n = max(1, -(-queries.count() // rows))
+    if n == 1:
+        return block_topk(queries, base, k)
+    found = [block_topk(queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b), base, k) for b in range(n)]
+    while len(found) > 1:  # in pairs, so the plan is not as deep as there are blocks
+        found = [found[i].unionByName(found[i + 1]) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return found[0]
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark, d):
     e = read(spark, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vec"))
-    return block_topk(e.where(c("id") % 100 == 0), e, 5).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return topk_in_blocks(e.where(c("id") % 100 == 0), e, 5).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
 @query("""SELECT a.label, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_cosine, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")

@@ -121,22 +121,44 @@ def test_near_dedup_brute_force(spark):
     assert got == brute_components(rows, 3, 85)
 
 
-def test_near_dedup_hard_rows(docs, empty):
+def test_near_dedup_hard_rows(spark, docs, empty):
     got = near_dedup.near_dedup(docs).collect()
     assert len(got) == len(ROWS)
-    by = {r.doc_id: r for r in got if r.doc_id != 7}
+    by = {r.doc_id: r for r in got}
     assert by[2].component_id == 1 and by[3].n_shingles == 0 and by[4].kept and by[None].component_id is None
+    # The three rows of id 7 are one document: that of the longest text, a near copy of document 6.
+    assert {(r.n_shingles, r.component_id) for r in got if r.doc_id == 7} == {(198, 6)}
     assert near_dedup.near_dedup(empty).count() == 0
 
 
-def test_near_dedup_first_shared_band(spark):
-    """All bytes of the signatures agree, the keys of the bands from 3 on alone: the pair comes from band 3, and only from it."""
+def chain(n, seed=5, words=60):
+    """n texts, each the last one with a word changed, in shuffled order: neighbours are similar, distant ones are not."""
+    rng = np.random.default_rng(seed)
+    text, out = [f"w{x}" for x in rng.integers(0, 10**6, words)], []
+    for i in range(n):
+        text[i % words] = f"n{i}"
+        out.append(" ".join(text))
+    return [(int(k), out[i]) for i, k in enumerate(rng.permutation(n))]
+
+
+def test_near_dedup_chain(spark):
+    """2,000 near copies in a chain: one component, though hardly a pair is alike."""
+    rows = chain(2000)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), near_dedup.Plan(words=3, percent=85))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_near_dedup_across(spark):
+    """Best candidates of each other component, each pair once in its first shared band; `more` where some were left."""
     plan = near_dedup.Plan()
     sig, oph = bytes(plan.bands * plan.rows), bytes([1]) * near_dedup.BINS
-    rows = [(key, band, i, i, 1000, sig, oph, [b if b >= 3 else 100 * i + b for b in range(plan.bands)]) for key, band in ((7, 3), (8, 5)) for i in (1, 2)]
-    made = spark.createDataFrame(rows, "_key bigint, _band int, _id bigint, _c bigint, _n bigint, _sig binary, _oph binary, _bands array<bigint>")
-    assert rows_of(near_dedup._across(made, plan), "a", "b") == [(1, 2)]
-    assert near_dedup._across(made.where("_band = 5"), plan).count() == 0
+    kind = "_key bigint, _id bigint, _c bigint, _n bigint, _sig binary, _oph binary, _bands array<bigint>, _out boolean"
+    bands = lambda i: [7 if b == 3 else 8 if b == 5 else 100 * i + b for b in range(plan.bands)]
+    made = [(key, i, 1 if i > 1 else 0, 1000, sig, oph, bands(i), i < 2) for key in (7, 8) for i in range(1, 5)]
+    found = near_dedup._across(spark.createDataFrame(made, kind), plan, 2)
+    assert rows_of(found, "_key", "a", "b", "more") == [(7, 1, 2, True), (7, 1, 3, True)]
+    assert rows_of(near_dedup._across(spark.createDataFrame(made, kind), plan, 16), "a", "b", "more") == [(1, 2, False), (1, 3, False), (1, 4, False)]
+    assert near_dedup._across(spark.createDataFrame(made, kind).where("_key = 8"), plan, 2).count() == 0
 
 
 def test_components(spark):

@@ -242,10 +242,25 @@ def test_language_phrases_brute_force():
     samples = {"a": "the cat sat on the mat and the dog", "b": "le chat est sur le tapis et le chien"}
     m = language_id.Model(samples)
     for text in ("the dog sat on a chat", "tapis le the mat", "x", "zzz qqq"):
-        want = [phrases(m.normal(text).tobytes().decode("latin-1"), m.normal(samples[k]).tobytes().decode("latin-1")) for k in "ab"]
+        name = lambda t: "".join(chr(int(x) + 33) for x in m.normal(t))
+        want = [phrases(name(text), name(samples[k])) for k in "ab"]
         assert m.phrases([m.normal(text)])[0].tolist() == want, text
 
 
+def test_language_phrases_of_long_texts():
+    """Texts of several blocks, alphabets of hundreds of letters, texts that a sample holds whole."""
+    g = np.random.default_rng(8)
+    letters = [chr(x) for x in range(0x4E00, 0x4E00 + 300)]
+    many = "".join(g.choice(letters, 3000))
+    few = "".join(g.choice(list("abc "), 4000))
+    m = language_id.Model({"few": few, "many": many})
+    name = lambda t: "".join(chr(int(x) + 33) for x in m.normal(t))
+    texts = [many[100:2900], few[:3500], few[700:1400] + many[:900] + few[5:1500], "".join(g.choice(list("abcd "), 2600)), "".join(g.choice(letters + ["x", "é"], 1500)), "", "a" * 5000]
+    got = m.phrases([m.normal(t) for t in texts])
+    for t, row in zip(texts, got.tolist(), strict=True):
+        assert row == [phrases(name(t), name(few)), phrases(name(t), name(many))]
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(d, language_id.training_sample(d)).join(d.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -5,11 +5,14 @@ longest matches against it: walking the automaton from its root, a missing trans
 next.  The bits per letter, phrases * log2(sample length) / letters, normalise the phrase counts of languages with
 samples of different lengths; the language with the fewest wins.
 
-The automata are turned into dense tables, and blocks of 512 letters from many documents walk them together, one
-gather a letter and language.  A phrase ends at the end of a block, so results don't depend on batches.
+Every letter of the samples is told apart; letters that no sample has share a class that no automaton knows, so each
+is a phrase of its own.  Transitions lie in hash tables, whose size follows the sample's and not the alphabet's.
+Blocks of 512 letters walk the automata together, each as if a phrase began with it.  Then every block's last phrase
+is carried on into the following blocks until a phrase begins where one began there already; from that place on both
+walks are the same, so the counts are those of the text parsed whole.
 
 The sample is at most SAMPLE_ROWS rows and SAMPLE_CHARS letters of each language, rows with the smallest hash of the
-text first.
+id first.
 
 Cases: a text that is null or has no letter gets `und` and score 0; with no labelled rows every row does; ties go to
 the language first in order; with one language the score is 1; repeated rows are answered alike; an empty table gives
@@ -19,7 +22,6 @@ an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import annotate, bucket4
 
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
-BLOCK, LETTERS = 512, 60
-FLAG = np.int32(1 << 30)
+BLOCK = 512
+ODD = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
@@ -86,20 +88,62 @@ def suffix_automaton(word: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class Transitions:
+    """(state, class) -> state, by a hash table and a second one for the keys that find their slot taken."""
+
+    def __init__(self, nxt: list[dict[int, int]], width: int):
+        self.width = width
+        self.root = np.full(width, len(nxt), np.int32)  # the last state is left by no letter
+        self.root[list(nxt[0])] = list(nxt[0].values())
+        keys = np.array([s * width + c for s, row in enumerate(nxt) for c in row], np.int64)
+        goal = np.array([q for row in nxt for q in row.values()], np.int32)
+        self.tables = []
+        bits = max(4, (4 * len(keys)).bit_length())
+        while len(keys):
+            slot = self._slot(keys, bits, len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            held, to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            held[slot[first]], to[slot[first]] = keys[first], goal[first]
+            self.tables.append((bits, held, to))
+            late = np.ones(len(keys), bool)
+            late[first] = False
+            keys, goal = keys[late], goal[late]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
+        x = keys.astype(np.uint64) * (ODD + np.uint64(2 * turn))
+        return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with the letter)."""
+        key = state.astype(np.int64) * self.width + letter
+        out = self.root.take(letter)
+        new = np.ones(len(key), bool)
+        left = None
+        for turn, (bits, held, to) in enumerate(self.tables):
+            own = key if left is None else key.take(left)
+            slot = self._slot(own, bits, turn)
+            ok = held.take(slot) == own
+            at = np.flatnonzero(ok) if left is None else left[ok]
+            out[at], new[at] = to.take(slot[ok]), False
+            left = np.flatnonzero(~ok) if left is None else left[~ok]
+            if not len(left):
+                break
+        return out, new
+
+
 class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        self.classes = np.zeros(0x110000, np.uint8)  # 0: no letter
-        self.classes[[i for i in range(0x110000) if chr(i).isalpha()]] = LETTERS + 1
-        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+        seen = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
+        self.width = len(seen) + 2
+        self.classes = np.zeros(0x110000, np.int32)  # 0: no letter
+        self.classes[[i for i in range(0x110000) if chr(i).isalpha()]] = self.width - 1
+        for k, c in enumerate(seen):
             self.classes[ord(c)] = k + 1
-        self.width = LETTERS + 2
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            word = self.normal(samples[lang])
-            self.tables.append(self.dense(suffix_automaton(word.tolist())))
-            self.bits.append(math.log2(max(2, len(word))))
+        words = [self.normal(samples[lang]) for lang in self.langs]
+        self.tables = [Transitions(suffix_automaton(w.tolist()), self.width) for w in words]
+        self.bits = [math.log2(max(2, len(w))) for w in words]
 
     def normal(self, text: str | None) -> np.ndarray:
         """Classes of the lower-cased text; what isn't a letter is one separator between words."""
@@ -110,45 +154,62 @@ class Model:
             stay[0] = got[0] > 0
         return got[stay]
 
-    def dense(self, nxt: list[dict[int, int]]) -> np.ndarray:
-        dead = len(nxt)  # a letter that the sample lacks is a phrase of its own
-        root = np.full(self.width, dead, np.int32)
-        for c, q in nxt[0].items():
-            root[c] = q
-        table = np.tile(root | FLAG, (len(nxt) + 1, 1))
-        table[0] = root
-        for s, row in enumerate(nxt):
-            if row:
-                table[s, list(row)] = list(row.values())
-        return table.ravel()
-
     def phrases(self, word_list: list[np.ndarray]) -> np.ndarray:
         """Phrase counts, [text, language]."""
-        sizes = np.array([len(w) for w in word_list])
-        owner = np.repeat(np.arange(len(word_list)), -(-sizes // BLOCK))
-        lanes = [w[i:i + BLOCK] for w in word_list for i in range(0, len(w), BLOCK)]
         out = np.zeros((len(word_list), len(self.langs)), np.int64)
-        if not lanes:
+        sizes = np.array([len(w) for w in word_list], np.int64)
+        if not sizes.sum():
             return out
-        own = np.array([len(x) for x in lanes])
-        order = np.argsort(-own, kind="stable")
-        grid = np.zeros((len(lanes), BLOCK), np.int32)
-        for row, k in enumerate(order):
-            grid[row, : own[k]] = lanes[k]
-        grid = np.ascontiguousarray(grid.T)
-        active = np.searchsorted(-own[order], -np.arange(BLOCK), side="left")
-        for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(lanes), np.int32), np.ones(len(lanes), np.int32)
-            for t in range(BLOCK):
+        flat = np.concatenate(word_list).astype(np.int64)
+        ends = np.cumsum(sizes)
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(word_list)), blocks)
+        first = np.cumsum(blocks) - blocks  # each text's first block
+        begin = (ends - sizes)[owner] + BLOCK * (np.arange(len(owner)) - first[owner])
+        end = np.minimum(begin + BLOCK, ends[owner])
+        order = np.argsort(begin - end, kind="stable")  # long blocks first, so those still open are the first ones
+        opened, size = begin[order], (end - begin)[order]
+        active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
+        follows = np.flatnonzero(end < ends[owner])
+        for k, table in enumerate(self.tables):
+            starts, last = np.zeros(len(flat), bool), np.zeros(len(owner), np.int32)
+            state = table.root.take(flat.take(opened))
+            starts[opened] = True
+            for t in range(1, BLOCK):
                 n = active[t]
                 if not n:
                     break
-                at = table.take(state[:n] * np.int32(self.width) + grid[t, :n])
-                count[:n] += at >> 30
-                state[:n] = at & ~FLAG
-            out[:, j] = np.bincount(owner[order], weights=count, minlength=len(word_list))
+                at = opened[:n] + t
+                state[:n], starts[at] = table.step(state[:n], flat.take(at))
+            last[order] = state
+            extra, met = self._carried(table, flat, starts, follows, last, end, ends[owner])
+            before = np.concatenate([[0], np.cumsum(starts)])
+            out[:, k] = np.where(sizes > 0, before[end[np.minimum(first, len(end) - 1)]] - before[begin[np.minimum(first, len(end) - 1)]], 0)
+            for i in np.flatnonzero(blocks > 1):
+                b = first[i]
+                while end[b] < ends[i]:
+                    out[i, k] += extra[b]
+                    if met[b] == ends[i]:
+                        break
+                    place, b = met[b], first[i] + (met[b] - (ends[i] - sizes[i])) // BLOCK
+                    out[i, k] += before[end[b]] - before[place + 1]
         return out
 
+    @staticmethod
+    def _carried(table: Transitions, flat: np.ndarray, starts: np.ndarray, lanes: np.ndarray, last: np.ndarray, at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block that another follows: phrases that begin after it up to where the walks meet, and that place."""
+        extra, met = np.zeros(len(at), np.int64), until.copy()
+        state, at, until = last[lanes], at[lanes], until[lanes]
+        while len(lanes):
+            state, new = table.step(state, flat.take(at))
+            extra[lanes] += new
+            done = new & starts.take(at)
+            met[lanes[done]] = at[done]
+            at = at + 1
+            stay = ~done & (at < until)
+            lanes, state, at, until = lanes[stay], state[stay], at[stay], until[stay]
+        return extra, met
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [self.normal(t) for t in texts]
         letters = np.array([int((w > 0).sum()) for w in words])

@@ -3,11 +3,14 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewire.llm import components, exact_dedup, language_id, mixing, near_dedup, order_minhash, pii, piece_sampling, secret_scan, sharding, toxicity
@@ -165,6 +168,56 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 21)] + [(100, 100 + k) for k in range(1, 50)] + [(149, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got[4] == 1 and got[12] == 10 and got[21] == 20 and got[149] == 5 and got[130] == 5
+    odd = spark.createDataFrame([(1, 1), (3, 2), (2, 3), (3, 2), (None, 4), (5, None)], "a bigint, b bigint")
+    assert rows_of(components.components(odd), "node", "label") == [(1, 1), (2, 2), (3, 2)]
+    assert components.components(odd.where(F.lit(False))).count() == 0
+
+
+def brute_fingerprint(text, k=2, keep_n=2):
+    """Order MinHash in plain Python, with the hash that xxhash64 stands for."""
+    mask, n_pos = (1 << 33) - 1, 30
+    of_text = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    of = lambda *xs: reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), xs, 42)
+    long, small = lambda x: struct.pack("<Q", x & (2**64 - 1)), lambda x: struct.pack("<i", x)
+    hashes = [of_text(w) for w in re.split("[ \\t\\n\\v\\f\\r]+", text or "") if w]
+    if not hashes:
+        return ""
+    if len(hashes) < k:
+        kmers = [reduce(lambda s, h: of(long(s), long(h)), hashes, 0)]
+    else:
+        kmers = [reduce(lambda s, h: of(long(s), long(h)), hashes[i + 1:i + k], hashes[i]) for i in range(len(hashes) - k + 1)]
+    seen, bins = Counter(), {}
+    for pos, h in enumerate(kmers):
+        item = of(long(h & mask), small(seen[h & mask])) & mask
+        seen[h & mask] += 1
+        bins.setdefault(item >> 27, []).append((item, pos))
+    out = []
+    for b in sorted(bins):
+        chosen = sorted(sorted(bins[b])[:keep_n], key=lambda x: x[1])
+        out.append(f"{b:02x}{reduce(lambda s, x: of(long(s), long(x[0])), chosen, 7) & 0xFFFFFFFF:08x}")
+    return ",".join(out)
+
+
+def test_fingerprints_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "  ", "one", "one two", "a a a a a b a a", "x  y\n\tz", "é\u00a0ü ▁ 🎉 ok", LONG, BASE] + [" ".join(rng.choice(WORDS, int(rng.integers(1, 300)))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for k, keep_n in ((2, 2), (3, 4), (1, 1)):
+        got = {r.doc_id: r.fingerprint for r in order_minhash.fingerprints(df, k=k, keep_n=keep_n).collect()}
+        assert got == {i: brute_fingerprint(t, k, keep_n) for i, t in enumerate(texts)}
+
+
+def test_likeness_brute_force(spark):
+    rng = np.random.default_rng(7)
+    made = [",".join(f"{b:02x}{rng.integers(0, 3):08x}" for b in sorted(rng.choice(64, int(rng.integers(0, 9)), False))) for _ in range(60)]
+    pairs = list(zip(made[::2], made[1::2], strict=True))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    want = []
+    for a, b in pairs:
+        x, y = ({e[:2]: e for e in s.split(",") if e} for s in (a, b))
+        bins = set(x) | set(y)
+        want.append(sum(x.get(k) == y.get(k) for k in bins) / len(bins) if bins else 1.0)
+    assert [r.x for r in df.coalesce(1).select(order_minhash.likeness(F.col("a"), F.col("b")).alias("x")).collect()] == want
 
 
 def test_order_minhash(spark, docs, empty):
@@ -374,3 +427,76 @@ def test_pieces_without_replacement():
         assert abs(m / n - p[a]) < 0.03
     for (a, b), m in second.most_common(2):
         assert abs(m / n - p[a] * p[b] / (1 - p[a])) < 0.03
+
+
+def segmentations(text, v):
+    """Every segmentation of a text with its probability, by enumeration: pieces, or the bytes of characters that are none."""
+    s = (piece_sampling.SPACE + text.replace(" ", piece_sampling.SPACE)) if text else ""
+    number = dict(zip(v.keys.tolist(), range(len(v.keys)), strict=True))
+    known = lambda p: number.get(v.hash_of(p))
+
+    def go(i):
+        if i == len(s):
+            return [((), 0.0)]
+        options = [(j, (int(v.ids[n]),), v.weights[n]) for j in range(i + 1, min(len(s), i + v.longest) + 1) if (n := known(s[i:j])) is not None]
+        if known(s[i]) is None:
+            raw = s[i].encode()
+            options.append((i + 1, tuple(v.byte_id[x] for x in raw), v.weights[len(v.ids) + len(raw) - 1]))
+        return [(ids + rest, w + x) for j, ids, w in options for rest, x in go(j)]
+
+    every = go(0)
+    top = np.logaddexp.reduce([w for _, w in every])
+    return {ids: math.exp(w - top) for ids, w in every}
+
+
+def test_pieces_enumeration():
+    """All segmentations of short texts: ids, probabilities, and inclusion probabilities that weigh samples without bias."""
+    v = piece_sampling.vocabulary(piece_sampling.MODEL, 1.0)
+    for text in ("it's", "a_{b", "  x", "né日", "}_{ ._"):
+        want = segmentations(text, v)
+        got = piece_sampling.encode_batch([1], [text], v, len(want) + 5, 3)[0]
+        assert len(got) == len(want)
+        assert {tuple(x[0].tolist()): pytest.approx(math.exp(x[1]), rel=1e-3, abs=1e-9) for x in got} == want
+        assert all(a[2] >= b[2] for a, b in zip(got, got[1:], strict=False))
+    want, n = segmentations("hell", v), 4000
+    draws = piece_sampling.encode_batch(list(range(n)), ["hell"] * n, v, 3, 5)
+    weighed = Counter()
+    for d in draws:
+        for ids, lp, _, inc in d:
+            weighed[tuple(ids.tolist())] += math.exp(lp - inc) / n
+    assert abs(sum(weighed.values()) - 1) < 0.03
+    for ids, p in sorted(want.items(), key=lambda x: -x[1])[:4]:
+        assert abs(weighed[ids] - p) < 0.03
+    third = Counter(tuple(d[2][0].tolist()) for d in draws)
+    exact = Counter()
+    for a, pa in want.items():
+        for b, pb in want.items():
+            for c, pc in want.items():
+                if len({a, b, c}) == 3:
+                    exact[c] += pa * pb / (1 - pa) * pc / (1 - pa - pb)
+    for ids, p in exact.most_common(3):
+        assert abs(third[ids] / n - p) < 0.03
+
+
+def test_pieces_no_cut_through_pieces():
+    """Every piece of the vocabulary lies in one unit and is an edge of it; long runs are one lattice."""
+    v = piece_sampling.vocabulary(piece_sampling.MODEL, 1.0)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.MODEL)
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    units, many = v.units(pieces)
+    assert set(many) == {1} and units == pieces and all(v.word.findall(p) == [p] for p in pieces)
+    lat = piece_sampling.Lattice(units, v)
+    for i in range(0, len(units), 97):
+        edges = range(lat.begin[lat.first[i]], lat.begin[lat.first[i] + 1])
+        assert any(lat.length[e] == len(units[i]) for e in edges)
+    run = "b" * 3000
+    assert len(v.units([run])[0]) == 1
+    got = piece_sampling.encode_batch([0], [run], v, 2, 3)[0]
+    assert all(v.decode(x[0]) == run for x in got) and got[0][0].tolist() != got[1][0].tolist()
+
+
+def test_pieces_decode_replaces_a_column(spark):
+    rows = spark.createDataFrame([("old", [1, 2])], "text string, ids array<int>")
+    assert piece_sampling.decode(rows).columns == ["ids", "text"]

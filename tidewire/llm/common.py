@@ -6,19 +6,27 @@ import ctypes
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; a new one where that is unset and the master is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not _local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="tidewire_")
@@ -29,14 +37,44 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what keep() wrote for these tables; nothing may read them afterwards."""
+    for t in tables:
+        path = getattr(t, "_kept_at", None)
+        if isinstance(path, str):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also where it is on the driver's path alone (local runs)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Let Python workers import this package: as a zip on a cluster, by the driver's own path in local runs."""
+    root, env = Path(__file__).resolve().parents[2], spark.sparkContext.environment
+    if _local(spark):
+        if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH", "")) if x)
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        file = Path(tempfile.mkdtemp(prefix="tidewire_")) / "tidewire.zip"
+        with zipfile.ZipFile(file, "w") as z:
+            for f in sorted((root / "tidewire").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(file))  # executors fetch it from the driver
+        _SHIPPED.add(app)
 
 
 def release() -> None:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import chunks, keep, release, ship
+from tidewire.llm.common import chunks, forget, keep, release, ship
 from tidewire.llm.components import components
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -344,6 +344,7 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     hubs = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min(F.col("_id").bitwiseXOR(salt)).alias("_x")).where(F.col("_m") > 1)
     hubs = keep(hubs.select("_key", F.col("_x").bitwiseXOR(salt).alias("_hub")), "hubs")
     buckets = keep(banded.join(hubs, "_key").select("_key", "_id", "_hub"), "buckets")
+    forget(bands, hubs)
     ids = keep(buckets.select("_id").distinct(), "ids")
     reps = keep(filled.select("_id", "_n", "_sig", "_oph", "_bands").join(ids, "_id", "left_semi"), "reps")
     sets = _sets(ids, docs, plan, id_col, text_col, again)
@@ -360,7 +361,9 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
         edges = keep(between.select(F.least("_ca", "_cb").alias("a"), F.greatest("_ca", "_cb").alias("b")).distinct(), "links")
         if not edges.isEmpty():
             moved = components(edges)
-            label = keep(label.join(moved, label["_c"] == moved["node"], "left").select("_id", F.coalesce("label", "_c").alias("_c")), "label")
+            old, label = label, keep(label.join(moved, label["_c"] == moved["node"], "left").select("_id", F.coalesce("label", "_c").alias("_c")), "label")
+            forget(old, moved)
+        forget(edges, pairs)
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     # Every bucket's rows against its hub; the first buckets link most copies, so later ones have few pairs left.
@@ -393,13 +396,16 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
         if mixed.isEmpty():
             break
         outside = rows.join(mixed, "_key").select("_key", "_id", "_c", (F.col("_c") != F.col("_big")).alias("_out"))
-        found = keep(_across(keep(outside.join(reps, "_id"), "left_over"), plan, best), "across")
+        left_over = keep(outside.join(reps, "_id"), "left_over")
+        found = keep(_across(left_over, plan, best), "across")
+        forget(left_over)
         joined(keep(found.select("a", "b").distinct(), "pairs"), seen=True)
         unsure = keep(found.where("more").select("_key").distinct(), "unsure")
         if unsure.isEmpty():
             break
         best, others = best * 8, others.join(unsure, "_key", "left_semi")
 
+    forget(reps, sets, buckets, rest)
     # A document's component: that of its class; the label is the smallest representative, which is the smallest id.
     member = filled.select("_id", "_n", "_k1", "_k2").join(classes, ["_k1", "_k2"]).select("_id", "_n", "_rep")
     done = member.join(label.select(F.col("_id").alias("_rep"), "_c"), "_rep", "left").select("_id", "_n", F.coalesce("_c", "_rep").alias("_c"))

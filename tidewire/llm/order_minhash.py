@@ -6,9 +6,13 @@ back in the order of the text and hashes that tuple.  The fingerprint lists bin
 likeness is the share of bins in use by either text whose tuples agree, which falls with edit distance because
 moved as well as changed k-mers break tuples.
 
-Everything is done inside the row: two sorts of packed longs (hash above, word position below), no shuffle, no rows
-made.  Words are split at white space; a text of fewer than k words is one k-mer; an empty or null text has an empty
-fingerprint, and two empty fingerprints are alike (1.0), an empty and another are not (0.0).
+Everything is done inside the row: two sorts of packed longs (33 bits of hash above, 30 of word position below, enough
+for any text that Spark can hold), no shuffle, no rows made.
+
+Cases: words are split at white space; a text of fewer than k words is one k-mer; an empty or null text has an empty
+fingerprint, and two empty fingerprints are alike (1.0), an empty and another are not (0.0); rows of equal ids follow
+each other in order of their texts, null ids come first; one row alone is its own next; an empty table gives an empty
+table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import let, parts
 
-POS_BITS = 23
+POS_BITS = 30  # a Spark string holds at most 2 ** 30 words
 HASH_BITS = 63 - POS_BITS
 MASK = (1 << HASH_BITS) - 1
 BIN_BITS = 6
@@ -52,7 +56,7 @@ def _kmers(text: Column, k: int) -> Column:
 
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
     listed = let(F.transform(words, lambda w: F.xxhash64(w)), of)
-    return F.transform(listed, lambda h, i: _pack(h, F.least(i, F.lit((1 << POS_BITS) - 1)).cast("bigint")))
+    return F.transform(listed, lambda h, i: _pack(h, i.cast("bigint")))
 
 
 def _numbered(packed: Column) -> Column:

@@ -10,8 +10,10 @@ variable truncated at the path's own value.  Taking the largest entry, drawing t
 and sampling the rest yields the next segmentation; nothing is enumerated.  The threshold kappa, the bound of the best
 entry left, gives each sample its inclusion probability 1 - exp(-exp(log p - kappa)), returned as a logarithm.
 
-Pieces don't cross the ends of units: a run of word characters or of others with the spaces before it, at most 32
-characters.  Distinct units are looked up once a batch, in numpy tables.  Piece weights follow the vocabulary's ranks by Zipf's law, raised to `alpha`.
+A text is cut into units only between characters that no vocabulary piece holds next to each other, so no piece can
+cross a cut and the lattice is that of the whole text: its probabilities are the products of the units'.  Distinct
+units are looked up once a batch, in numpy tables; a unit takes about 400 bytes a character.  Piece weights follow the
+vocabulary's ranks by Zipf's law, raised to `alpha`.
 All random numbers are hashes of (seed, row key, sample, place), so results don't depend on batches or tasks.
 
 Cases: a null or empty text has one segmentation, without pieces; a text with fewer than k segmentations yields
@@ -22,6 +24,7 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,14 +34,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import release, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, MARK = "▁", "\ud800"  # MARK stands for a SPACE that is in the text itself
-UNIT = re.compile("▁{0,8}\\w{1,24}|▁{0,8}[^\\w▁]{1,8}|▁{1,8}")
+SPACE, MARK, FILL = "▁", "\ud800", "\udfff"  # MARK stands for a SPACE that is in the text itself, FILL for no character
+LEAST = -1e300
+WORD, WHOLE = re.compile("▁*[^▁]+|▁+"), re.compile("(?s).+")
 WIDE = 1 << 21  # added to a code point that is written as several bytes
 BASE = np.uint64(1099511628211)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -69,6 +74,9 @@ class Vocabulary:
                 pieces.append((p, i))
                 self.bytes_of.append(p.replace(SPACE, " ").encode())
         self.longest = max(len(p) for p, _ in pieces)
+        self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for p, _ in pieces for a, b in zip(p, p[1:])}), np.int64)
+        # Where no piece has a space after something else, texts are taken apart at spaces first.
+        self.word = WHOLE if any(p[i] == SPACE != p[i - 1] for p, _ in pieces for i in range(1, len(p))) else WORD
         flat = math.log(math.log(len(pieces) + 1))
         own: dict[int, list] = defaultdict(list)
         for rank, (p, i) in enumerate(sorted(pieces, key=lambda x: (-sp.get_score(x[1]), x[1]))):
@@ -118,6 +126,23 @@ class Vocabulary:
             h = (h * int(BASE) + ord(c) + 7) & (2**64 - 1)
         return h
 
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of all words in order, units of each word): cut where no piece holds the two characters together."""
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        pair = code[:-1] << 21 | code[1:]
+        at = np.searchsorted(self.neighbours, pair)
+        apart = np.ones(len(code), bool)
+        apart[:-1] = self.neighbours.take(at, mode="clip") != pair
+        apart[ends - 1] = True
+        cuts = np.flatnonzero(apart) + 1
+        whole, begin = "".join(words), 0
+        out = []
+        for e in cuts.tolist():
+            out.append(whole[begin:e])
+            begin = e
+        return out, np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
+
     def decode_all(self, ids: np.ndarray, ends: np.ndarray, step: int = 500_000) -> list[bytes]:
         """The UTF-8 text of each run of ids; run i ends before ids[ends[i]]."""
         out, b = [], 0
@@ -150,12 +175,14 @@ class Lattice:
         self.size = np.fromiter(map(len, units), np.int32, n)
         self.first = np.zeros(n, np.int64)
         counts, length, piece, prob, base = [], [], [], [], 0
-        for size in np.unique(self.size):
-            rows = np.flatnonzero(self.size == size)
-            code = np.frombuffer("".join([units[r] for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size)
-            self.first[rows] = base + np.arange(len(rows)) * int(size)
-            base += len(rows) * int(size)
-            for part in self._group(code.astype(np.uint64), int(size), v):
+        # Units of like sizes go together, long ones with room at the front: nodes that no path enters.
+        room = np.array([x if x <= 24 else -(-x // (1 << (x.bit_length() - 2))) * (1 << (x.bit_length() - 2)) for x in self.size.tolist()], np.int64)
+        for size in np.unique(room).tolist():
+            rows = np.flatnonzero(room == size)
+            code = np.frombuffer("".join([units[r].rjust(size, FILL) for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size)
+            self.first[rows] = base + np.arange(len(rows)) * size + size - self.size[rows]
+            base += len(rows) * size
+            for part in self._group(code.astype(np.uint64), size, size - self.size[rows], v):
                 for to, x in zip((counts, length, piece, prob), part, strict=True):
                     to.append(x)
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
@@ -172,11 +199,13 @@ class Lattice:
             rest = 1.0 - self.prob
             self.rest = np.log(np.where(rest < 1e-12, 0.0, rest)).astype(np.float32)  # log mass of a node's other edges
 
-    def _group(self, code: np.ndarray, size: int, v: Vocabulary, step: int = 20_000):
+    def _group(self, code: np.ndarray, size: int, pad: np.ndarray, v: Vocabulary, chars: int = 400_000):
         most = min(v.longest, size)
         byte0 = np.array([v.byte_id[x] for x in range(128)], np.int64)
+        step = max(1, chars // size)
         for b in range(0, len(code), step):
             c = code[b:b + step]
+            filled = np.arange(size) < pad[b:b + step, None]
             n = len(c)
             pre = np.zeros((n, size + 1), np.uint64)
             for i in range(size):
@@ -187,7 +216,7 @@ class Lattice:
                 wide = size - m + 1
                 at, no = v.find(pre[:, m:] - pre[:, :wide] * power)
                 number.ravel()[(at // wide * size + at % wide) * most + (m - 1)] = no
-            bare = number[:, :, 0] < 0  # characters that are no piece
+            bare = (number[:, :, 0] < 0) & ~filled  # characters that are no piece
             if bare.any():
                 own = c[bare]
                 own = np.where(own == 0xD800, 0x2581, own).astype(np.int64)
@@ -197,10 +226,10 @@ class Lattice:
             for i in range(size - 1, -1, -1):
                 k = min(most, size - i)
                 x = weight[i, :k] + beta[i + 1:i + 1 + k]
-                top = x.max(axis=0)
+                top = np.maximum(x.max(axis=0), LEAST)  # no edges leave the room at the front
                 x -= top
                 np.exp(x, out=x)
-                beta[i] = top + np.log(x.sum(axis=0))
+                beta[i] = top + np.log(np.maximum(x.sum(axis=0), 1e-300))
             edge = np.flatnonzero(number >= 0)
             no = number.ravel().take(edge)
             node, m = edge // most, edge % most
@@ -360,22 +389,31 @@ def _row_seed(key, seed: int) -> int:
 
 def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples (piece ids, log p, perturbed log p, log inclusion probability)."""
-    place: dict[str, int] = defaultdict()
-    place.default_factory = place.__len__
-    unit: list[int] = []
-    ends = [0]
+    words: dict[str, int] = defaultdict()
+    words.default_factory = words.__len__
+    held: list[int] = []
+    word_ends = [0]
     for t in texts:
         if t:
             s = SPACE + (t.replace(SPACE, MARK) if SPACE in t else t).replace(" ", SPACE)
-            unit.extend(map(place.__getitem__, UNIT.findall(s)))
-        ends.append(len(unit))
+            held.extend(map(words.__getitem__, v.word.findall(s)))
+        word_ends.append(len(held))
+    place: dict[str, int] = defaultdict()
+    place.default_factory = place.__len__
+    found, many = v.units(list(words)) if words else ([], np.zeros(0, np.int64))
+    unit_of_words = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
     lat = Lattice(list(place), v)
-    unit_a = np.array(unit, np.int64)
+    # Every word's units, in the order of the texts.
+    word = np.array(held, np.int64)
+    per = many.take(word)
+    after = np.cumsum(per)
+    unit_a = unit_of_words.take(np.repeat((np.cumsum(many) - many).take(word) - after + per, per) + np.arange(int(per.sum())))
+    ends = np.concatenate([[0], after]).take(word_ends)
     own = np.array([_row_seed(key, seed) for key in keys], np.uint64)
     sizes = np.diff(ends)
-    occ_key = np.repeat(own, sizes) + C2 * (np.arange(len(unit), dtype=np.uint64) - np.repeat(np.array(ends[:-1], np.uint64), sizes))
+    occ_key = np.repeat(own, sizes) + C2 * (np.arange(len(unit_a), dtype=np.uint64) - np.repeat(ends[:-1].astype(np.uint64), sizes))
     paths = [sample_paths(lat, unit_a, occ_key ^ np.uint64((r + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) for r in range(k)]
-    searches = {i: Search(lat, unit_a, paths, ends[i], ends[i + 1], int(own[i] ^ C1)) for i in range(len(texts)) if sizes[i]}
+    searches = {i: Search(lat, unit_a, paths, int(ends[i]), int(ends[i + 1]), int(own[i] ^ C1)) for i in range(len(texts)) if sizes[i]}
     search_all(lat, list(searches.values()), k)
     out = []
     for i in range(len(texts)):
@@ -394,12 +432,19 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     return out
 
 
+def shipped(spark: SparkSession, model: str) -> str:
+    """Send the vocabulary file to the executors; the name under which they find it."""
+    spark.sparkContext.addFile(model)
+    return os.path.basename(model)
+
+
 def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1_500_000) -> DataFrame:
     """A row for each sample: id_col, sample (from 0, largest perturbed value first), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip."""
     ship(docs.sparkSession)
+    file = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model, alpha)
+        v = vocabulary(SparkFiles.get(file), alpha)
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column("_t")), 0).to_numpy(zero_copy_only=False)
             begin = 0
@@ -429,12 +474,13 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, mode
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:
-    """rows with out_col: the text of the piece ids (null ids: null)."""
+    """rows with out_col: the text of the piece ids (null ids: null).  A column of rows with that name is replaced."""
     ship(rows.sparkSession)
+    file = shipped(rows.sparkSession, model)
     fields = [f for f in rows.schema.fields if f.name != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model, 1.0)
+        v = vocabulary(SparkFiles.get(file), 1.0)
         for b in batches:
             texts = [None if x is None else v.decode(x) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])

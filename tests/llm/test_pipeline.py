@@ -23,3 +23,29 @@ def test_stages(spark, tmp_path):
     assert set(seen["mixing"]) == set(seen["near_dedup"])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(seen["mixing"]) and all(r.round_trip for r in out)
+
+
+def test_clashing_names_and_hard_rows(spark, tmp_path):
+    """Extra columns of any name pass every stage untouched; null ids, null texts, repeats and empty tables have their results."""
+    extra = ["_id", "_sha", "_lang", "_score", "_copies", "_each", "_dup", "_one", "kept", "kept_", "_t", "sample", "n"]
+    texts = [(1, "some words of a text here"), (2, "some words of a text here"), (2, "some words of a text here"), (None, "some words of a text here"), (None, "a text of no id"), (3, None), (4, ""), (5, LONG)]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(texts)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in extra)
+    made = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(5, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = {r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = keep(stage(spark, made, str(tmp_path)))
+        assert got.columns == made.columns and {tuple(r)[5:] for r in got.collect()} <= own, name
+        ids = sorted(str(r.doc_id) for r in got.collect())
+        if name == "language":
+            assert ids == ["1", "2", "2", "5", "None", "None"]
+        if name == "exact_dedup":
+            assert ids == ["2", "4", "5", "None"]  # the empty text of 3 and 4 stays once
+        if name == "near_dedup":
+            assert ids == ["1", "3", "4", "5", "None", "None"]
+        if name == "mixing":
+            assert set(ids) == {"1", "2", "3", "4", "5", "None"} and len(ids) >= 8
+        assert stage(spark, made.where("doc_id = 99"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pieces(spark, made.where("doc_id = 99"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pieces(spark, made, str(tmp_path)).where("not round_trip").count() == 0

@@ -89,20 +89,22 @@ def suffix_automaton(word: list[int]) -> list[dict[int, int]]:
 
 
 class Transitions:
-    """(state, class) -> state, by a hash table and a second one for the keys that find their slot taken."""
+    """(state, class) -> state, by a hash table and further ones for the keys that find their slot taken.
+
+    States are kept times the alphabet's size, so that state + class is a transition's key.
+    """
 
     def __init__(self, nxt: list[dict[int, int]], width: int):
-        self.width = width
-        self.root = np.full(width, len(nxt), np.int32)  # the last state is left by no letter
-        self.root[list(nxt[0])] = list(nxt[0].values())
+        self.root = np.full(width, len(nxt) * width, np.int64)  # the last state is left by no letter
+        self.root[list(nxt[0])] = np.array(list(nxt[0].values()), np.int64) * width
         keys = np.array([s * width + c for s, row in enumerate(nxt) for c in row], np.int64)
-        goal = np.array([q for row in nxt for q in row.values()], np.int32)
+        goal = np.array([q * width for row in nxt for q in row.values()], np.int64)
         self.tables = []
         bits = max(4, (4 * len(keys)).bit_length())
         while len(keys):
             slot = self._slot(keys, bits, len(self.tables))
             _, first = np.unique(slot, return_index=True)
-            held, to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            held, to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
             held[slot[first]], to[slot[first]] = keys[first], goal[first]
             self.tables.append((bits, held, to))
             late = np.ones(len(keys), bool)
@@ -111,24 +113,28 @@ class Transitions:
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
-        x = keys.astype(np.uint64) * (ODD + np.uint64(2 * turn))
-        return (x >> np.uint64(64 - bits)).astype(np.int64)
+        return (keys.view(np.uint64) * (ODD + np.uint64(2 * turn)) >> np.uint64(64 - bits)).view(np.int64)
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, whether a phrase begins with the letter)."""
-        key = state.astype(np.int64) * self.width + letter
-        out = self.root.take(letter)
-        new = np.ones(len(key), bool)
-        left = None
+        key = state + letter
+        out, new, left = None, np.ones(len(key), bool), None
         for turn, (bits, held, to) in enumerate(self.tables):
             own = key if left is None else key.take(left)
             slot = self._slot(own, bits, turn)
             ok = held.take(slot) == own
-            at = np.flatnonzero(ok) if left is None else left[ok]
-            out[at], new[at] = to.take(slot[ok]), False
-            left = np.flatnonzero(~ok) if left is None else left[~ok]
+            if left is None:
+                out, new = to.take(slot), ~ok
+                left = np.flatnonzero(new)
+            else:
+                at = left[ok]
+                out[at], new[at] = to.take(slot[ok]), False
+                left = left[~ok]
             if not len(left):
                 break
+        if out is None:
+            return self.root.take(letter), new
+        out[left] = self.root.take(letter[left])
         return out, new
 
 
@@ -160,7 +166,7 @@ class Model:
         sizes = np.array([len(w) for w in word_list], np.int64)
         if not sizes.sum():
             return out
-        flat = np.concatenate(word_list).astype(np.int64)
+        letters = np.concatenate(word_list)
         ends = np.cumsum(sizes)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(word_list)), blocks)
@@ -172,7 +178,8 @@ class Model:
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
         follows = np.flatnonzero(end < ends[owner])
         for k, table in enumerate(self.tables):
-            starts, last = np.zeros(len(flat), bool), np.zeros(len(owner), np.int32)
+            flat = letters.astype(np.int64)
+            starts, last = np.zeros(len(flat), bool), np.zeros(len(owner), np.int64)
             state = table.root.take(flat.take(opened))
             starts[opened] = True
             for t in range(1, BLOCK):

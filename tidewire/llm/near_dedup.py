@@ -4,7 +4,7 @@
    128-bit hash of the set.  Documents with the same set are one class; only class representatives go on.
    The number of bands follows from the threshold and the chosen miss probability at the threshold.
 2. Candidates share a band.  In a band's bucket everybody is compared with the bucket's hub, not with each other, and
-   only where they aren't in one component yet: an eighth of the buckets goes first and links most copies.  Those
+   only where they aren't in one component yet: a sixth of the buckets goes first and links most copies.  Those
    outside their hub's component get a new hub as long as that halves their number.
 3. Buckets that still hold several components are compared across them in blocks of 256 rows on signatures alone.
    Rows of a bucket's largest component aren't compared with each other.  A row hands on its few most alike
@@ -368,7 +368,7 @@ def near_dedup(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id"
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     # Every bucket's rows against its hub; the first buckets link most copies, so later ones have few pairs left.
     share = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(16))
-    for low, high in ((0, 2), (2, 6), (6, 16)):
+    for low, high in ((0, 3), (3, 16)):
         some = buckets.where((share >= low) & (share < high) & (F.col("_id") != F.col("_hub")))
         apart = placed(placed(some), "_hub", "_hc").where(F.col("_c") != F.col("_hc"))
         joined(keep(apart.select(*ordered(F.col("_id"), F.col("_hub"))).distinct(), "pairs"))

@@ -1,6 +1,7 @@
 """Operators on small tables: brute force, hard cases (nulls, empty and long texts, ties, repeats, empty tables, clashing columns)."""
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -423,16 +424,70 @@ def test_pii_network_and_gradient():
         down = net.gradient(x, y)[0]
         net.p[name][at] = old
         assert abs((up - down) / (2 * e) - grad[name][at]) < 2e-3
-    text, tags = pii.labelled_text(np.random.default_rng(77), 8000)
-    found = pii.method_spans([text], pii.trained())[0]
+    text, tags = pii.labelled_text(np.random.default_rng(77), 40_000)
+    found = set(pii.method_spans([text], pii.trained())[0])
     cut = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
     gold = {(int(b), int(tags[b]) - 1, int(e)) for b, e in zip(cut[:-1], cut[1:], strict=True) if tags[b]}
-    assert len(gold & set(found)) / max(1, len(found)) > 0.85 and len(gold & set(found)) / len(gold) > 0.4
+    base = set(pii.base_spans(text))
+    for kind in range(4):
+        of = lambda spans: {x for x in spans if x[1] == kind}  # noqa: B023, E731
+        assert len(of(gold - base) & found) / len(of(gold - base)) > 0.8, pii.KINDS[kind]
+        assert len(of(gold) & found) / len(of(found)) > 0.9, pii.KINDS[kind]
+
+
+def test_pii_viterbi_brute_force():
+    """Tags of short windows against all paths; also where the search is left out."""
+    rng = np.random.default_rng(2)
+    for scale in (0.3, 1.0, 4.0):
+        net = pii.Net.new(3, h=4)
+        net.p["w"], net.p["b"] = net.p["w"] * np.float32(4 * scale), np.array([scale, 0, 0, 0, 0], np.float32)
+        net.p["a"] = rng.normal(0, 1, (5, 5)).astype(np.float32)
+        x = rng.integers(0, pii.CLASSES, (5, 60))
+        e, got = net.emissions(x)[0], net.decode(x)
+        paths = np.array(list(itertools.product(range(5), repeat=5)))
+        for r in range(60):
+            value = lambda y: sum(e[t, r, y[t]] for t in range(5)) + sum(net.p["a"][y[t - 1], y[t]] for t in range(1, 5))  # noqa: B023, E731
+            assert abs(value(got[:, r]) - max(map(value, paths))) < 1e-4
+
+
+def test_pii_windows_are_reconciled():
+    """Spans against a walk over all windows one by one: the middle of a window decides."""
+    net = pii.trained()
+    text = pii.labelled_text(np.random.default_rng(9), 2000)[0]
+    texts = [text[:n] for n in (0, 1, 90, 191, 192, 193, 352, 353, 900, 2000)] + ["", text[500:1300]]
+    margin = (pii.WINDOW - pii.STRIDE) // 2
+    for t, got in zip(texts, pii.method_spans(texts, net), strict=True):
+        tags, last = np.zeros(len(t), int), max(0, -(-(len(t) - pii.WINDOW) // pii.STRIDE))
+        for k in range(last + 1 if t else 0):
+            begin = k * pii.STRIDE
+            part = pii.classes_of(t[begin:begin + pii.WINDOW])
+            own = net.decode(np.concatenate([part, np.zeros(pii.WINDOW - len(part), np.uint8)])[:, None])[:, 0]
+            lo, hi = (0 if k == 0 else begin + margin), (len(t) if k == last else begin + pii.WINDOW - margin)
+            tags[lo:hi] = own[lo - begin:hi - begin]
+        want, i = [], 0
+        while i < len(t):
+            j = i
+            while j < len(t) and tags[j] == tags[i]:
+                j += 1
+            piece = t[i:j]
+            b, e = i + len(piece) - len(piece.lstrip(" \n.,:;")), j - (len(piece) - len(piece.rstrip(" \n.,:;")))
+            if tags[i] and e > b and pii._holds(int(tags[i]) - 1, t[b:e]):
+                want.append((b, int(tags[i]) - 1, e))
+            i = j
+        assert got == want
 
 
 def test_pii_rows(docs, empty):
-    by = {(r.doc_id, len(r.spans)) for r in pii.find(docs).collect()}
-    assert any(i == 8 and n >= 2 for i, n in by) and (3, 0) in by
+    """Every row's spans: the base ones by the patterns, the others by the method where they meet no base one."""
+    net = pii.trained()
+    got = Counter((r.doc_id, tuple((x.start, x.kind, x.end, x.base) for x in r.spans)) for r in pii.find(docs).collect())
+    want = Counter()
+    for i, t in ROWS:
+        base = pii.base_spans(t or "")
+        more = [x for x in pii.method_spans([t or ""], net)[0] if all(x[2] <= b[0] or x[0] >= b[2] for b in base)]
+        want[i, tuple((s, pii.KINDS[k], e, (s, k, e) in base) for s, k, e in sorted(base + more))] += 1
+    assert got == want
+    assert sum(n for (i, spans), n in got.items() if i == 8 and len(spans) >= 2) == 1
     assert pii.find(empty).count() == 0
 
 

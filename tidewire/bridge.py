@@ -60,9 +60,13 @@ def articles(spark: SparkSession, d: str, labels: bool = False, vectors: bool =
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each source name; as many rows as there are sources, so one window over them is bounded."""
+    """One row for each source name, numbered by name: inside names of the same first letters, on top of the counts before."""
     names = read(spark, d, "documents").select(F.col("source").alias("name")).distinct()
-    s = names.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("bigint"))
+    head = F.coalesce(F.substring("name", 1, 4), F.lit(""))
+    own = names.withColumn("_h", head).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("name")))
+    heads = names.groupBy(head.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    offset = heads.select("_h", (F.sum("_n").over(Window.orderBy("_h")) - F.col("_n")).alias("_off"))  # a row for each first four letters
+    s = own.join(offset, "_h").withColumn("id", (F.col("_off") + F.col("_r")).cast("bigint"))
     i = F.col("id")
     return s.select(
         "id", F.concat(F.lit("https://"), "name", F.lit(".example.com/feed")).alias("url"), "name", ((i - 1) % 4 + 1).cast("int").alias("scrape_frequency"),
@@ -72,18 +76,18 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Workflow step events."""
+    """Workflow step events; any step may start, end or fail."""
     e = read(spark, d, "events")
     return e.select(
         "event_id", F.col("user_id").alias("workflow_id"), F.col("event_type").alias("step_name"), F.col("ts").cast("timestamp").alias("ts"),
         (F.col("value") * 1000).alias("duration"),
-        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started").otherwise("completed").alias("status"),
+        F.when(F.col("event_id") % 11 == 0, "failed").when(F.col("event_id") % 3 == 0, "started").otherwise("completed").alias("status"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
-    """Briefs, one for each order of the first 30 order keys' customers: a deterministic small history."""
-    o = read(spark, d, "orders").where(F.col("o_orderkey") <= 400)
+    """Briefs, one for each order."""
+    o = read(spark, d, "orders")
     i = F.col("o_orderkey")
     return o.select(
         i.alias("id"), F.concat(F.lit("Brief "), i.cast("string")).alias("title"), F.timestamp_seconds(F.lit(1704067200) + i * 7 * 3600).alias("created_at"),
@@ -111,7 +115,7 @@ SOURCES = f"""sources AS (SELECT id, 'https://' || name || '.example.com/feed' A
  CASE WHEN id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(id::INTEGER) END AS do_initialized_at
  FROM (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT source AS name FROM documents)))"""
 METRICS = """metrics AS (SELECT event_id, user_id AS workflow_id, event_type AS step_name, ts, value * 1000 AS duration,
- CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' ELSE 'completed' END AS status, (props->>'$.k')::BIGINT AS k FROM events)"""
+ CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'started' ELSE 'completed' END AS status, (props->>'$.k')::BIGINT AS k FROM events)"""
 REPORTS = """reports AS (SELECT o_orderkey AS id, 'Brief ' || o_orderkey::VARCHAR AS title, TIMESTAMP '2024-01-01' + to_hours((o_orderkey * 7)::INTEGER) AS created_at, (o_orderkey % 40)::INTEGER AS total_articles,
- (o_orderkey % 17)::INTEGER AS used_articles, (o_orderkey % 9)::INTEGER AS total_sources, CASE WHEN o_orderkey % 4 <> 0 THEN 'model-' || (o_orderkey % 3)::VARCHAR END AS model_author, o_orderkey % 3 AS m FROM orders WHERE o_orderkey <= 400)"""
+ (o_orderkey % 17)::INTEGER AS used_articles, (o_orderkey % 9)::INTEGER AS total_sources, CASE WHEN o_orderkey % 4 <> 0 THEN 'model-' || (o_orderkey % 3)::VARCHAR END AS model_author, o_orderkey % 3 AS m FROM orders)"""
 T = f"TIMESTAMP '{NOW}'"

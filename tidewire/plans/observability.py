@@ -18,12 +18,12 @@ def step_performance(spark, d):
     return metrics(spark, d).where(t > 0).groupBy("step_name").agg(F.count(F.lit(1)).alias("executions"), F.count_if(c("status") == "completed").alias("completed"), F.count_if(c("status") == "failed").alias("failed"), R(F.avg(t), 3).alias("avg_ms"), R(F.min(t), 3).alias("min_ms"), R(F.max(t), 3).alias("max_ms"))
 
 
-@query(f"""WITH {METRICS}, s AS (SELECT step_name, avg(duration) AS a, count(*) FILTER (WHERE status = 'failed') AS f FROM metrics WHERE duration > 0 GROUP BY 1), t AS (SELECT avg(a) AS avg_step, sum(f) AS failed, max(a) FILTER (WHERE step_name = 'purchase') AS cl FROM s)
-SELECT round(avg_step, 3) AS avg_step, failed::BIGINT AS failed, list_filter([CASE WHEN avg_step > 30000 THEN 'steps are slow' END, CASE WHEN failed > 0 THEN 'steps fail' END, CASE WHEN cl > 15000 THEN 'clustering is slow' END], lambda x: x IS NOT NULL) AS advice FROM t""")
+@query(f"""WITH {METRICS}, s AS (SELECT step_name, avg(duration) AS a, count(*) FILTER (WHERE status = 'failed') AS f FROM metrics WHERE duration > 0 GROUP BY 1), t AS (SELECT avg(a) AS avg_step, sum(f) AS failed, max(a) FILTER (WHERE step_name = 'purchase') AS cl, max(a) FILTER (WHERE step_name = 'click') AS it FROM s)
+SELECT round(avg_step, 3) AS avg_step, failed::BIGINT AS failed, list_filter([CASE WHEN avg_step > 30000 THEN 'steps are slow' END, CASE WHEN failed > 0 THEN 'steps fail' END, CASE WHEN cl > 15000 THEN 'clustering is slow' END, CASE WHEN it > 20000 THEN 'intelligence is slow' END], lambda x: x IS NOT NULL) AS advice FROM t""")
 def recommendations(spark, d):
     s = metrics(spark, d).where(c("duration") > 0).groupBy("step_name").agg(F.avg("duration").alias("a"), F.count_if(c("status") == "failed").alias("f"))
-    t = s.agg(F.avg("a").alias("avg"), F.sum("f").alias("failed"), F.max(F.when(c("step_name") == "purchase", c("a"))).alias("cl"))
-    advice = F.array_compact(F.array(F.when(c("avg") > 30000, "steps are slow"), F.when(c("failed") > 0, "steps fail"), F.when(c("cl") > 15000, "clustering is slow")))
+    t = s.agg(F.avg("a").alias("avg"), F.sum("f").alias("failed"), F.max(F.when(c("step_name") == "purchase", c("a"))).alias("cl"), F.max(F.when(c("step_name") == "click", c("a"))).alias("it"))
+    advice = F.array_compact(F.array(F.when(c("avg") > 30000, "steps are slow"), F.when(c("failed") > 0, "steps fail"), F.when(c("cl") > 15000, "clustering is slow"), F.when(c("it") > 20000, "intelligence is slow")))
     return t.select(R(c("avg"), 3).alias("avg_step"), "failed", advice.alias("advice"))
 
 
@@ -35,13 +35,13 @@ def workflow_summary(spark, d):
     return p.groupBy("workflow_id").agg(F.sum("n").alias("events"), F.sum("ok").alias("completed"), F.sum("bad").alias("failed"), F.max_by("step_name", key).alias("longest"), F.min_by("step_name", key).alias("shortest"), R(F.avg("s"), 3).alias("avg_step"))
 
 
-@query(f"""WITH {METRICS}, s AS (SELECT workflow_id, min(ts) AS began FROM metrics WHERE status = 'started' GROUP BY 1) SELECT m.event_id, round(epoch(m.ts) - epoch(s.began), 3) AS seconds FROM metrics m JOIN s USING (workflow_id) WHERE m.status IN ('completed', 'failed') AND m.ts >= s.began""")
+@query(f"""WITH {METRICS}, s AS (SELECT workflow_id, step_name, min(ts) AS began FROM metrics WHERE status = 'started' GROUP BY ALL) SELECT m.event_id, round(epoch(m.ts) - epoch(s.began), 3) AS seconds FROM metrics m JOIN s USING (workflow_id, step_name) WHERE m.status IN ('completed', 'failed') AND m.ts >= s.began""")
 def step_pairing(spark, d):
-    """Completed or failed less the first start: one aggregate that meets the rows again, so a long workflow is no window of its own."""
+    """Completed or failed less the first start of the same step of the workflow: one aggregate that meets the rows again, so a long workflow is no window of its own."""
     m = metrics(spark, d)
-    began = m.where(c("status") == "started").groupBy("workflow_id").agg(F.min("ts").alias("began"))
+    began = m.where(c("status") == "started").groupBy("workflow_id", "step_name").agg(F.min("ts").alias("began"))
     secs = F.unix_micros("ts") / 1e6 - F.unix_micros("began") / 1e6
-    return m.where(c("status").isin("completed", "failed")).join(began, "workflow_id").where(c("ts") >= c("began")).select("event_id", R(secs, 3).alias("seconds"))
+    return m.where(c("status").isin("completed", "failed")).join(began, ["workflow_id", "step_name"]).where(c("ts") >= c("began")).select("event_id", R(secs, 3).alias("seconds"))
 
 
 @query(f"""WITH {ARTICLES}, q AS (SELECT (length(content) > 100)::INTEGER + (content_file_key IS NOT NULL)::INTEGER + (embedding IS NOT NULL)::INTEGER + (len(event_summary_points) > 0)::INTEGER AS s, length(content) AS n, embedding IS NOT NULL AS v FROM articles)
@@ -98,12 +98,38 @@ def decisions(spark, d):
     return read(spark, d, "orders").select(i.alias("id"), k.alias("candidates"), F.expr("(o_custkey % 20 + 1) div 2").alias("selected"), (i % 7 / 7.0).alias("coherence"), (i % 5 / 5.0).alias("relevance"), (i % 3 / 3.0).alias("confidence"), (i % 4).cast("int").alias("borderline"), (i % 10 / 4.0).alias("margin"), (i % 6 == 0).alias("failed"))
 
 
-@query(f"""WITH {DEC} SELECT round(sum(coherence), 3)::DOUBLE AS coherence, round(avg(relevance), 4)::DOUBLE AS relevance, round(avg(confidence), 4)::DOUBLE AS confidence, round(sum(selected) * 1.0 / sum(candidates), 4)::DOUBLE AS selection_rate, round(least(0.7 * count(*) FILTER (WHERE selected > 3) / greatest(0.3 * count(*), 1) + 0.3 * count(*) FILTER (WHERE failed) / count(*), 1), 4)::DOUBLE AS transparency,
-CASE WHEN least(0.7 * count(*) FILTER (WHERE selected > 3) / greatest(0.3 * count(*), 1) + 0.3 * count(*) FILTER (WHERE failed) / count(*), 1) >= 0.8 THEN 'excellent' ELSE 'other' END AS band FROM dec""")
+@query(f"""WITH {DEC} SELECT round(sum(coherence), 3)::DOUBLE AS coherence, round(avg(relevance), 4)::DOUBLE AS relevance, round(avg(confidence), 4)::DOUBLE AS confidence, round(sum(selected) * 1.0 / sum(candidates), 4)::DOUBLE AS selection_rate,
+round(abs(1 - (sum(coherence) + sum(relevance) + sum(confidence)) / 3), 2)::DOUBLE AS variance FROM dec""")
+def importance_evaluation(spark, d):
+    """The deviation is that of the sums, not of the means, as the rule has it."""
+    spread = F.abs(1 - (F.sum("coherence") + F.sum("relevance") + F.sum("confidence")) / 3)
+    return decisions(spark, d).agg(R(F.sum("coherence"), 3).alias("coherence"), R(F.avg("relevance")).alias("relevance"), R(F.avg("confidence")).alias("confidence"), R(F.sum("selected") / F.sum("candidates")).alias("selection_rate"), R(spread, 2).alias("variance"))
+
+
+@query(f"""WITH {DEC}, s AS (SELECT id % 13 AS workflow_id, id, unnest(range(candidates)) AS story FROM dec) SELECT workflow_id, count(*) AS decisions, round(count(*) FILTER (WHERE (id + story) % 4 <> 0) * 1.0 / count(*), 4)::DOUBLE AS reasoning_provided,
+round(count(*) FILTER (WHERE (id + story) % 3 <> 0) * 1.0 / count(*), 4)::DOUBLE AS factors_explained, round((count(*) FILTER (WHERE (id + story) % 4 <> 0) + count(*) FILTER (WHERE (id + story) % 3 <> 0)) / (2.0 * count(*)), 4)::DOUBLE AS decision_clarity FROM s GROUP BY workflow_id""")
+def decision_transparency(spark, d):
+    """Shares of a workflow's story decisions that give a reason, that list factors, and the mean of both."""
+    stories = decisions(spark, d).select((c("id") % 13).alias("workflow_id"), "id", F.explode(F.sequence(F.lit(0).cast("bigint"), c("candidates") - 1)).alias("story"))
+    reason, factors = F.when((c("id") + c("story")) % 4 != 0, "given"), F.when((c("id") + c("story")) % 3 != 0, F.array(F.lit("scale")))
+    n, r, f = F.count(F.lit(1)), F.count_if(F.coalesce(reason, F.lit("none")) != "none"), F.count_if(F.coalesce(F.size(factors), F.lit(0)) > 0)
+    return stories.groupBy("workflow_id").agg(n.alias("decisions"), R(r / n).alias("reasoning_provided"), R(f / n).alias("factors_explained"), R((r + f) / (2 * n)).alias("decision_clarity"))
+
+
+@query(f"""WITH {METRICS}, s AS (SELECT workflow_id, count(*) AS n, count(*) FILTER (WHERE step_name IN ('purchase', 'signup')) AS imp, count(*) FILTER (WHERE status = 'failed') AS bad, count(*) FILTER (WHERE status = 'failed' AND k % 2 = 0) AS told, count(*) FILTER (WHERE step_name = 'view') AS quality FROM metrics GROUP BY 1),
+t AS (SELECT *, least(0.7 * imp / greatest(0.3 * n, 1) + 0.3 * CASE WHEN bad > 0 THEN told * 1.0 / bad ELSE 1 END, 1) AS score FROM s)
+SELECT workflow_id, round(score, 4)::DOUBLE AS transparency, CASE WHEN score > 0.8 THEN 'excellent' WHEN score > 0.6 THEN 'good' WHEN score > 0.4 THEN 'fair' ELSE 'poor' END AS health,
+list_filter([CASE WHEN imp < 3 THEN 'more importance steps' END, CASE WHEN bad > n * 0.1 THEN 'many errors' END, CASE WHEN score < 0.6 THEN 'document more' END, CASE WHEN quality < 2 THEN 'more quality checks' END], lambda x: x IS NOT NULL) AS advice FROM t""")
 def transparency(spark, d):
+    """Transparency of each workflow: its importance steps (purchase, signup), documented errors, quality steps (view)."""
     n = F.count(F.lit(1))
-    s = F.least(0.7 * F.count_if(c("selected") > 3) / F.greatest(0.3 * n, F.lit(1.0)) + 0.3 * F.count_if("failed") / n, F.lit(1.0))
-    return decisions(spark, d).agg(R(F.sum("coherence"), 3).alias("coherence"), R(F.avg("relevance")).alias("relevance"), R(F.avg("confidence")).alias("confidence"), R(F.sum("selected") / F.sum("candidates")).alias("selection_rate"), R(s).alias("transparency"), F.when(s >= 0.8, "excellent").otherwise("other").alias("band"))
+    s = metrics(spark, d).groupBy("workflow_id").agg(
+        n.alias("n"), F.count_if(c("step_name").isin("purchase", "signup")).alias("imp"), F.count_if(c("status") == "failed").alias("bad"), F.count_if((c("status") == "failed") & (c("k") % 2 == 0)).alias("told"), F.count_if(c("step_name") == "view").alias("quality"))
+    told = F.when(c("bad") > 0, c("told") / c("bad")).otherwise(1.0)
+    t = s.withColumn("score", F.least(0.7 * c("imp") / F.greatest(0.3 * c("n"), F.lit(1.0)) + 0.3 * told, F.lit(1.0)))
+    health = F.when(c("score") > 0.8, "excellent").when(c("score") > 0.6, "good").when(c("score") > 0.4, "fair").otherwise("poor")
+    advice = F.array_compact(F.array(F.when(c("imp") < 3, "more importance steps"), F.when(c("bad") > c("n") * 0.1, "many errors"), F.when(c("score") < 0.6, "document more"), F.when(c("quality") < 2, "more quality checks")))
+    return t.select("workflow_id", R(c("score")).alias("transparency"), health.alias("health"), advice.alias("advice"))
 
 
 @query(f"""WITH {DEC} SELECT id, round(CASE WHEN borderline > 0 AND margin < 0.5 THEN 5 - 0.5 WHEN selected * 1.0 / candidates < 0.3 AND margin > 2 THEN 5 - 1 ELSE 5 END, 2)::DOUBLE AS threshold, round(CASE WHEN selected + borderline = 0 THEN NULL ELSE selected * 0.7 / (selected + borderline) END + least(margin / 3, 0.3), 4)::DOUBLE AS confidence FROM dec""")

@@ -73,11 +73,12 @@ def overview(spark, d):
     return s.crossJoin(a).crossJoin(r)  # one row each
 
 
-@query(f"""WITH {ARTICLES} SELECT status, count(*) AS n, string_agg(id::VARCHAR || '|' || CASE WHEN length(fail_reason) > 100 THEN substr(fail_reason, 1, 100) || '...' ELSE fail_reason END, ';' ORDER BY id) AS items FROM articles WHERE status LIKE '%FAILED' GROUP BY status""")
+@query(f"""WITH {ARTICLES} SELECT status, count(*) OVER (PARTITION BY status) AS n, id, CASE WHEN length(fail_reason) > 100 THEN substr(fail_reason, 1, 100) || '...' ELSE fail_reason END AS reason FROM articles WHERE status LIKE '%FAILED'""")
 def failed_stats_by_status(spark, d):
+    """A row for each failed article with its status's count: no list of all ids in one row."""
     short = F.when(F.length("fail_reason") > 100, F.concat(F.substring("fail_reason", 1, 100), F.lit("..."))).otherwise(c("fail_reason"))
-    bad = articles(spark, d).where(c("status").endswith("_FAILED")).select("status", F.struct("id", F.concat_ws("|", c("id").cast("string"), short).alias("t")).alias("x"))
-    return bad.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), ";").alias("items"))
+    bad = articles(spark, d).where(c("status").endswith("_FAILED"))
+    return bad.select("status", "id", short.alias("reason")).join(bad.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status").select("status", "n", "id", "reason")
 
 
 @query(f"""WITH {ARTICLES} SELECT coalesce(split_part(fail_reason, ':', 1), 'Unknown') AS reason, count(*) AS n FROM articles WHERE status LIKE '%FAILED' GROUP BY 1""")
@@ -102,14 +103,20 @@ def debug_counts(spark, d):
     return articles(spark, d, vectors=True).agg(F.count(F.lit(1)).alias("total"), F.count("embedding").alias("with_vector"), F.count("content_file_key").alias("with_key"), N(c("status") == "PROCESSED").alias("processed"))
 
 
-@query(f"""WITH {ARTICLES} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PENDING_FETCH') AS pending, count(*) FILTER (WHERE status = 'PROCESSED') AS processed, count(*) FILTER (WHERE status LIKE '%FAILED') AS failed,
-count(*) FILTER (WHERE created_at > {T} - INTERVAL 1 HOUR) AS last_hour, count(*) FILTER (WHERE created_at > {T} - INTERVAL 1 DAY) AS last_day, count(DISTINCT source_name) AS sources_seen, count(*) FILTER (WHERE completeness = 'COMPLETE') AS complete,
-round(count(*) FILTER (WHERE status = 'PROCESSED') * 100.0 / nullif(count(*), 0), 1)::DOUBLE AS progress FROM articles""")
+# The article states that the monitor counts.
+MONITORED = ["PENDING_FETCH", "CONTENT_FETCHED", "PROCESSED", "SKIPPED_PDF", "FETCH_FAILED", "RENDER_FAILED", "AI_ANALYSIS_FAILED", "EMBEDDING_FAILED", "R2_UPLOAD_FAILED", "SKIPPED_TOO_OLD"]
+
+
+@query(f"""WITH {ARTICLES}, {SOURCES}, a AS (SELECT count(*) AS total_articles, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in MONITORED)}, count(*) FILTER (WHERE created_at > {T} - INTERVAL 24 HOUR) AS recent_articles,
+count(*) FILTER (WHERE processed_at > {T} - INTERVAL 1 HOUR) AS processed_recently, count(*) FILTER (WHERE source_name IN ('src1', 'src2')) AS used_browser, count(content_file_key) AS has_content_file, count(embedding) AS has_embedding FROM articles)
+SELECT a.*, (SELECT count(*) FROM sources) AS total_sources, round(processed * 100.0 / nullif(total_articles, 0), 1)::DOUBLE AS processed_pct, round(has_content_file * 100.0 / nullif(total_articles, 0), 1)::DOUBLE AS content_pct, round(has_embedding * 100.0 / nullif(total_articles, 0), 1)::DOUBLE AS embedding_pct FROM a""")
 def monitor_counters(spark, d):
-    s = c("status")
-    return articles(spark, d).agg(
-        F.count(F.lit(1)).alias("total"), N(s == "PENDING_FETCH").alias("pending"), N(s == "PROCESSED").alias("processed"), N(s.like("%FAILED")).alias("failed"), N(c("created_at") > hours_ago(1)).alias("last_hour"),
-        N(c("created_at") > hours_ago(24)).alias("last_day"), F.count_distinct("source_name").alias("sources_seen"), N(c("completeness") == "COMPLETE").alias("complete"), pct(N(s == "PROCESSED"), F.count(F.lit(1))).alias("progress"))
+    """The monitor's 17 counters and its progress; the articles of two sources stand for those fetched by a browser."""
+    a = articles(spark, d, vectors=True).agg(
+        F.count(F.lit(1)).alias("total_articles"), *[N(c("status") == s).alias(s.lower()) for s in MONITORED], N(c("created_at") > hours_ago(24)).alias("recent_articles"), N(c("processed_at") > hours_ago(1)).alias("processed_recently"),
+        N(c("source_name").isin("src1", "src2")).alias("used_browser"), F.count("content_file_key").alias("has_content_file"), F.count("embedding").alias("has_embedding"))
+    n = sources(spark, d).agg(F.count(F.lit(1)).alias("total_sources"))
+    return a.crossJoin(n).select("*", *[pct(c(x), c("total_articles")).alias(y) for x, y in (("processed", "processed_pct"), ("has_content_file", "content_pct"), ("has_embedding", "embedding_pct"))])  # one row each
 
 
 @query(f"""WITH {ARTICLES}, {SOURCES} SELECT s.name, count(a.id) AS articles, count(a.id) FILTER (WHERE a.status = 'PROCESSED') AS processed,
@@ -196,11 +203,11 @@ def uninitialized_sources(spark, d):
     return sources(spark, d).where(c("do_initialized_at").isNull()).select("id", "name")
 
 
-@query(f"""WITH {ARTICLES}, {SOURCES} SELECT * FROM (SELECT count(*) FILTER (WHERE status = 'PROCESSED' AND processed_at >= date_trunc('day', {T} - INTERVAL 1 DAY)) AS processed, count(*) FILTER (WHERE created_at >= date_trunc('day', {T} - INTERVAL 1 DAY)) AS fetched,
-count(*) FILTER (WHERE status LIKE '%FAILED' AND created_at >= date_trunc('day', {T} - INTERVAL 1 DAY)) AS errors, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_fetched, strftime(max(processed_at), '%Y-%m-%d %H:%M:%S') AS last_processed FROM articles),
+@query(f"""WITH {ARTICLES}, {SOURCES} SELECT * FROM (SELECT count(*) FILTER (WHERE status = 'PROCESSED' AND processed_at >= date_trunc('day', {T})) AS processed, count(*) FILTER (WHERE created_at >= date_trunc('day', {T})) AS fetched,
+count(*) FILTER (WHERE status LIKE '%FAILED' AND created_at >= date_trunc('day', {T})) AS errors, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_fetched, strftime(max(processed_at), '%Y-%m-%d %H:%M:%S') AS last_processed FROM articles),
 (SELECT count(*) FILTER (WHERE last_checked < {T} - to_hours(CASE scrape_frequency WHEN 1 THEN 2 WHEN 2 THEN 8 WHEN 3 THEN 12 ELSE 48 END)) AS stale FROM sources)""")
 def today_overview(spark, d):
-    day = F.date_trunc("day", hours_ago(24))
+    day = F.date_trunc("day", now())
     a = articles(spark, d).agg(
         N((c("status") == "PROCESSED") & (c("processed_at") >= day)).alias("processed"), N(c("created_at") >= day).alias("fetched"), N(c("status").endswith("_FAILED") & (c("created_at") >= day)).alias("errors"),
         text_of(F.max("created_at")).alias("last_fetched"), text_of(F.max("processed_at")).alias("last_processed"))
@@ -228,15 +235,17 @@ def brief_trend(spark, d):
         F.round(F.when(wf, 0.5).otherwise(F.coalesce(F.get_json_object(p, "$.min_quality").cast("double"), F.lit(0.3))), 4).alias("min_quality"))
 
 
-@query(f"""WITH {REPORTS} SELECT id, title, lower(strftime(created_at, '%B')) || '-' || day(created_at)::VARCHAR || '-' || year(created_at)::VARCHAR AS slug, coalesce(total_articles, 0) AS total_articles FROM reports ORDER BY created_at DESC LIMIT 5""")
+@query(f"""WITH {REPORTS} SELECT id, title, lower(strftime(created_at, '%B')) || '-' || day(created_at)::VARCHAR || '-' || year(created_at)::VARCHAR AS slug, coalesce(total_articles, 0) AS total_articles FROM reports ORDER BY created_at DESC, id LIMIT 5""")
 def latest_reports(spark, d):
     slug = F.concat_ws("-", F.lower(F.date_format("created_at", "MMMM")), F.dayofmonth("created_at").cast("string"), F.year("created_at").cast("string"))
     return reports(spark, d).orderBy(F.desc_nulls_last("created_at"), "id").limit(5).select("id", "title", slug.alias("slug"), F.coalesce("total_articles", F.lit(0)).alias("total_articles"))
 
 
-@query(f"""WITH {REPORTS} SELECT r.id, (SELECT p.id FROM reports p WHERE p.created_at < r.created_at AND p.created_at >= r.created_at - INTERVAL 24 HOUR ORDER BY p.created_at DESC LIMIT 1) AS previous_id FROM reports r""")
+@query(f"""WITH {REPORTS}, p AS (SELECT id, created_at, lag(id) OVER w AS pid, lag(created_at) OVER w AS pt FROM reports WINDOW w AS (ORDER BY created_at, id)) SELECT id, CASE WHEN pt >= created_at - INTERVAL 24 HOUR THEN pid END AS previous_id FROM p""")
 def previous_brief(spark, d):
-    """The latest earlier brief within 24 hours: hourly equi-join buckets would do at scale; a history of briefs is small, so `lag` in time order does."""
-    w = Window.orderBy("created_at", "id")
-    r = reports(spark, d).withColumns({"p": F.lag("id").over(w), "t": F.lag("created_at").over(w)})
+    """The latest earlier brief within 24 hours.  It lies on the same day or the day before, so each brief is also dealt to the next day and windows hold two days."""
+    day = F.floor(F.unix_timestamp("created_at") / 86400)
+    r = reports(spark, d).select("id", "created_at", day.alias("own")).withColumn("day", F.explode(F.array(c("own"), c("own") + 1)))
+    w = Window.partitionBy("day").orderBy("created_at", "id")
+    r = r.withColumns({"p": F.lag("id").over(w), "t": F.lag("created_at").over(w)}).where(c("day") == c("own"))
     return r.select("id", F.when(F.unix_timestamp("created_at") - F.unix_timestamp("t") <= 86400, c("p")).alias("previous_id"))

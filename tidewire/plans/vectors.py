@@ -105,10 +105,12 @@ def cluster_stats(spark, d):
     return clusters(spark, d).agg(F.count_distinct(F.when(c("cluster") >= 0, c("cluster"))).alias("n_clusters"), out.alias("n_outliers"), F.round(F.try_divide(out, F.count(F.lit(1))), 4).alias("outlier_ratio"))
 
 
-@query(f"WITH {CL} SELECT cluster, count(*) AS size, list(id ORDER BY id) AS article_ids FROM cl GROUP BY cluster")
+@query(f"WITH {CL} SELECT cluster, count(*) OVER (PARTITION BY cluster) AS size, id FROM cl")
 def cluster_members(spark, d):
-    g = clusters(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("id")).alias("article_ids"))
-    return g.orderBy(c("cluster") == -1, "cluster")
+    """A row for each member, clusters by size with the noise last: no list of a cluster's members in one row."""
+    every = clusters(spark, d).select("cluster", "id")
+    sized = every.join(every.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    return sized.select("cluster", "size", "id").orderBy(c("cluster") == -1, F.desc("size"), "cluster", "id")
 
 
 @query(f"""WITH {CL}, x AS (SELECT cluster, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM cl) SELECT cluster, (p - 1)::INTEGER AS dim, round(avg(v::DOUBLE), 5) AS mean FROM x GROUP BY cluster, p""")
@@ -138,10 +140,17 @@ def cluster_coverage(spark, d):
     return s.agg(F.round(F.sum(real) / F.sum("n"), 4).alias("coverage"), F.round(F.max(real) / F.min(real), 4).alias("balance"))
 
 
-@query(f"""WITH {CL}, s AS (SELECT cluster, count(*) AS n, (abs(cluster) * 37 % 100) / 100.0 AS coherence FROM cl GROUP BY cluster) SELECT count(*) AS clusters, round(avg(n), 4) AS avg_size, min(n) AS min_size, max(n) AS max_size, round(avg(coherence), 4)::DOUBLE AS avg_coherence, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n >= 5) AS large,
+@query(f"""WITH {CL}, u AS (SELECT cluster, id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM cl), m AS (SELECT cluster, p, sum(v / nullif(norm, 0)) AS s FROM u GROUP BY ALL),
+n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), s AS (SELECT m.cluster, any_value(n.n) AS n, (sum(s * s) - any_value(n.n)) / (any_value(n.n) * (any_value(n.n) - 1.0)) AS coherence FROM m JOIN n USING (cluster) GROUP BY m.cluster)
+SELECT count(*) AS clusters, round(avg(n), 4) AS avg_size, min(n) AS min_size, max(n) AS max_size, round(avg(coherence), 4)::DOUBLE AS avg_coherence, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n >= 5) AS large,
 count(*) FILTER (WHERE coherence >= 0.7) AS high, count(*) FILTER (WHERE coherence >= 0.4 AND coherence < 0.7) AS medium, count(*) FILTER (WHERE coherence < 0.4) AS low FROM s""")
 def cluster_quality(spark, d):
-    s = clusters(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("k", (F.abs("cluster") * 37 % 100) / 100.0)
+    """Coherence of a cluster: mean cosine of its pairs, from the sum of its unit vectors, so no pair is made."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    parts = clusters(spark, d).withColumn("norm", F.nullif(norm, F.lit(0.0))).select("cluster", "norm", F.posexplode("embedding").alias("p", "v"))
+    sums = parts.groupBy("cluster", "p").agg(F.sum(c("v").cast("double") / c("norm")).alias("s"), F.count(F.lit(1)).alias("n"))
+    s = sums.groupBy("cluster").agg(F.max("n").alias("n"), F.sum(c("s") * c("s")).alias("q"))
+    s = s.withColumn("k", F.try_divide(c("q") - c("n"), c("n") * (c("n") - 1)))
     k = c("k")
     return s.agg(F.count(F.lit(1)).alias("clusters"), F.round(F.avg("n"), 4).alias("avg_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.round(F.avg(k), 4).alias("avg_coherence"), F.count_if(c("n") == 1).alias("singletons"), F.count_if(c("n") >= 5).alias("large"),
                  F.count_if(k >= 0.7).alias("high"), F.count_if((k >= 0.4) & (k < 0.7)).alias("medium"), F.count_if(k < 0.4).alias("low"))
@@ -149,13 +158,14 @@ def cluster_quality(spark, d):
 
 # ---- story validation: candidate stories are groups of ten vectors --------------------------------------------------
 
-STORY = """cand AS (SELECT vec_id // 7 AS cluster_id, list(vec_id ORDER BY vec_id) AS ids, (vec_id // 7) % 5 AS v FROM embeddings WHERE vec_id % 3 <> 0 OR (vec_id // 7) % 4 <> 0 GROUP BY vec_id // 7)"""
+STORY = """cand AS (SELECT cluster_id, list(vec_id ORDER BY vec_id) AS ids, (cluster_id // 10) % 5 AS v FROM (SELECT vec_id, (vec_id // 7) * 10 + CASE WHEN (vec_id // 7) % 4 = 0 THEN vec_id % 3 ELSE 9 END AS cluster_id FROM embeddings) GROUP BY cluster_id)"""
 
 
 def candidates(spark, d):
-    """Clusters with a verdict: 0 single story, 1 collection, 2 noise, 3 none, 4 single with outliers."""
-    e = read(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 7").alias("cluster_id")).where((c("vec_id") % 3 != 0) | (c("cluster_id") % 4 != 0))
-    return e.groupBy("cluster_id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("v", (c("cluster_id") % 5).cast("int"))
+    """Clusters of at most seven vectors with a verdict: 0 single story, 1 collection, 2 noise, 3 none, 4 single with outliers; every fourth is split in three small ones."""
+    q = F.expr("vec_id div 7")
+    e = read(spark, d, "embeddings").select("vec_id", (q * 10 + F.when(q % 4 == 0, c("vec_id") % 3).otherwise(9)).alias("cluster_id"))
+    return e.groupBy("cluster_id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("v", F.expr("(cluster_id div 10) % 5").cast("int"))
 
 
 def validated(cand):
@@ -195,14 +205,14 @@ def story_quality(spark, d):
     return validated(candidates(spark, d))[0].agg(F.round(F.avg(i), 4).alias("avg_importance"), F.count_if(i >= 8).alias("high"), F.count_if((i >= 5) & (i < 8)).alias("medium"), F.count_if(i < 5).alias("low"), F.sum(F.size("ids")).alias("articles"))
 
 
-@query(f"""WITH {VALID}, b AS (SELECT cluster_id, part, importance, importance >= 5 AS ok FROM acc UNION ALL SELECT cluster_id, 0, 0, false FROM rej) SELECT row_number() OVER (ORDER BY ok DESC, cluster_id, part)::INTEGER AS story_id, cluster_id, importance, importance - 5 AS margin, ok AS selected,
+@query(f"""WITH {VALID}, b AS (SELECT cluster_id, part, importance, importance >= 5 AS ok FROM acc UNION ALL SELECT cluster_id, 0, 0, false FROM rej) SELECT cluster_id // 1000 AS brief_id, row_number() OVER (PARTITION BY cluster_id // 1000 ORDER BY ok DESC, cluster_id, part)::INTEGER AS story_id, cluster_id, importance, importance - 5 AS margin, ok AS selected,
 CASE WHEN importance >= 7 THEN 'high' WHEN importance >= 5 THEN 'borderline' ELSE 'failed' END AS band FROM b""")
 def story_breakdown(spark, d):
-    """Numbers run over all stories of one brief, a bounded list, hence one window."""
+    """Stories are numbered inside their brief, which is made of 1,000 cluster numbers."""
     ok, bad = validated(candidates(spark, d))
     b = ok.select("cluster_id", "part", "importance", (c("importance") >= 5).alias("selected")).unionByName(bad.select("cluster_id", F.lit(0).alias("part"), F.lit(0).alias("importance"), F.lit(False).alias("selected")))
     band = F.when(c("importance") >= 7, "high").when(c("importance") >= 5, "borderline").otherwise("failed")
-    return b.select(F.row_number().over(Window.orderBy(F.desc("selected"), "cluster_id", "part")).alias("story_id"), "cluster_id", "importance", (c("importance") - 5).alias("margin"), "selected", band.alias("band"))
+    return b.select(F.expr("cluster_id div 1000").alias("brief_id"), F.row_number().over(Window.partitionBy(F.expr("cluster_id div 1000")).orderBy(F.desc("selected"), "cluster_id", "part")).alias("story_id"), "cluster_id", "importance", (c("importance") - 5).alias("margin"), "selected", band.alias("band"))
 
 
 @query(f"WITH {VALID}, u AS (SELECT DISTINCT unnest(ids) AS id FROM acc) SELECT count(*) AS used_articles, count(DISTINCT d.source) AS used_sources, (SELECT count(DISTINCT source) FROM documents) AS total_sources FROM documents d SEMI JOIN u ON u.id = d.doc_id")
@@ -212,29 +222,37 @@ def used_sources(spark, d):
     return docs.join(used, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("used_articles"), F.count_distinct("source").alias("used_sources")).crossJoin(docs.agg(F.count_distinct("source").alias("total_sources")))
 
 
-@query("""SELECT label, list(vec_id ORDER BY vec_id) FILTER (WHERE vec_id % 5 <> 0) AS kept FROM embeddings WHERE vec_id < 200 GROUP BY label""")
+@query("""SELECT label, vec_id FROM embeddings WHERE vec_id % 5 <> 0""")
 def outlier_removal(spark, d):
-    e = read(spark, d, "embeddings").where(c("vec_id") < 200).groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.collect_list(F.when(c("vec_id") % 5 == 0, c("vec_id"))).alias("out"))
-    return e.select("label", F.filter("ids", lambda x: ~F.array_contains("out", x)).alias("kept"))
+    """Members less their cluster's outliers (every fifth vector is named as one), by an anti join: no list of a cluster in one row."""
+    e = read(spark, d, "embeddings").select("label", "vec_id")
+    named = e.where(c("vec_id") % 5 == 0)
+    return e.join(named, ["label", "vec_id"], "left_anti")
 
 
-@query(f"""WITH {STORY}, m AS (SELECT cluster_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM cand) SELECT m.cluster_id, string_agg(coalesce('- ' || a.lang || ' ' || m.id::VARCHAR, '- missing ' || m.id::VARCHAR), chr(10) ORDER BY p) AS listing FROM m LEFT JOIN documents a ON a.doc_id = m.id AND a.doc_id % 9 <> 0 GROUP BY m.cluster_id""")
+@query(f"""WITH {STORY}, m AS (SELECT cluster_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM cand) SELECT m.cluster_id, string_agg(coalesce('- ' || a.lang || ' ' || m.id::VARCHAR, '- missing ' || m.id::VARCHAR), chr(10) ORDER BY p) AS listing FROM m LEFT JOIN documents a ON a.doc_id = m.id AND a.source <> 'src3' GROUP BY m.cluster_id""")
 def cluster_articles(spark, d):
     m = candidates(spark, d).select("cluster_id", F.posexplode("ids").alias("p", "id"))
-    a = read(spark, d, "documents").where(c("doc_id") % 9 != 0).select(c("doc_id").alias("id"), "lang")
+    a = read(spark, d, "documents").where(c("source") != "src3").select(c("doc_id").alias("id"), "lang")
     line = F.coalesce(F.concat(F.lit("- "), "lang", F.lit(" "), c("id").cast("string")), F.concat(F.lit("- missing "), c("id").cast("string")))
     g = m.join(a, "id", "left").groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("p", line.alias("t")))).alias("x"))
     return g.select("cluster_id", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("listing"))
 
 
-@query(f"""WITH {VALID}, m AS (SELECT cluster_id, part, unnest(ids) AS id FROM acc) SELECT cluster_id, part, count(*) AS matched FROM m JOIN documents d ON d.doc_id = m.id GROUP BY ALL""")
+@query(f"""WITH {VALID}, m AS (SELECT cluster_id, part, unnest(ids) AS id FROM acc) SELECT cluster_id, part, count(d.doc_id) AS matched, CASE WHEN count(d.doc_id) = 0 THEN 'No matching articles' END AS error FROM m LEFT JOIN documents d ON d.doc_id = m.id AND d.lang = 'en' GROUP BY ALL""")
 def story_articles(spark, d):
-    m = validated(candidates(spark, d))[0].select("cluster_id", "part", F.explode("ids").alias("doc_id"))
-    return m.join(read(spark, d, "documents").select("doc_id"), "doc_id").groupBy("cluster_id", "part").agg(F.count(F.lit(1)).alias("matched"))
+    """English articles of each story; a story without any stays, as an error."""
+    m = validated(candidates(spark, d))[0].select("cluster_id", "part", F.explode("ids").alias("id"))
+    docs = read(spark, d, "documents").where(c("lang") == "en").select("doc_id")
+    n = F.count("doc_id")
+    return m.join(docs, c("id") == c("doc_id"), "left").groupBy("cluster_id", "part").agg(n.alias("matched"), F.when(n == 0, "No matching articles").alias("error"))
 
 
-@query(f"""WITH {VALID}, m AS (SELECT cluster_id, part, importance, unnest(ids) AS id FROM acc) SELECT count(*) AS total_articles, count(DISTINCT d.source) AS total_sources, count(*) FILTER (WHERE importance >= 5) AS used_articles, count(DISTINCT d.source) FILTER (WHERE importance >= 5) AS used_sources FROM m LEFT JOIN documents d ON d.doc_id = m.id""")
+@query(f"""WITH {VALID}, m AS (SELECT cluster_id, part, unnest(ids) AS id FROM acc), t AS (SELECT m.*, d.source, d.text FROM m LEFT JOIN documents d ON d.doc_id = m.id), r AS (SELECT cluster_id, part, CASE WHEN bool_and(coalesce(source <> 'src3' AND text <> '', false)) THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status FROM t GROUP BY ALL)
+SELECT count(*) AS total_articles, count(DISTINCT source) AS total_sources, count(*) FILTER (WHERE status = 'COMPLETE') AS used_articles, count(DISTINCT source) FILTER (WHERE status = 'COMPLETE') AS used_sources FROM t JOIN r USING (cluster_id, part)""")
 def brief_statistics(spark, d):
-    m = validated(candidates(spark, d))[0].select("importance", F.explode("ids").alias("doc_id")).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id", "left")
-    used = c("importance") >= 5
-    return m.agg(F.count(F.lit(1)).alias("total_articles"), F.count_distinct("source").alias("total_sources"), F.count_if(used).alias("used_articles"), F.count_distinct(F.when(used, c("source"))).alias("used_sources"))
+    """Articles and sources of all stories, and of those whose report is COMPLETE (no article is without text or from a source that can't be read, here src3)."""
+    t = validated(candidates(spark, d))[0].select("cluster_id", "part", F.explode("ids").alias("doc_id")).join(read(spark, d, "documents").select("doc_id", "source", (c("text") != "").alias("has")), "doc_id", "left")
+    r = t.groupBy("cluster_id", "part").agg(F.every(F.coalesce((c("source") != "src3") & c("has"), F.lit(False))).alias("used"))
+    m = t.join(r, ["cluster_id", "part"])
+    return m.agg(F.count(F.lit(1)).alias("total_articles"), F.count_distinct("source").alias("total_sources"), F.count_if("used").alias("used_articles"), F.count_distinct(F.when(c("used"), c("source"))).alias("used_sources"))

@@ -88,6 +88,11 @@ def test_clean_page():
     assert "<script" not in out and "menu" not in out and "Buy" not in out and '<meta charset' not in out and "&amp;" in out
     assert H.clean_one('<div><p style="a" title="t">x</p><span> </span></div><b></b>') == '<div><p title="t">x</p></div>'
     assert H.clean_one(None) is None and H.clean_one("") == ""
+    assert H.clean_one('<div><form>x<p>in it</div><p>Story two.</p>') == "<p>Story two.</p>"
+    assert H.clean_one("<ul><li>a<nav>b</ul><p>c</p>") == "<ul><li>a</ul><p>c</p>"
+    assert H.clean_one('<body class="has-modal"><div class="modal">x</div><p class="ad-free">y</p></body>') == "<body><p>y</p></body>"
+    whole = H.read_one('<title>t</title><body class="has-modal"><article><p>Some words of the story.</p></article></body>')
+    assert whole[1] == "Some words of the story." and whole[3] is None
 
 
 def test_contents(spark):

@@ -21,9 +21,13 @@ LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "blockquot
 UNWANTED = ("paywall", "overlay", "advert", "cookie", "subscribe", "modal")
 
 
-def _unwanted(attrs: dict) -> bool:
+CLOSES = {"p": BLOCKS - {"td", "body"}, "li": {"li"}, "td": {"td", "tr"}, "th": {"td", "tr"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}}  # what ends an element without an end tag
+
+
+def _unwanted(tag: str, attrs: dict) -> bool:
+    """Overlays and the like; only a div or a section can be one, so a class of the body never empties a page."""
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-    return any(u in names for u in UNWANTED) or "ad" in names.split()
+    return tag in ("div", "section") and (any(u in names for u in UNWANTED) or "ad" in names.split())
 
 
 class _Cleaner(HTMLParser):
@@ -33,10 +37,13 @@ class _Cleaner(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.out: list[str] = []
         self.skip: list[str] = []
+        self.open: list[str] = []  # elements written and not yet ended
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if self.skip or tag in DROPPED or _unwanted(a):
+        while self.skip and tag in CLOSES.get(self.skip[-1], ()):
+            self.skip.pop()
+        if self.skip or tag in DROPPED or _unwanted(tag, a):
             if tag not in VOID:
                 self.skip.append(tag)
             return
@@ -44,17 +51,22 @@ class _Cleaner(HTMLParser):
             return
         stay = a if tag == "meta" else {k: v for k, v in a.items() if k in KEPT_ATTRIBUTES}
         self.out.append("<" + tag + "".join(f' {k}="{entities.escape(v or "")}"' for k, v in stay.items()) + ">")
+        if tag not in VOID:
+            self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag in self.skip:
-                while self.skip.pop() != tag:
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
+        elif tag not in VOID and (not self.skip or tag in self.open):
+            self.skip.clear()  # the end of what it lies in ends a dropped element, too
+            if tag in self.open:
+                while self.open.pop() != tag:
                     pass
-        elif tag not in VOID:
             self.out.append(f"</{tag}>")
 
     def handle_data(self, data):
@@ -121,7 +133,7 @@ class _Reader(HTMLParser):
                 pass
         n = len(self.tag)
         self.parent[n], self.tag[n] = self.at(), tag
-        self.open.append(("drop" if tag in DROPPED or _unwanted(a) else tag, n))
+        self.open.append(("drop" if tag in DROPPED or _unwanted(tag, a) else tag, n))
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEED = {"id": 1, "name": "Hacker News", "url": "https://news.ycombinator.com/rss", "scrape_frequency": 1, "category": "news", "paywall": False}
+SEED = {"id": 1, "name": "Hacker news", "url": "https://news.ycombinator.com/rss", "scrape_frequency": 1, "category": "news", "paywall": False}
 
 
 def put_texts(articles: DataFrame, root: str, ts: str = "created_at", id_col: str = "id", text: str = "content") -> None:

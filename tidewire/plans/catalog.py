@@ -6,7 +6,7 @@ import importlib
 
 from tidewire.plans.registry import ORACLES, QUERIES
 
-MODULES = ["overview", "articles", "vectors", "observability", "density", "intelligence", "pages", "briefs"]
+MODULES = ["overview", "articles", "vectors", "observability", "density", "intelligence", "pages", "briefs", "monitoring"]
 for _name in MODULES:
     importlib.import_module(f"tidewire.plans.{_name}")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewire.bridge import ARTICLES, METRICS, articles, metrics, read, text_of
+from tidewire.bridge import ARTICLES, DIM, METRICS, articles, metrics, read, text_of
 from tidewire.plans.registry import query
 
 c = F.col
@@ -44,14 +44,20 @@ def step_pairing(spark, d):
     return m.where(c("status").isin("completed", "failed")).join(began, ["workflow_id", "step_name"]).where(c("ts") >= c("began")).select("event_id", R(secs, 3).alias("seconds"))
 
 
-@query(f"""WITH {ARTICLES}, q AS (SELECT (length(content) > 100)::INTEGER + (content_file_key IS NOT NULL)::INTEGER + (embedding IS NOT NULL)::INTEGER + (len(event_summary_points) > 0)::INTEGER AS s, length(content) AS n, embedding IS NOT NULL AS v FROM articles)
-SELECT count(*) FILTER (WHERE s / 4.0 >= 0.8) AS high, count(*) FILTER (WHERE s / 4.0 >= 0.5 AND s / 4.0 < 0.8) AS medium, count(*) FILTER (WHERE s / 4.0 < 0.5) AS low, min(n) AS min_chars, round(avg(n), 3) AS avg_chars, max(n) AS max_chars, round(count(*) FILTER (WHERE v) * 100.0 / count(*), 1)::DOUBLE AS coverage FROM q""")
+@query(f"""WITH {ARTICLES}, a AS (SELECT trim(coalesce(title, '')) <> '' AS t, trim(coalesce(content, '')) <> '' AS b, content_file_key IS NOT NULL AS r, coalesce(len(embedding) = {DIM}, FALSE) AS v, coalesce(epoch_ms(publish_date) > 0, FALSE) AS p, coalesce(length(content), 0) AS n FROM articles),
+q AS (SELECT *, t::INTEGER + (r OR b)::INTEGER + v::INTEGER + p::INTEGER AS s FROM a)
+SELECT count(*) FILTER (WHERE s / 4.0 >= 0.8) AS high, count(*) FILTER (WHERE s / 4.0 >= 0.5 AND s / 4.0 < 0.8) AS medium, count(*) FILTER (WHERE s / 4.0 < 0.5) AS low, round(avg(s / 4.0), 4)::DOUBLE AS avg_quality, count(*) FILTER (WHERE NOT t) AS no_title, count(*) FILTER (WHERE NOT b AND NOT r) AS no_content, count(*) FILTER (WHERE NOT r) AS no_reference, count(*) FILTER (WHERE NOT v) AS no_embedding, count(*) FILTER (WHERE NOT p) AS bad_date,
+count(*) FILTER (WHERE n = 0) AS empty, min(n) AS min_chars, round(avg(n), 3) AS avg_chars, max(n) AS max_chars, round(count(*) FILTER (WHERE v) * 100.0 / count(*), 1)::DOUBLE AS coverage FROM q""")
 def article_quality(spark, d):
-    a = articles(spark, d, vectors=True)
-    flags = [F.length("content") > 100, c("content_file_key").isNotNull(), c("embedding").isNotNull(), F.size("event_summary_points") > 0]
-    q = a.select((sum(f.cast("int") for f in flags) / 4.0).alias("s"), F.length("content").cast("bigint").alias("n"), flags[2].alias("v"))
-    s = c("s")
-    return q.agg(F.count_if(s >= 0.8).alias("high"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium"), F.count_if(s < 0.5).alias("low"), F.min("n").alias("min_chars"), R(F.avg("n"), 3).alias("avg_chars"), F.max("n").alias("max_chars"), R(F.count_if("v") * 100.0 / F.count(F.lit(1)), 1).alias("coverage"))
+    """A quarter each for a title, content or its reference, a vector of the right width and a date after 1970; the articles that lack each."""
+    has = lambda x: F.trim(F.coalesce(c(x), F.lit(""))) != ""
+    flags = {"t": has("title"), "b": has("content"), "r": c("content_file_key").isNotNull(), "v": F.coalesce(F.size("embedding") == DIM, F.lit(False)), "p": F.coalesce(F.unix_millis("publish_date") > 0, F.lit(False)), "n": F.coalesce(F.length("content"), F.lit(0)).cast("bigint")}
+    a = articles(spark, d, vectors=True).select(*(x.alias(k) for k, x in flags.items()))
+    q = a.withColumn("s", sum(f.cast("int") for f in (c("t"), c("r") | c("b"), c("v"), c("p"))) / 4.0)
+    s, lack = c("s"), lambda f, name: F.count_if(~f).alias(name)
+    return q.agg(F.count_if(s >= 0.8).alias("high"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium"), F.count_if(s < 0.5).alias("low"), R(F.avg(s)).alias("avg_quality"),
+                 lack(c("t"), "no_title"), lack(c("b") | c("r"), "no_content"), lack(c("r"), "no_reference"), lack(c("v"), "no_embedding"), lack(c("p"), "bad_date"), F.count_if(c("n") == 0).alias("empty"),
+                 F.min("n").alias("min_chars"), R(F.avg("n"), 3).alias("avg_chars"), F.max("n").alias("max_chars"), R(F.count_if("v") * 100.0 / F.count(F.lit(1)), 1).alias("coverage"))
 
 
 @query(f"""WITH {METRICS}, s AS (SELECT date_trunc('day', ts) AS day, step_name, count(*) AS n FROM metrics GROUP BY ALL) SELECT strftime(day, '%Y-%m-%d') AS day, step_name, n, n - lag(n) OVER (PARTITION BY step_name ORDER BY day) AS delta FROM s""")

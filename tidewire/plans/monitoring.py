@@ -11,10 +11,13 @@ from tidewire.plans.registry import query
 from tidewire.plans.vectors import VALID, candidates, validated
 
 c = F.col
-N = F.count(F.lit(1))
 S = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Percentage with one decimal; 0 where there is nothing."""
     return F.round(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), 1)
@@ -37,10 +40,10 @@ def dataflow_report(spark, d):
     ended = c("status") != "started"
     row = lambda t, stage, total, used, detail: t.agg(total.alias("total"), used.alias("used"), detail.cast("double").alias("detail")).select(F.lit(stage).alias("stage"), "total", "used", "detail")
     parts = [
-        row(articles(spark, d, vectors=True), "article_processing", N, F.count("embedding"), F.try_divide(F.count("content_file_key") * 100.0, N)),
-        row(read(spark, d, "embeddings").groupBy("label").agg(N.alias("n")), "clustering_analysis", N, F.count_if(c("n") >= 3), F.avg("n")),
+        row(articles(spark, d, vectors=True), "article_processing", n_rows(), F.count("embedding"), F.try_divide(F.count("content_file_key") * 100.0, n_rows())),
+        row(read(spark, d, "embeddings").groupBy("label").agg(n_rows().alias("n")), "clustering_analysis", n_rows(), F.count_if(c("n") >= 3), F.avg("n")),
         row(decisions(spark, d), "story_selection", F.sum("candidates"), F.sum("selected"), F.avg("margin")),
-        row(m, "ai_analysis", N, F.count_if(c("status") == "completed"), F.avg("duration")),
+        row(m, "ai_analysis", n_rows(), F.count_if(c("status") == "completed"), F.avg("duration")),
         row(reports(spark, d), "brief_generation", F.sum("total_articles"), F.sum("used_articles"), F.avg("total_sources")),
         row(m, "stages", F.count_if(ended), F.count_if(c("status") == "completed"), F.sum(F.when(ended, c("duration")))),
     ]
@@ -65,8 +68,8 @@ w AS (SELECT workflow_id, sum(duration) AS ms, count(*) AS steps, count(*) FILTE
 SELECT briefs, last_brief, round(ms / 1000, 1) AS seconds, round(bad * 1.0 / steps, 4)::DOUBLE AS error_rate, list_filter([CASE WHEN briefs = 0 THEN 'no brief in a day' END, CASE WHEN bad * 1.0 / steps > 0.1 THEN 'many errors' END], lambda x: x IS NOT NULL) AS advice FROM b, l""")
 def dashboard_day(spark, d):
     """The day's briefs and the summary of the workflow that wrote last; both sides of the join have one row."""
-    b = reports(spark, d).where(c("created_at") >= hours_ago(24)).agg(F.least(N, F.lit(10)).alias("briefs"), text_of(F.max("created_at")).alias("last_brief"))
-    w = metrics(spark, d).groupBy("workflow_id").agg(F.sum("duration").alias("ms"), N.alias("steps"), F.count_if(c("status") == "failed").alias("bad"), F.max(F.struct("ts", "event_id")).alias("last"))
+    b = reports(spark, d).where(c("created_at") >= hours_ago(24)).agg(F.least(n_rows(), F.lit(10)).alias("briefs"), text_of(F.max("created_at")).alias("last_brief"))
+    w = metrics(spark, d).groupBy("workflow_id").agg(F.sum("duration").alias("ms"), n_rows().alias("steps"), F.count_if(c("status") == "failed").alias("bad"), F.max(F.struct("ts", "event_id")).alias("last"))
     last = w.agg(F.max_by(F.struct("ms", "steps", "bad"), "last").alias("l")).select("l.*")
     share = F.try_divide(c("bad"), c("steps"))
     advice = F.array_compact(F.array(F.when(c("briefs") == 0, "no brief in a day"), F.when(share > 0.1, "many errors")))
@@ -77,7 +80,7 @@ def dashboard_day(spark, d):
 p AS (SELECT *, lag(n) OVER (PARTITION BY step_name ORDER BY day) AS was FROM s) SELECT strftime(day, '%Y-%m-%d') AS day, step_name, was, n, n - was AS delta FROM p WHERE was <> n AND was <> -1 AND n <> -1 ORDER BY p.day DESC, step_name LIMIT 50""")
 def snapshot_changes(spark, d):
     """The last 50 changes of a daily count; -1 (every seventh day here) stands for a count that failed and makes no change."""
-    s = metrics(spark, d).groupBy(F.date_trunc("day", "ts").alias("day"), "step_name").agg(N.alias("n"))
+    s = metrics(spark, d).groupBy(F.date_trunc("day", "ts").alias("day"), "step_name").agg(n_rows().alias("n"))
     s = s.withColumn("n", F.when(F.dayofmonth("day") % 7 == 0, F.lit(-1).cast("bigint")).otherwise(c("n")))
     p = s.withColumn("was", F.lag("n").over(Window.partitionBy("step_name").orderBy("day")))
     p = p.where((c("was") != c("n")) & (c("was") != -1) & (c("n") != -1)).orderBy(F.desc("day"), "step_name").limit(50)
@@ -89,7 +92,7 @@ def termination_report(spark, d):
     """Runs (the clusters of one verdict) that end without a story: their clusters and articles by the reason of rejection."""
     accepted, rejected = validated(candidates(spark, d))
     run = F.expr("(cluster_id div 10) % 5").cast("int").alias("run")
-    r = rejected.select(run, "reason", F.size("ids").alias("n")).groupBy("run", "reason").agg(N.alias("clusters"), F.sum("n").alias("articles"))
+    r = rejected.select(run, "reason", F.size("ids").alias("n")).groupBy("run", "reason").agg(n_rows().alias("clusters"), F.sum("n").alias("articles"))
     return r.join(accepted.select(run).distinct(), "run", "left_anti").withColumn("outcome", F.lit("INSUFFICIENT_QUALITY_STORIES"))
 
 
@@ -147,4 +150,4 @@ def cluster_response(spark, d):
     e = read(spark, d, "embeddings").where(c("label") != 0)
     meta = F.create_map(F.lit("id"), F.when(c("vec_id") % 3 == 0, F.concat(F.lit("a"), c("vec_id").cast("string"))).otherwise(""))
     items = e.select(c("label").cast("bigint").alias("cluster_id"), F.coalesce(F.nullif(meta["id"], F.lit("")), c("vec_id").cast("string")).alias("article_id"))
-    return items.join(items.groupBy("cluster_id").agg(N.alias("size")), "cluster_id")
+    return items.join(items.groupBy("cluster_id").agg(n_rows().alias("size")), "cluster_id")

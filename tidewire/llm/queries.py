@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, language_id, mixing, near_dedup, order_minhash, pii, piece_sampling, secret_scan, sharding, toxicity
+from tidewire.llm import exact_dedup, language_id, mixing, near_dedup, order_minhash, pii, piece_sampling, secret_scan, sharding, simhash_ball, toxicity, turn_trie, word_runs
 from tidewire.llm.common import table
 
 SHARDS = 40
@@ -69,10 +69,38 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", crc.alias("h"), F.when(crc % 10 == 0, words).alias("w")).withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w"))
+    placed = some.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    made = placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    found = word_runs.find_runs(made, periods=4, least=6)
+    top = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    best = found.withColumn("top", F.when(F.size("runs") > 0, top))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"),
+        F.expr("(1000 * -top.l) div top.p").alias("exponent_milli"), F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = turn_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    share = F.crc32(F.col("_c").cast("string")) % 6
+    return turn_trie.prefix_trie(turn_trie.with_shared_head(lists, F.col("_c") - F.col("_c") % 100, share))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_sharding, op2_mixing, op3_toxicity, op4_pii, op5_secrets, op6_near_dedup, op7_exact_dedup, op8_language, op9_pieces, op10_fingerprints]
+    own = [op1_sharding, op2_mixing, op3_toxicity, op4_pii, op5_secrets, op6_near_dedup, op7_exact_dedup, op8_language, op9_pieces, op10_fingerprints, op11_runs, op12_trie, op13_simhash]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -135,5 +163,46 @@ FROM n LEFT JOIN reps ON reps.n = n.n AND reps.h = n.h LEFT JOIN comp ON comp.a
 """
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a short text; needs tab(t)."""
+    x = f"hex(encode({text}))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}), 2), lambda i: ('0x' || {x}[i:i + 1])::BIGINT)), lambda c, y: xor(t[xor(c & 255, y) + 1], c >> 8)))"
+
+
+OP11_SQL = rf"""
+WITH tab AS (SELECT {_CRC_TABLE} AS t),
+w AS (SELECT doc_id, {_crc_sql("doc_id::VARCHAR")} AS h, list_filter(string_split_regex(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> '') AS ws FROM documents, tab),
+m AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS again, (h // 10) % greatest(1, len(ws)) AS a, h // 10 AS g FROM w),
+p AS (SELECT doc_id, n, ws, again, a, 1 + (n - a) // (3 + g % 8) AS p FROM m),
+i AS (SELECT doc_id, n, k AS i, CASE WHEN again AND k >= a THEN ws[a + (k - a) % p + 1] ELSE ws[k + 1] END AS word FROM (SELECT *, unnest(range(0, n)) AS k FROM p) q),
+pair AS (SELECT x.doc_id, x.i AS b, y.i - x.i AS q FROM i x JOIN i y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT doc_id, q, b - row_number() OVER (PARTITION BY doc_id, q ORDER BY b) AS z, b FROM pair),
+stretch AS (SELECT doc_id, q, min(b) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, z),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+digest AS (SELECT doc_id, count(*) AS n_runs, string_agg(start::VARCHAR || ',' || length::VARCHAR || ',' || period::VARCHAR || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY doc_id),
+top AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT i.doc_id, string_agg(word, ' ' ORDER BY i.i) AS t FROM i ANTI JOIN gone USING (doc_id, i) GROUP BY i.doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM m LEFT JOIN digest USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP12_SQL = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS t),
+o AS (SELECT conv_id AS c, list(struct_pack(d := sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), n := length(coalesce(text, ''))) ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT o.c, {_crc_sql("o.c::VARCHAR")} % 6 AS h, o.ts, p.ts AS first FROM tab, o LEFT JOIN o p ON p.c = o.c - o.c % 100),
+b AS (SELECT c, list_concat(coalesce(first, [])[1:h], ts[h + 1:]) AS ts FROM r),
+x AS (SELECT c, len(ts) AS m, d, CASE WHEN d > 0 THEN ts[d].n ELSE 0 END AS size, sha256(array_to_string(list_transform(ts[1:d], lambda y: y.d), ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(ts[1:d - 1], lambda y: y.d), ',')) END AS up
+ FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM b) q),
+n AS (SELECT node, d, any_value(up) AS up, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE m = d) AS ends FROM x GROUP BY node, d),
+k AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.node = n.node AND k.d = n.d),
+s AS (SELECT x.node, x.d, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.size)::BIGINT AS saved_tokens FROM f JOIN x ON x.c = f.conv_id AND x.d <= f.d GROUP BY x.node, x.d)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s ON s.node = f.node AND s.d = f.d LEFT JOIN f p ON p.node = f.up AND p.d = f.d - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op5_secrets": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_secrets": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_runs": OP11_SQL, "op12_trie": OP12_SQL}

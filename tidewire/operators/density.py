@@ -1,7 +1,7 @@
 """Density clustering of vectors by group: reduction, hierarchy, validity and grid search.
 
 A group is one time bucket or one brief's articles.  The hierarchy needs distances between all rows of a group, so a
-group beyond `most_rows` is refused by name, never cut.
+group beyond `most_rows` is refused by name, never cut; `density_table` clusters whole tables.
 """
 
 from __future__ import annotations
@@ -70,16 +70,13 @@ def _tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: float = 0.0) -> np.ndarray:
-    """Cluster of each row, -1: noise.  Clusters of the condensed hierarchy with the greatest excess of mass."""
-    n = len(x)
-    if n <= 3:
-        return np.zeros(n, int)
-    k = min(min_samples, n - 1)
-    core = np.concatenate([np.partition(_distances(x[i:i + 512], x), k - 1, axis=1)[:, k - 1] for i in range(0, n, 512)])
-    edges = _tree(x, core)
-    edges = edges[np.argsort(edges[:, 2], kind="stable")]
-    head, size, kids, high = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
+LEAST = 1e-12  # a shorter distance counts as this one
+
+
+def merge_group(states: list[dict], edges: list[tuple[int, int, float]], least: int, name: str) -> tuple[list[tuple], list[tuple], list[dict]]:
+    """(homes (point, cluster), clusters (id, parent, birth, chosen), nodes left) after merging nodes along edges, shortest first."""
+    state, head = {s["node"]: s for s in states}, {s["node"]: s["node"] for s in states}
+    homes, closed, made = [], [], 0
 
     def top(a: int) -> int:
         while head[a] != a:
@@ -87,76 +84,87 @@ def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: f
             a = head[a]
         return a
 
-    for i, (a, b, length) in enumerate(edges):
-        a, b, new = top(int(a)), top(int(b)), n + i
-        head[a] = head[b] = new
-        kids[new], high[new], size[new] = (a, b), length, size[a] + size[b]
-
-    def leaves(a: int) -> list[int]:
-        stack, found = [a], []
-        while stack:
-            v = stack.pop()
-            if v < n:
-                found.append(v)
+    edges = sorted(edges, key=lambda e: e[2])
+    i = 0
+    while i < len(edges):
+        j, w = i, edges[i][2]
+        while j < len(edges) and edges[j][2] == w:
+            j += 1
+        roots = {r for a, b, _ in edges[i:j] for r in (top(a), top(b))}
+        for a, b, _ in edges[i:j]:
+            a, b = top(a), top(b)
+            if a != b:
+                head[max(a, b)] = min(a, b)
+        groups: dict[int, list[dict]] = {}
+        for r in sorted(roots):
+            groups.setdefault(top(r), []).append(state.pop(r))
+        level = 1 / max(w, LEAST)
+        for at, parts in groups.items():
+            large, small = [s for s in parts if s["cluster"]], [s for s in parts if not s["cluster"]]
+            size, loose = sum(s["size"] for s in parts), sum(s["size"] for s in small)
+            if not large and size < least:
+                state[at] = _node(at, size, [p for s in small for p in s["points"]])
+                continue
+            if len(large) == 1:
+                new = large[0]
+                new["node"] = at
             else:
-                stack.extend(kids[v])
-        return found
+                made += 1
+                new = _node(at, 0, None, f"{name}:{made}")
+                for s in large:
+                    mass = s["sum_left"] - level * s["n_left"] + (0 if s["split"] is None else (s["split"] - level) * s["n_split"])
+                    closed.append((s["cluster"], new["cluster"], level, mass >= s["below"]))
+                    new["below"] += max(mass, s["below"])
+                if large:
+                    new["split"], new["n_split"] = level, size - loose
+            new["size"] = size
+            new["n_left"] += loose
+            new["sum_left"] += level * loose
+            homes += [(p, new["cluster"]) for s in small for p in s["points"]]
+            state[at] = new
+        i = j
+    return homes, closed, list(state.values())
+
+
+def _node(node: int, size: int, points: list[int] | None, cluster: str | None = None) -> dict:
+    return {"node": node, "size": size, "points": points, "cluster": cluster, "n_left": 0, "sum_left": 0.0, "split": None, "n_split": 0, "below": 0.0}
 
-    parent, birth, mass, home = [-1], [0.0], [0.0], np.zeros(n, int)
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        node, own = stack.pop()
-        level = 1 / max(high[node], 1e-12)
-        large = [kid for kid in kids[node] if size[kid] >= min_cluster]
-        for kid in kids[node]:
-            if len(large) == 2:
-                mass[own] += (level - birth[own]) * size[kid]
-                parent.append(own)
-                birth.append(level)
-                mass.append(0.0)
-                stack.append((kid, len(parent) - 1))
-            elif kid in large:
-                stack.append((kid, own))
-            else:
-                mass[own] += (level - birth[own]) * size[kid]
-                home[leaves(kid)] = own
+
+def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: float = 0.0) -> np.ndarray:
+    """Cluster of each row, -1: noise.  Clusters of the condensed hierarchy with the greatest excess of mass."""
+    n = len(x)
+    if n <= 3:
+        return np.zeros(n, int)
     if min_cluster < 2:
         raise ValueError("min_cluster is 2 or more")
-    below, chosen = [0.0] * len(parent), [False] * len(parent)
-    for c in range(len(parent) - 1, 0, -1):
-        chosen[c] = mass[c] >= below[c]
-        below[parent[c]] += max(mass[c], below[c])
-    taken: set[int] = set()
-    for c in range(1, len(parent)):
-        up = parent[c]
-        while up > 0 and not chosen[up]:
-            up = parent[up]
-        chosen[c] = chosen[c] and up <= 0
-        if chosen[c]:
-            taken.add(c)
+    k = min(min_samples, n - 1)
+    core = np.array([np.partition(np.sqrt(((x - r) ** 2).sum(1)), k - 1)[k - 1] for r in x])
+    edges = [(int(a), int(b), w) for a, b, w in _tree(x, core)]
+    homes, closed, _ = merge_group([_node(i, 1, [i]) for i in range(n)], edges, min_cluster, "c")
+    parent, birth = {c: up for c, up, _, _ in closed}, {c: level for c, _, level, _ in closed}
+
+    def highest(c: str | None, marked: set[str]) -> str | None:
+        """The highest marked cluster from c upwards, below the root."""
+        found = None
+        while c in parent:
+            found, c = c if c in marked else found, parent[c]
+        return found
+
+    taken = {c for c, _, _, chosen in closed if chosen}
+    taken = {c for c in taken if highest(c, taken) == c}
     if epsilon > 0:
         merged = set()
         for c in taken:
-            while 1 / birth[c] < epsilon and parent[c] > 0:
+            while 1 / birth[c] < epsilon and parent[c] in parent:
                 c = parent[c]
             merged.add(c)
-
-        def above(c: int) -> bool:
-            while parent[c] > 0:
-                c = parent[c]
-                if c in merged:
-                    return True
-            return False
-
-        taken = {c for c in merged if not above(c)}
-    of = []
-    for c in range(len(parent)):
-        of.append(c if c in taken else of[parent[c]] if c > 0 else -1)
-    raw, names = np.array(of)[home], {-1: -1}
-    for r in raw:
-        if r not in names:
-            names[r] = len(names) - 1
-    return np.array([names[r] for r in raw])
+        taken = merged
+    home, names, of = dict(homes), {None: -1}, []
+    for i in range(n):
+        c = highest(home.get(i), taken)
+        names.setdefault(c, len(names) - 1)
+        of.append(names[c])
+    return np.array(of)
 
 
 def validity(x: np.ndarray, labels: np.ndarray) -> float:

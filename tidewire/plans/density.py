@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.bridge import read
 from tidewire.functions import vector as V
-from tidewire.operators import density, providers
+from tidewire.operators import density, density_table, providers
 from tidewire.plans.registry import query
 
 c = F.col
@@ -19,7 +19,8 @@ def _vectors(spark, d):
 
 @query()
 def density_clusters(spark, d):
-    return density.cluster(_vectors(spark, d), "bucket")
+    """All vectors in one clustering: each one's cluster (its smallest id), -1 for noise."""
+    return density_table.cluster_table(read(spark, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vec")))
 
 
 @query()

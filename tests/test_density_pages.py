@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
+from tidewire.functions import text as X
 from tidewire.operators import density, providers
 from tidewire.plans import catalog
 
@@ -86,15 +87,33 @@ def test_read_page(spark):
 def test_clean_page():
     out = H.clean_one(PAGE)
     assert "<script" not in out and "menu" not in out and "Buy" not in out and '<meta charset' not in out and "&amp;" in out
-    assert H.clean_one('<div><p style="a" title="t">x</p><span> </span></div><b></b>') == '<div><p title="t">x</p></div>'
+    assert H.clean_one('<div><p style="a" title="t">x</p><span> </span></div><b></b>') == '<div><p title="t">x</p></div><b></b>'
     assert H.clean_one(None) is None and H.clean_one("") == ""
     assert H.clean_one('<div><form>x<p>in it</div><p>Story two.</p>') == "<p>Story two.</p>"
     assert H.clean_one("<ul><li>a<nav>b</ul><p>c</p>") == "<ul><li>a</ul><p>c</p>"
     assert H.clean_one('<body class="has-modal"><div class="modal">x</div><p class="ad-free">y</p></body>') == "<body><p>y</p></body>"
+    own = '<article><header><h1>T</h1></header><p>Text.</p><table><tr><td></td><td>5</td></tr></table><footer>By A.</footer></article>'
+    assert H.clean_one(f'<header>site</header>{own}<footer>foot</footer>') == own
+    gone = ['<div class="comments">c</div>', '<p class="x ads">a</p>', '<ul class="my-social-bar"><li>s</li></ul>', '<div id="social">s</div>', '<div class="share">s</div>', '<div class="related">r</div>', '<div class="recommended">r</div>',
+            '<div class="newsletter">n</div>', '<div class="subscription">n</div>', '<div role="banner">b</div>', '<ol role="navigation"><li>x</li></ol>', '<b role="complementary">x</b>', '<section id="PayWall-1">x</section>', '<div class="modal-backdrop">x</div>', '<meta name="a" content="b">',
+            '<div><span> &nbsp; <img src="x"></span></div>', "<p>", "<script>1</script>", "<form><p>x</p></form>"]
+    for g in gone:
+        assert H.clean_one(f"<p>a</p>{g}<p>b</p>") == "<p>a</p><p>b</p>", g
+    assert H.clean_one('<body><div style="position: fixed">x</div><p>y</p></body>') == "<body><p>y</p></body>" and H.clean_one('<p class="shared headline">k</p><b> </b>') == "<p>k</p><b> </b>"
+    assert "By A." in H.read_one(f"<title>t</title><footer>foot</footer>{own}")[1] and "foot" not in H.read_one(f"<title>t</title><footer>foot</footer>{own}")[1]
     whole = H.read_one('<title>t</title><body class="has-modal"><article><p>Some words of the story.</p></article></body>')
     assert whole[1] == "Some words of the story." and whole[3] is None
 
 
+@pytest.mark.parametrize(("given", "want"), [
+    ("https://A.b/c?utm_source=x&id=1&fbclid=2#f", "https://a.b/c?id=1#f"), ("HTTPS://A.B/c/../d", "https://a.b/d"), ("https://a.b:443/", "https://a.b/"), ("not a url", None), ("", None), (None, None),
+    ("http://a.b:80/./x/%2E%2e/y/.", "http://a.b/y/"), ("http://a.b:8080", "http://a.b:8080/"), ("http://a.b:99999/", None), ("http://a.b:x/", None), ("https:///a.b/x", "https://a.b/x"), ("https://", None),
+    ("  https://a.b/p q?x=1 2&utm_term=z ", "https://a.b/p%20q?x=1+2"), ("https://a.b/é?n=é", "https://a.b/%C3%A9?n=%C3%A9"), ("https://u:p@A.b/?gclid=1", "https://u:p@a.b/"), ("https://a.b\\c\\d", "https://a.b/c/d"),
+    ("mailto:X@y.z", "mailto:X@y.z"), ("https://a b/", None), ("https://a.b/x?flag&a=%zz", "https://a.b/x?flag=&a=%25zz"), ("http://[::1]:80/x", "http://[::1]/x"), ("https://a.b/../../x", "https://a.b/x")])
+def test_urls(spark, given, want):
+    assert spark.range(1).select(X.clean_url(F.lit(given).cast("string")).alias("u")).head().u == want
+
+
 def test_contents(spark):
     page = "<h3>lost</h3><h2>One</h2><u><strong>a <b>b</b></strong></u><h2>Two</h2><h3>c</h3>"
     one = lambda p: [(x.level, x.title, x.section) for x in spark.range(1).select(H.contents(F.lit(p)).alias("x")).head().x]

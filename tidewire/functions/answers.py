@@ -63,8 +63,9 @@ def markdown(summary: Column, facts: Column, entities: Column, gaps: Column, out
 
 
 def masked(record: Column) -> Column:
-    """map<string, string> with the values of sensitive keys hidden."""
-    return F.transform_values(record, lambda k, v: F.when(k.rlike(SENSITIVE), F.lit("***")).otherwise(v))
+    """map<string, string> with the values of sensitive keys hidden and others cut at 100 characters."""
+    cut = lambda v: F.when(F.length(v) > 100, F.concat(F.substring(v, 1, 100), F.lit("..."))).otherwise(v)
+    return F.transform_values(record, lambda k, v: F.when(k.rlike(SENSITIVE), F.lit("[REDACTED]")).otherwise(cut(v)))
 
 
 def loggable(content: Column, most: int = 500) -> Column:

@@ -12,22 +12,31 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewire.functions import text as X
 
-# Elements whose whole content goes, void elements, attributes that stay.
-DROPPED = {"script", "style", "iframe", "noscript", "nav", "aside", "footer", "form", "template"}
+# Elements and classes whose whole content goes, roles, void elements, attributes that stay, elements that go when blank.
+DROPPED = {"script", "style", "iframe", "aside", "nav", "form"}
+DROPPED_CLASSES = {"ad", "ads", "advertisement", "share", "comments", "related", "recommended", "newsletter", "subscription", "modal", "modal-backdrop"}
+DROPPED_ROLES = {"complementary", "banner", "navigation"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 KEPT_ATTRIBUTES = {"href", "src", "alt", "title"}
+BLANKED = {"div", "span", "p", "section", "article"}
 BLOCKS = {"p", "div", "article", "main", "section", "li", "ul", "ol", "td", "tr", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "header", "body"}
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "blockquote"}
-UNWANTED = ("paywall", "overlay", "advert", "cookie", "subscribe", "modal")
+UNREAD = {"noscript", "template"}  # beside the dropped ones, where a text is read
 
 
 CLOSES = {"p": BLOCKS - {"td", "body"}, "li": {"li"}, "td": {"td", "tr"}, "th": {"td", "tr"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}}  # what ends an element without an end tag
 
 
-def _unwanted(tag: str, attrs: dict) -> bool:
-    """Overlays and the like; only a div or a section can be one, so a class of the body never empties a page."""
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-    return tag in ("div", "section") and (any(u in names for u in UNWANTED) or "ad" in names.split())
+def _unwanted(tag: str, attrs: dict, open_: list[str]) -> bool:
+    """Whether an element goes with all that it holds; open_: the elements around it.  Headers and footers stay inside articles."""
+    classes, ident = attrs.get("class") or "", attrs.get("id") or ""
+    if tag in DROPPED or DROPPED_CLASSES & set(classes.split()) or attrs.get("role") in DROPPED_ROLES or "social" in classes or "social" in ident:
+        return True
+    if tag in ("header", "footer"):
+        return "article" not in open_
+    names = f"{classes} {ident}".lower()
+    fixed = tag == "div" and open_[-1:] == ["body"] and "position: fixed" in (attrs.get("style") or "")
+    return fixed or tag in ("div", "section") and ("paywall" in names or "subscribe" in names)
 
 
 class _Cleaner(HTMLParser):
@@ -38,26 +47,42 @@ class _Cleaner(HTMLParser):
         self.out: list[str] = []
         self.skip: list[str] = []
         self.open: list[str] = []  # elements written and not yet ended
+        self.begun: list[int] = []  # where each of them begins in out
+        self.said: list[bool] = []  # whether it holds more than white space
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         while self.skip and tag in CLOSES.get(self.skip[-1], ()):
             self.skip.pop()
-        if self.skip or tag in DROPPED or _unwanted(tag, a):
+        while not self.skip and self.open and tag in CLOSES.get(self.open[-1], ()):
+            self._end()
+        if self.skip or _unwanted(tag, a, self.open):
             if tag not in VOID:
                 self.skip.append(tag)
             return
-        if tag == "meta" and len(a) < 2:
+        stay = {k: v for k, v in a.items() if k in KEPT_ATTRIBUTES}
+        if tag == "meta" and len(stay) < 2:
             return
-        stay = a if tag == "meta" else {k: v for k, v in a.items() if k in KEPT_ATTRIBUTES}
-        self.out.append("<" + tag + "".join(f' {k}="{entities.escape(v or "")}"' for k, v in stay.items()) + ">")
         if tag not in VOID:
             self.open.append(tag)
+            self.begun.append(len(self.out))
+            self.said.append(False)
+        self.out.append("<" + tag + "".join(f' {k}="{entities.escape(v or "")}"' for k, v in stay.items()) + ">")
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
 
+    def _end(self) -> tuple[str, bool]:
+        """Closes the innermost element; it goes if it is blank.  (its name, whether it stays)"""
+        tag, at, said = self.open.pop(), self.begun.pop(), self.said.pop()
+        if said and self.said:
+            self.said[-1] = True
+        blank = tag in BLANKED and not said
+        if blank:
+            del self.out[at:]
+        return tag, not blank
+
     def handle_endtag(self, tag):
         if tag in self.skip:
             while self.skip.pop() != tag:
@@ -65,13 +90,21 @@ class _Cleaner(HTMLParser):
         elif tag not in VOID and (not self.skip or tag in self.open):
             self.skip.clear()  # the end of what it lies in ends a dropped element, too
             if tag in self.open:
-                while self.open.pop() != tag:
+                while (ended := self._end())[0] != tag:
                     pass
-            self.out.append(f"</{tag}>")
+                if ended[1]:
+                    self.out.append(f"</{tag}>")
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._end()
 
     def handle_data(self, data):
         if not self.skip:
             self.out.append(data)
+            if self.said and entities.unescape(data).strip():
+                self.said[-1] = True
 
     def handle_entityref(self, name):
         self.handle_data(f"&{name};")
@@ -86,17 +119,7 @@ def clean_one(page: str | None) -> str | None:
     p = _Cleaner()
     p.feed(page)
     p.close()
-    kept: list[str] = []
-    for piece in p.out:  # an element that holds nothing goes, and then perhaps the one around it
-        kept.append(piece)
-        if piece.startswith("</"):
-            i = len(kept) - 2
-            while i >= 0 and not kept[i].strip():
-                i -= 1
-            name = piece[2:-1]
-            if i >= 0 and (kept[i] == f"<{name}>" or kept[i].startswith(f"<{name} ")):
-                del kept[i:]
-    return "".join(kept)
+    return "".join(p.out)
 
 
 class _Reader(HTMLParser):
@@ -133,7 +156,7 @@ class _Reader(HTMLParser):
                 pass
         n = len(self.tag)
         self.parent[n], self.tag[n] = self.at(), tag
-        self.open.append(("drop" if tag in DROPPED or _unwanted(tag, a) else tag, n))
+        self.open.append(("drop" if tag in UNREAD or _unwanted(tag, a, [t for t, _ in self.open]) else tag, n))
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions import url
+
 # White space as the reference's language has it, also for Java's (?U)\s.
 WS = r"[\s ﻿]"
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
@@ -30,12 +32,8 @@ def clean_string(x: Column) -> Column:
 
 
 def clean_url(x: Column) -> Column:
-    """The URL without tracking parameters; order of the others kept, fragment kept."""
-    base = F.regexp_extract(x, r"^([^?#]*)", 1)
-    query = F.regexp_extract(x, r"^[^?#]*\?([^#]*)", 1)
-    frag = F.regexp_extract(x, r"(#.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(TRACKING))
-    return F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), frag)
+    """The URL as a browser writes it, without tracking parameters; null if it is none."""
+    return url.serialised(x, TRACKING)
 
 
 def host(x: Column) -> Column:
@@ -93,8 +91,8 @@ def error_class(message: Column) -> Column:
     """First match of the fixed word lists."""
     m = F.lower(message)
     has = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(m, w))
-    return (F.when(has("timeout"), "timeout").when(has("network", "connection"), "network").when(has("auth", "unauthorized"), "authentication")
-            .when(has("rate limit", "quota"), "rate_limit").when(has("invalid", "validation"), "validation").otherwise("unknown"))
+    return (F.when(has("timeout"), "timeout").when(has("network", "connection"), "network").when(has("unauthorized", "forbidden"), "authentication")
+            .when(has("rate limit", "too many"), "rate_limit").when(has("invalid", "validation"), "validation").otherwise("unknown"))
 
 
 def status_code(message: Column) -> Column:
@@ -107,8 +105,20 @@ def retryable(code: Column) -> Column:
 
 
 def db_status(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.contains("duplicate") | m.contains("unique"), 409).when(m.contains("not found"), 404).when(m.contains("unauthorized"), 401).otherwise(500)
+    """HTTP status for a database error's message; letters count as they stand."""
+    has = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(message, w))
+    return F.when(has("unique constraint", "duplicate"), 409).when(has("not found", "no such"), 404).when(has("permission", "unauthorized"), 401).otherwise(500)
+
+
+# What tells a spent quota, and a request beyond the model's window.
+QUOTA = ["quota", "limit", "rate limit", "throttle", "resource exhausted", "429", "too many requests", "exceeded", "context window", "token limit", "max_output_tokens must be positive", "insufficient quota", "billing", "usage limit"]
+WINDOW = ["context window", "context length", "token limit", "exceeded", "input and maximum output tokens", "model context window limit", "sequence length", "maximum context length"]
+
+
+def mentions(message: Column, words: list[str]) -> Column:
+    """Whether the message holds one of the words, in any case; null: it doesn't."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(m, w))
 
 
 def importance(x: Column) -> Column:
@@ -140,8 +150,25 @@ def llm_json(x: Column) -> Column:
     return F.coalesce(*[valid(F.nullif(F.regexp_extract(x, w, 1), F.lit(""))) for w in ways], valid(x))
 
 
-def article_block(title: Column, url: Column, content: Column) -> Column:
-    return F.concat(F.lit("## "), title, F.lit("\n"), url, F.lit("\n\n"), content)
+def article_block(title: Column, url: Column, number: Column, date: Column, content: Column) -> Column:
+    """Linked heading with the number, quoted date, fenced text; a story's blocks are joined without a separator."""
+    return F.concat(F.lit("## ["), title, F.lit("]("), url, F.lit(") (#"), number.cast("string"), F.lit(")\n\n> "), date, F.lit("\n\n```\n"), content, F.lit("\n```\n\n"))
+
+
+# Seconds that a result stays, by capability.
+KEPT_SECONDS = {"embedding": 7200, "image": 86_400, "vision": 3600, "audio": 7200}
+
+
+def cache_key(capability: Column, provider: Column, model: Column, temperature: Column, max_tokens: Column, content: Column) -> Column:
+    """Key of a request: the named parts and the first 16 digits of the hash of all that shapes its answer."""
+    request = F.to_json(F.struct(capability.alias("capability"), model.alias("model"), temperature.alias("temperature"), max_tokens.alias("max_tokens"), content.alias("content")))
+    return F.concat_ws(":", F.lit("aig_cache"), capability, F.coalesce(provider, F.lit("auto")), F.coalesce(model, F.lit("default")), F.substring(F.sha2(request, 256), 1, 16))
+
+
+def cache_seconds(capability: Column, temperature: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in KEPT_SECONDS.items() for x in kv])
+    chat = F.when(temperature.isNull() | (temperature < 0.1), 3600).otherwise(1800)
+    return F.when(capability == "chat", chat).otherwise(F.coalesce(F.try_element_at(known, capability), F.lit(3600)))
 
 
 def text_or(text: Column, title: Column, content: Column) -> Column:

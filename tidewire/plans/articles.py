@@ -221,10 +221,12 @@ def inserted_to_process(spark, d):
     return incoming(spark, d).where(c("page_id") % 2 == 0).join(insert_ignore(spark, d).select("url"), "url", "left_semi").select("page_id")
 
 
-@query("""SELECT min(c_custkey) AS id, lower(substr(c_name, 1, 14)) AS email FROM customer WHERE c_custkey % 2 = 0 AND lower(substr(c_name, 1, 14)) NOT IN (SELECT lower(substr(c_name, 1, 14)) FROM customer WHERE c_custkey % 2 = 1) GROUP BY 2""")
+@query("""WITH k AS (SELECT c_custkey AS id, 'reader' || (c_custkey // 3)::VARCHAR || '@example.com' AS email, c_custkey % 4 = 1 AS old FROM customer) SELECT min(id) AS id, email FROM k WHERE NOT old AND email NOT IN (SELECT email FROM k WHERE old) GROUP BY email""")
 def newsletter_signup(spark, d):
-    k = read(spark, d, "customer").select(c("c_custkey").alias("id"), F.lower(F.substring("c_name", 1, 14)).alias("email"))
-    return tables.insert_ignore(k.where(c("id") % 2 == 1), k.where(c("id") % 2 == 0), "email", "id")
+    """Every fourth address is subscribed already; addresses that try again, or twice, are inserted once or not at all."""
+    i = c("c_custkey")
+    k = read(spark, d, "customer").select(i.alias("id"), F.concat(F.lit("reader"), F.expr("c_custkey div 3").cast("string"), F.lit("@example.com")).alias("email"))
+    return tables.insert_ignore(k.where(c("id") % 4 == 1), k.where(c("id") % 4 != 1), "email", "id")
 
 
 @query(f"""WITH {ARTICLES} SELECT id, CASE WHEN id % 11 = 0 THEN 'SKIPPED_PDF' WHEN id % 7 = 0 THEN 'FETCH_FAILED' WHEN id % 5 = 0 THEN 'CONTENT_FETCHED' WHEN id % 13 = 0 THEN 'AI_ANALYSIS_FAILED' WHEN id % 17 = 0 THEN 'EMBEDDING_FAILED' WHEN id % 19 = 0 THEN 'R2_UPLOAD_FAILED' ELSE 'PROCESSED' END AS status FROM articles WHERE status = 'PENDING_FETCH'""")
@@ -297,17 +299,18 @@ def redaction(spark, d):
     return read(spark, d, "customer").select(c("c_custkey").alias("id"), X.redact(c("c_name")).alias("name"), X.redact(c("c_mktsegment")).alias("segment"))
 
 
-MESSAGES = ["Request timeout after 30s", "Network connection lost", "401 Unauthorized", "429 rate limit reached", "Invalid body", "boom 503", "duplicate key value", "row not found", "quota exceeded 429", ""]
+MESSAGES = ["Request timeout after 30s", "Network connection lost", "401 Unauthorized", "429 rate limit reached", "Invalid body", "boom 503", "duplicate key value", "no such table", "quota exceeded 429", "", "Forbidden: permission denied", "Too Many Requests", "author unknown", "unique index, not found", "unauthorized user", "sequence length over 4096"]
 
 
-@query("""WITH m AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'Request timeout after 30s' WHEN 1 THEN 'Network connection lost' WHEN 2 THEN '401 Unauthorized' WHEN 3 THEN '429 rate limit reached' WHEN 4 THEN 'Invalid body' WHEN 5 THEN 'boom 503' WHEN 6 THEN 'duplicate key value' WHEN 7 THEN 'row not found' WHEN 8 THEN 'quota exceeded 429' ELSE '' END AS m FROM events),
-x AS (SELECT event_id, lower(m) AS l, nullif(regexp_extract(m, '([0-9]{3})', 1), '')::INTEGER AS code FROM m)
-SELECT event_id, CASE WHEN contains(l, 'timeout') THEN 'timeout' WHEN contains(l, 'network') OR contains(l, 'connection') THEN 'network' WHEN contains(l, 'auth') THEN 'authentication' WHEN contains(l, 'rate limit') OR contains(l, 'quota') THEN 'rate_limit' WHEN contains(l, 'invalid') OR contains(l, 'validation') THEN 'validation' ELSE 'unknown' END AS class, code,
-coalesce(code IN (408, 429) OR code BETWEEN 500 AND 599, false) AS retry, CASE WHEN contains(l, 'duplicate') OR contains(l, 'unique') THEN 409 WHEN contains(l, 'not found') THEN 404 WHEN contains(l, 'unauthorized') THEN 401 ELSE 500 END AS http FROM x""")
+@query("""WITH m AS (SELECT event_id, ['Request timeout after 30s', 'Network connection lost', '401 Unauthorized', '429 rate limit reached', 'Invalid body', 'boom 503', 'duplicate key value', 'no such table', 'quota exceeded 429', '', 'Forbidden: permission denied', 'Too Many Requests', 'author unknown', 'unique index, not found', 'unauthorized user', 'sequence length over 4096'][event_id % 16 + 1] AS m FROM events),
+x AS (SELECT event_id, m, lower(m) AS l, nullif(regexp_extract(m, '([0-9]{3})', 1), '')::INTEGER AS code FROM m)
+SELECT event_id, CASE WHEN contains(l, 'timeout') THEN 'timeout' WHEN contains(l, 'network') OR contains(l, 'connection') THEN 'network' WHEN contains(l, 'unauthorized') OR contains(l, 'forbidden') THEN 'authentication' WHEN contains(l, 'rate limit') OR contains(l, 'too many') THEN 'rate_limit' WHEN contains(l, 'invalid') OR contains(l, 'validation') THEN 'validation' ELSE 'unknown' END AS class, code,
+coalesce(code IN (408, 429) OR code BETWEEN 500 AND 599, false) AS retry, CASE WHEN contains(m, 'duplicate') OR contains(m, 'unique constraint') THEN 409 WHEN contains(m, 'not found') OR contains(m, 'no such') THEN 404 WHEN contains(m, 'unauthorized') OR contains(m, 'permission') THEN 401 ELSE 500 END AS http,
+regexp_matches(l, 'quota|limit|throttle|resource exhausted|429|too many requests|exceeded|context window|max_output_tokens must be positive|billing') AS quota, regexp_matches(l, 'context window|context length|token limit|exceeded|input and maximum output tokens|sequence length') AS beyond_window FROM x""")
 def error_class(spark, d):
-    m = F.element_at(F.array(*[F.lit(x) for x in MESSAGES]), (c("event_id") % 10 + 1).cast("int"))
+    m = F.element_at(F.array(*[F.lit(x) for x in MESSAGES]), (c("event_id") % 16 + 1).cast("int"))
     e = read(spark, d, "events").select("event_id", m.alias("m"))
-    return e.select("event_id", X.error_class(c("m")).alias("class"), X.status_code(c("m")).alias("code"), F.coalesce(X.retryable(X.status_code(c("m"))), F.lit(False)).alias("retry"), X.db_status(c("m")).alias("http"))
+    return e.select("event_id", X.error_class(c("m")).alias("class"), X.status_code(c("m")).alias("code"), F.coalesce(X.retryable(X.status_code(c("m"))), F.lit(False)).alias("retry"), X.db_status(c("m")).alias("http"), X.mentions(c("m"), X.QUOTA).alias("quota"), X.mentions(c("m"), X.WINDOW).alias("beyond_window"))
 
 
 @query(f"""WITH {ARTICLES}, s AS (SELECT id, epoch({T})::BIGINT - epoch(publish_date)::BIGINT AS s FROM articles) SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS age, least(greatest(coalesce(nullif(id % 14, 0), 5), 1), 10) AS importance FROM s""")
@@ -319,9 +322,10 @@ def ages(spark, d):
 STORY_STATUS = {"developing": "DEVELOPING", "escalating": "ESCALATING", "de-escalating": "DE_ESCALATING", "concluding": "CONCLUDING", "static": "STATIC"}
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'DEVELOPING' WHEN 'click' THEN 'ESCALATING' ELSE 'DEVELOPING' END AS story_status FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'ESCALATING' WHEN 'purchase' THEN 'DE_ESCALATING' WHEN 'signup' THEN 'CONCLUDING' WHEN 'error' THEN 'STATIC' ELSE 'DEVELOPING' END AS story_status FROM events""")
 def enum_maps(spark, d):
-    raw = F.when(c("event_type") == "view", "Developing").when(c("event_type") == "click", "ESCALATING").otherwise(c("event_type"))
+    kind = c("event_type")
+    raw = F.when(kind == "view", F.when(c("event_id") % 2 == 0, "Developing").otherwise("no such level")).when(kind == "click", "ESCALATING").when(kind == "purchase", "De-Escalating").when(kind == "signup", "concluding").when(kind == "error", "static")
     return read(spark, d, "events").select("event_id", X.mapped(raw, STORY_STATUS, "DEVELOPING").alias("story_status"))
 
 
@@ -333,10 +337,12 @@ def llm_json(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", X.llm_json(said).alias("json"))
 
 
-@query(f"""WITH {ARTICLES} SELECT id, length(substr(content, 1, 2000)) AS capped, length(CASE WHEN length(content) > 5000 THEN substr(content, 1, 5000) || '...[truncated]' ELSE content END) AS shortened, title || chr(10) || chr(10) || substr(content, 1, 500) || '...' AS article, '## ' || title || chr(10) || url || chr(10) || chr(10) || 'x' AS block FROM articles""")
+@query(f"""WITH {ARTICLES} SELECT id, length(substr(content, 1, 2000)) AS capped, length(CASE WHEN length(content) > 5000 THEN substr(content, 1, 5000) || '...[truncated]' ELSE content END) AS shortened, title || chr(10) || chr(10) || substr(content, 1, 500) || '...' AS article, '## [' || title || '](' || url || ') (#' || id::VARCHAR || ')' || chr(10) || chr(10) || '> ' || strftime(publish_date, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || '```' || chr(10) || substr(content, 1, 200) || chr(10) || '```' || chr(10) || chr(10) AS block,
+ CASE WHEN id % 3 = 0 THEN 'own text' WHEN trim(coalesce(content, '')) <> '' THEN title || chr(10) || substr(content, 1, 50) ELSE title END AS chosen FROM articles""")
 def text_limits(spark, d):
     a = articles(spark, d)
-    return a.select("id", F.length(X.limit_tokens(c("content"), 500)).cast("bigint").alias("capped"), F.length(X.truncated(c("content"), 5000)).cast("bigint").alias("shortened"), F.concat("title", F.lit("\n\n"), F.substring("content", 1, 500), F.lit("...")).alias("article"), X.article_block(c("title"), c("url"), F.lit("x")).alias("block"))
+    return a.select("id", F.length(X.limit_tokens(c("content"), 500)).cast("bigint").alias("capped"), F.length(X.truncated(c("content"), 5000)).cast("bigint").alias("shortened"), F.concat("title", F.lit("\n\n"), F.substring("content", 1, 500), F.lit("...")).alias("article"), X.article_block(c("title"), c("url"), c("id"), text_of(c("publish_date")), F.substring("content", 1, 200)).alias("block"),
+                    X.text_or(F.when(c("id") % 3 == 0, "own text").when(c("id") % 3 == 1, "  "), c("title"), F.substring("content", 1, 50)).alias("chosen"))
 
 
 @query("""SELECT o_orderkey AS id, greatest(1, least(coalesce(nullif(o_custkey, 0), 1024), 1024))::BIGINT AS tokens, round(greatest(1, least(coalesce(nullif(o_custkey, 0), 1024), 1024)) * CASE o_orderstatus WHEN 'O' THEN 0.00002 WHEN 'F' THEN 0.00005 ELSE 0.0 END, 6)::DOUBLE AS cost FROM orders""")
@@ -346,6 +352,12 @@ def token_cost(spark, d):
     return o.join(F.broadcast(prices), "o_orderstatus", "left").select(c("o_orderkey").alias("id"), "tokens", F.round(c("tokens") * F.coalesce("price", F.lit(0.0)), 6).alias("cost"))
 
 
-@query("""SELECT doc_id, 'embeddings:default:small:' || substr(sha256(text), 1, 16) AS cache_key FROM documents""")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'embedding' ELSE 'image' END AS capability, CASE WHEN event_id % 2 = 0 THEN 'model-' || (event_id % 5)::VARCHAR END AS model, CASE event_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN '0.7' END AS temperature, event_type AS content FROM events)
+SELECT event_id, 'aig_cache:' || capability || ':auto:' || coalesce(model, 'default') || ':' || substr(sha256('{"capability":"' || capability || '"' || coalesce(',"model":"' || model || '"', '') || coalesce(',"temperature":' || temperature, '') || ',"max_tokens":256,"content":"' || content || '"}'), 1, 16) AS cache_key,
+CASE capability WHEN 'embedding' THEN 7200 WHEN 'image' THEN 86400 ELSE CASE WHEN coalesce(temperature, '0.0') = '0.0' THEN 3600 ELSE 1800 END END AS seconds FROM r""")
 def cache_key(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.concat(F.lit("embeddings:default:small:"), F.substring(F.sha2("text", 256), 1, 16)).alias("cache_key"))
+    i = c("event_id")
+    capability = F.when(i % 3 == 0, "chat").when(i % 3 == 1, "embedding").otherwise("image")
+    model, temperature = F.when(i % 2 == 0, F.concat(F.lit("model-"), (i % 5).cast("string"))), F.when(i % 4 == 0, 0.0).when(i % 4 == 1, 0.7)
+    key = X.cache_key(capability, F.lit(None).cast("string"), model, temperature, F.lit(256), c("event_type"))
+    return read(spark, d, "events").select(i, key.alias("cache_key"), X.cache_seconds(capability, temperature).alias("seconds"))

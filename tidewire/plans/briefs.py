@@ -74,13 +74,13 @@ def report_markdown(spark, d):
 
 
 @query(f"""SELECT doc_id, length(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '{A.CUT_NOTE}' ELSE text END) AS n, CASE WHEN embedding IS NOT NULL THEN '{A.VECTOR_NOTE}' || len(embedding) || ']' END AS vector,
-CASE WHEN doc_id % 4 < 3 THEN '***' ELSE 'v' || doc_id END AS named, 'w' || doc_id AS plain FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+CASE WHEN doc_id % 4 < 3 THEN '[REDACTED]' ELSE 'v' || doc_id END AS named, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS plain FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
 def masked_records(spark, d):
     """Records before they are logged: long texts cut, vectors noted by length, values of sensitive keys hidden."""
     e = read(spark, d, "embeddings").select(c("vec_id").alias("doc_id"), "embedding")
     key = F.get(F.array(*[F.lit(x) for x in ("API_Key", "user_password", "AuthHeader", "title")]), (c("doc_id") % 4).cast("int"))
     t = read(spark, d, "documents").select("doc_id", "text").join(e, "doc_id", "left").withColumn("key", key)
-    t = t.withColumn("m", A.masked(F.create_map(c("key"), F.concat(F.lit("v"), c("doc_id").cast("string")), F.lit("name"), F.concat(F.lit("w"), c("doc_id").cast("string")))))
+    t = t.withColumn("m", A.masked(F.create_map(c("key"), F.concat(F.lit("v"), c("doc_id").cast("string")), F.lit("name"), c("text"))))
     return t.select("doc_id", F.length(A.loggable(c("text"))).cast("bigint").alias("n"), A.vector_note(c("embedding")).alias("vector"), F.try_element_at("m", c("key")).alias("named"), F.try_element_at("m", F.lit("name")).alias("plain"))
 
 

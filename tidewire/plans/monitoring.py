@@ -26,25 +26,26 @@ def percent(part: Column, whole: Column) -> Column:
 # ---- the data flow of a run: one row for each recorder ---------------------------------------------------------------
 
 @query(f"""WITH {ARTICLES}, {METRICS}, {REPORTS}, {DEC}, lab AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS (
-SELECT 'article_processing' AS stage, count(*) AS total, count(embedding) AS used, count(content_file_key) * 100.0 / count(*) AS detail FROM articles
-UNION ALL SELECT 'clustering_analysis', count(*), count(*) FILTER (WHERE n >= 3), avg(n) FROM lab
-UNION ALL SELECT 'story_selection', sum(candidates)::BIGINT, sum(selected)::BIGINT, avg(margin) FROM dec
-UNION ALL SELECT 'ai_analysis', count(*), count(*) FILTER (WHERE status = 'completed'), avg(duration) FROM metrics
-UNION ALL SELECT 'brief_generation', sum(total_articles)::BIGINT, sum(used_articles)::BIGINT, avg(total_sources) FROM reports
-UNION ALL SELECT 'stages', count(*) FILTER (WHERE status <> 'started'), count(*) FILTER (WHERE status = 'completed'), sum(duration) FILTER (WHERE status <> 'started') FROM metrics),
-r AS (SELECT stage, total, used, coalesce(round(used * 100.0 / nullif(total, 0), 1), 0)::DOUBLE AS rate, round(coalesce(detail, 0), 1)::DOUBLE AS detail FROM s)
+SELECT 'article_processing' AS stage, count(*) AS total, count(embedding) AS used, count(content_file_key) * 100.0 / count(*) AS detail, NULL::BIGINT AS stories, NULL::BIGINT AS chars FROM articles
+UNION ALL SELECT 'clustering_analysis', count(*), count(*) FILTER (WHERE n >= 3), avg(n), NULL, NULL FROM lab
+UNION ALL SELECT 'story_selection', sum(candidates)::BIGINT, sum(selected)::BIGINT, avg(5 + margin), NULL, NULL FROM dec
+UNION ALL SELECT 'ai_analysis', count(*), count(*) FILTER (WHERE status = 'completed'), avg(duration), NULL, NULL FROM metrics
+UNION ALL SELECT 'brief_generation', sum(total_articles)::BIGINT, sum(used_articles)::BIGINT, avg(total_sources), (SELECT sum(selected) FROM dec)::BIGINT, sum(length(title))::BIGINT FROM reports
+UNION ALL SELECT 'stages', count(*) FILTER (WHERE status <> 'started'), count(*) FILTER (WHERE status = 'completed'), sum(duration) FILTER (WHERE status <> 'started'), NULL, NULL FROM metrics),
+r AS (SELECT stage, total, used, coalesce(round(used * 100.0 / nullif(total, 0), 1), 0)::DOUBLE AS rate, round(coalesce(detail, 0), 1)::DOUBLE AS detail, stories, chars FROM s)
 SELECT *, CASE WHEN stage = 'article_processing' AND rate < 80 THEN 'few vectors' WHEN stage = 'clustering_analysis' AND rate < 50 THEN 'few valid clusters' WHEN stage = 'ai_analysis' AND rate < 90 THEN 'analysis fails' WHEN stage = 'stages' AND detail > 120000 THEN 'slow' END AS advice FROM r""")
 def dataflow_report(spark, d):
-    """What each recorder counts, its rate in percent and its own detail: content rate, mean size, margin, duration, sources, total duration."""
+    """What each recorder counts, its rate in percent and its own detail: content rate, mean size, importance, duration, sources, total duration; for briefs also the stories and the length of the text."""
     m = metrics(spark, d)
     ended = c("status") != "started"
-    row = lambda t, stage, total, used, detail: t.agg(total.alias("total"), used.alias("used"), detail.cast("double").alias("detail")).select(F.lit(stage).alias("stage"), "total", "used", "detail")
+    none = F.lit(None).cast("bigint")
+    row = lambda t, stage, total, used, detail, chars=none: t.agg(total.alias("total"), used.alias("used"), detail.cast("double").alias("detail"), chars.alias("chars")).select(F.lit(stage).alias("stage"), "total", "used", "detail", none.alias("stories"), "chars")
     parts = [
         row(articles(spark, d, vectors=True), "article_processing", n_rows(), F.count("embedding"), F.try_divide(F.count("content_file_key") * 100.0, n_rows())),
         row(read(spark, d, "embeddings").groupBy("label").agg(n_rows().alias("n")), "clustering_analysis", n_rows(), F.count_if(c("n") >= 3), F.avg("n")),
-        row(decisions(spark, d), "story_selection", F.sum("candidates"), F.sum("selected"), F.avg("margin")),
+        row(decisions(spark, d), "story_selection", F.sum("candidates"), F.sum("selected"), F.avg(5 + c("margin"))),
         row(m, "ai_analysis", n_rows(), F.count_if(c("status") == "completed"), F.avg("duration")),
-        row(reports(spark, d), "brief_generation", F.sum("total_articles"), F.sum("used_articles"), F.avg("total_sources")),
+        row(reports(spark, d), "brief_generation", F.sum("total_articles"), F.sum("used_articles"), F.avg("total_sources"), F.sum(F.length("title"))).drop("stories").crossJoin(decisions(spark, d).agg(F.sum("selected").alias("stories"))),  # one row each
         row(m, "stages", F.count_if(ended), F.count_if(c("status") == "completed"), F.sum(F.when(ended, c("duration")))),
     ]
     s = parts[0]
@@ -53,7 +54,7 @@ def dataflow_report(spark, d):
     rate, detail = percent(c("used"), c("total")), F.round(F.coalesce("detail", F.lit(0.0)), 1)
     is_ = lambda stage: c("stage") == stage
     advice = F.when(is_("article_processing") & (c("rate") < 80), "few vectors").when(is_("clustering_analysis") & (c("rate") < 50), "few valid clusters").when(is_("ai_analysis") & (c("rate") < 90), "analysis fails").when(is_("stages") & (c("detail") > 120000), "slow")
-    return s.select("stage", "total", "used", rate.alias("rate"), detail.alias("detail")).withColumn("advice", advice)
+    return s.select("stage", "total", "used", rate.alias("rate"), detail.alias("detail"), "stories", "chars").withColumn("advice", advice)
 
 
 @query(f"""WITH {REPORTS} SELECT id, title, {S.format('created_at')} AS created, total_articles, used_articles FROM reports WHERE created_at >= {T} - INTERVAL 24 HOUR ORDER BY created_at DESC, id LIMIT 10""")

@@ -95,13 +95,13 @@ def dashboard_health(spark, d):
     return metrics(spark, d).agg(R(e).alias("error_rate"), F.when(e > 0.1, "degraded").otherwise("healthy").alias("health"), F.count_distinct("workflow_id").alias("workflows"))
 
 
-DEC = """dec AS (SELECT o_orderkey AS id, o_custkey % 20 + 1 AS candidates, (o_custkey % 20 + 1) // 2 AS selected, (o_orderkey % 7) / 7.0 AS coherence, (o_orderkey % 5) / 5.0 AS relevance, (o_orderkey % 3) / 3.0 AS confidence, (o_orderkey % 4)::INTEGER AS borderline, (o_orderkey % 10) / 4.0 AS margin, o_orderkey % 6 = 0 AS failed FROM orders)"""
+DEC = """dec AS (SELECT o_orderkey AS id, o_custkey % 20 + 1 AS candidates, (o_custkey % 20 + 1) // 2 AS selected, (o_orderkey % 7) / 7.0 AS coherence, (o_orderkey % 5) / 5.0 AS relevance, (o_orderkey % 3) / 3.0 AS confidence, (o_orderkey % 4)::INTEGER AS borderline, (o_orderkey % 10) / 4.0 AS margin, (o_custkey % 8) / 8.0 AS rejected_margin, o_orderkey % 6 = 0 AS failed FROM orders)"""
 
 
 def decisions(spark, d):
     """Story-selection steps, from orders."""
     i, k = c("o_orderkey"), c("o_custkey") % 20 + 1
-    return read(spark, d, "orders").select(i.alias("id"), k.alias("candidates"), F.expr("(o_custkey % 20 + 1) div 2").alias("selected"), (i % 7 / 7.0).alias("coherence"), (i % 5 / 5.0).alias("relevance"), (i % 3 / 3.0).alias("confidence"), (i % 4).cast("int").alias("borderline"), (i % 10 / 4.0).alias("margin"), (i % 6 == 0).alias("failed"))
+    return read(spark, d, "orders").select(i.alias("id"), k.alias("candidates"), F.expr("(o_custkey % 20 + 1) div 2").alias("selected"), (i % 7 / 7.0).alias("coherence"), (i % 5 / 5.0).alias("relevance"), (i % 3 / 3.0).alias("confidence"), (i % 4).cast("int").alias("borderline"), (i % 10 / 4.0).alias("margin"), (c("o_custkey") % 8 / 8.0).alias("rejected_margin"), (i % 6 == 0).alias("failed"))
 
 
 @query(f"""WITH {DEC} SELECT round(sum(coherence), 3)::DOUBLE AS coherence, round(avg(relevance), 4)::DOUBLE AS relevance, round(avg(confidence), 4)::DOUBLE AS confidence, round(sum(selected) * 1.0 / sum(candidates), 4)::DOUBLE AS selection_rate,
@@ -138,11 +138,16 @@ def transparency(spark, d):
     return t.select("workflow_id", R(c("score")).alias("transparency"), health.alias("health"), advice.alias("advice"))
 
 
-@query(f"""WITH {DEC} SELECT id, round(CASE WHEN borderline > 0 AND margin < 0.5 THEN 5 - 0.5 WHEN selected * 1.0 / candidates < 0.3 AND margin > 2 THEN 5 - 1 ELSE 5 END, 2)::DOUBLE AS threshold, round(CASE WHEN selected + borderline = 0 THEN NULL ELSE selected * 0.7 / (selected + borderline) END + least(margin / 3, 0.3), 4)::DOUBLE AS confidence FROM dec""")
+@query(f"""WITH {DEC} SELECT id, CASE WHEN borderline > 0 AND rejected_margin < 0.5 THEN 4.5 WHEN selected * 1.0 / candidates < 0.3 AND margin > 2 THEN 4.0 END::DOUBLE AS threshold, CASE WHEN borderline > 0 AND rejected_margin < 0.5 THEN borderline WHEN selected * 1.0 / candidates < 0.3 AND margin > 2 THEN floor(candidates * 0.2) END::BIGINT AS additional,
+CASE WHEN borderline > 0 AND rejected_margin < 0.5 THEN -0.1 WHEN selected * 1.0 / candidates < 0.3 AND margin > 2 THEN -0.2 END::DOUBLE AS tradeoff, round(CASE WHEN selected + borderline = 0 OR failed THEN 0 ELSE selected * 0.7 / (selected + borderline) + least(margin / 3, 0.3) END, 4)::DOUBLE AS confidence FROM dec""")
 def threshold_tuning(spark, d):
-    thr = F.when((c("borderline") > 0) & (c("margin") < 0.5), 4.5).when((c("selected") / c("candidates") < 0.3) & (c("margin") > 2), 4.0).otherwise(5.0)
-    conf = F.try_divide(c("selected"), c("selected") + c("borderline")) * 0.7 + F.least(c("margin") / 3, F.lit(0.3))
-    return decisions(spark, d).select("id", thr.alias("threshold"), R(conf).alias("confidence"))
+    """Advice on the threshold of 5 (null: none), and the confidence of the selection; failed runs have no record of it, which counts as 0."""
+    lower, bolder = (c("borderline") > 0) & (c("rejected_margin") < 0.5), (c("selected") / c("candidates") < 0.3) & (c("margin") > 2)
+    advice = lambda a, b: F.when(lower, a).when(bolder, b)
+    share = F.try_divide(c("selected"), c("selected") + c("borderline")) * 0.7 + F.least(c("margin") / 3, F.lit(0.3))
+    return decisions(spark, d).select(
+        "id", advice(F.lit(4.5), F.lit(4.0)).alias("threshold"), advice(c("borderline").cast("bigint"), F.floor(c("candidates") * F.lit(0.2))).alias("additional"), advice(F.lit(-0.1), F.lit(-0.2)).alias("tradeoff"),
+        R(F.when(c("failed"), F.lit(0.0)).otherwise(F.coalesce(share, F.lit(0.0)))).alias("confidence"))
 
 
 @query(f"""WITH {METRICS}, s AS (SELECT workflow_id, count(*) FILTER (WHERE step_name = 'signup') AS a, count(*) FILTER (WHERE step_name = 'click') AS b, count(*) FILTER (WHERE step_name = 'purchase') AS p FROM metrics GROUP BY 1) SELECT workflow_id, round(b * 100.0 / nullif(a, 0), 1)::DOUBLE AS click_rate, round(p * 100.0 / nullif(b, 0), 1)::DOUBLE AS purchase_rate, CASE WHEN p * 100.0 / nullif(b, 0) < 50 THEN 'low yield' WHEN p * 100.0 / nullif(b, 0) < 80 THEN 'check' ELSE 'fine' END AS advice FROM s""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewire.bridge import ARTICLES, REPORTS, SOURCES, T, articles, hours_ago, now, reports, sources, text_of
+from tidewire.bridge import ARTICLES, REPORTS, SOURCES, T, articles, hours_ago, now, read, reports, sources, text_of
 from tidewire.operators.tables import FAILED
 from tidewire.plans.registry import query
 
@@ -17,23 +17,24 @@ def pct(part, whole, scale: int = 1):
     return F.round(F.try_divide(part * 100.0, whole), scale)
 
 
-LABELS = """CASE WHEN status LIKE '%FAILED' THEN 'failed' WHEN status = 'PROCESSED' THEN 'done' WHEN status = 'PENDING_FETCH' THEN 'waiting' ELSE 'skipped' END"""
+LABELS = """CASE WHEN status LIKE '%FAILED' THEN 'failed' WHEN status = 'PROCESSED' THEN 'done' WHEN status = 'PENDING_FETCH' THEN 'waiting' WHEN status = 'SKIPPED_TOO_OLD' THEN 'skipped' ELSE 'other' END"""
 
 
 @query(f"""WITH {ARTICLES} SELECT status, {LABELS} AS label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM articles GROUP BY status""")
 def status_distribution(spark, d):
     by = articles(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    label = F.when(c("status").like("%FAILED"), "failed").when(c("status") == "PROCESSED", "done").when(c("status") == "PENDING_FETCH", "waiting").otherwise("skipped")
+    label = F.when(c("status").like("%FAILED"), "failed").when(c("status") == "PROCESSED", "done").when(c("status") == "PENDING_FETCH", "waiting").when(c("status") == "SKIPPED_TOO_OLD", "skipped").otherwise("other")
     return by.select("status", label.alias("label"), "n", pct(c("n"), F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 @query(f"""WITH {ARTICLES}, {SOURCES}, {REPORTS} SELECT 'articles' AS metric, count(*)::VARCHAR AS value FROM articles UNION ALL SELECT 'processed', count(*)::VARCHAR FROM articles WHERE status = 'PROCESSED'
-UNION ALL SELECT 'sources', count(*)::VARCHAR FROM sources UNION ALL SELECT 'reports', count(*)::VARCHAR FROM reports UNION ALL SELECT 'failed', count(*)::VARCHAR FROM articles WHERE status LIKE '%FAILED'""")
+UNION ALL SELECT 'sources', count(*)::VARCHAR FROM sources UNION ALL SELECT 'reports', count(*)::VARCHAR FROM reports UNION ALL SELECT 'newsletter', count(DISTINCT c_custkey // 3)::VARCHAR FROM customer""")
 def core_counts(spark, d):
-    a = articles(spark, d).agg(F.count(F.lit(1)).alias("articles"), N(c("status") == "PROCESSED").alias("processed"), N(c("status").like("%FAILED")).alias("failed"))
+    a = articles(spark, d).agg(F.count(F.lit(1)).alias("articles"), N(c("status") == "PROCESSED").alias("processed"))
     wide = a.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in a.columns]), F.array(*[c(x) for x in a.columns]))).alias("metric", "v"))
     out = wide.select("metric", c("v").cast("string").alias("value"))
-    for name, t in (("sources", sources(spark, d)), ("reports", reports(spark, d))):
+    subscribers = read(spark, d, "customer").select(F.expr("c_custkey div 3").alias("n")).distinct()
+    for name, t in (("sources", sources(spark, d)), ("reports", reports(spark, d)), ("newsletter", subscribers)):
         out = out.unionByName(t.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("metric"), "value"))
     return out
 
@@ -47,12 +48,13 @@ def processing_rates(spark, d):
     return rows.select("x.metric", F.concat(pct(c("x.p"), c("total")).cast("decimal(10,1)").cast("string"), F.lit("%")).alias("rate"), F.concat(c("x.p").cast("string"), F.lit("/"), c("total").cast("string")).alias("detail"))
 
 
-@query(f"""WITH {ARTICLES} SELECT 'created' AS metric, count(*) AS n FROM articles WHERE created_at > {T} - INTERVAL 7 DAY UNION ALL SELECT 'processed', count(*) FROM articles WHERE processed_at > {T} - INTERVAL 7 DAY
-UNION ALL SELECT 'failed', count(*) FROM articles WHERE created_at > {T} - INTERVAL 7 DAY AND status LIKE '%FAILED'""")
+@query(f"""WITH {ARTICLES}, {REPORTS} SELECT 'created' AS metric, count(*) AS n FROM articles WHERE created_at >= {T} - INTERVAL 7 DAY UNION ALL SELECT 'processed', count(*) FROM articles WHERE processed_at >= {T} - INTERVAL 7 DAY
+UNION ALL SELECT 'briefs', count(*) FROM reports WHERE created_at >= {T} - INTERVAL 7 DAY""")
 def activity_7d(spark, d):
     since = hours_ago(168)
-    a = articles(spark, d).agg(N(c("created_at") > since).alias("created"), N(c("processed_at") > since).alias("processed"), N((c("created_at") > since) & c("status").like("%FAILED")).alias("failed"))
-    return a.unpivot([], ["created", "processed", "failed"], "metric", "n")
+    a = articles(spark, d).agg(N(c("created_at") >= since).alias("created"), N(c("processed_at") >= since).alias("processed"))
+    b = reports(spark, d).agg(N(c("created_at") >= since).alias("n")).select(F.lit("briefs").alias("metric"), "n")
+    return a.unpivot([], ["created", "processed"], "metric", "n").unionByName(b)
 
 
 @query(f"""WITH {ARTICLES}, {SOURCES}, t AS (SELECT 'failures' AS metric, count(*) FILTER (WHERE status LIKE '%FAILED') AS n, 10 AS hi FROM articles UNION ALL SELECT 'stale', count(*) FILTER (WHERE last_checked IS NULL OR last_checked < {T} - INTERVAL 2 DAY), 2 FROM sources)
@@ -63,11 +65,11 @@ def diagnosis(spark, d):
     return bad.unionByName(old).select("metric", "n", F.when(c("n") == 0, "ok").when(c("n") < c("hi"), "warning").otherwise("critical").alias("level"))
 
 
-@query(f"""WITH {ARTICLES}, {SOURCES}, {REPORTS} SELECT * FROM (SELECT count(*) AS sources_total, count(*) FILTER (WHERE last_checked > {T} - INTERVAL 1 DAY) AS sources_active FROM sources),
+@query(f"""WITH {ARTICLES}, {SOURCES}, {REPORTS} SELECT * FROM (SELECT count(*) AS sources_total, count(last_checked) AS sources_active FROM sources),
 (SELECT count(*) AS articles_total, count(*) FILTER (WHERE status = 'PROCESSED') AS processed, count(*) FILTER (WHERE status = 'PENDING_FETCH') AS pending, count(*) FILTER (WHERE status LIKE '%FAILED') AS failed FROM articles),
 (SELECT count(*) FILTER (WHERE created_at > {T} - INTERVAL 30 DAY) AS briefs_30d FROM reports)""")
 def overview(spark, d):
-    s = sources(spark, d).agg(F.count(F.lit(1)).alias("sources_total"), N(c("last_checked") > hours_ago(24)).alias("sources_active"))
+    s = sources(spark, d).agg(F.count(F.lit(1)).alias("sources_total"), F.count("last_checked").alias("sources_active"))
     a = articles(spark, d).agg(F.count(F.lit(1)).alias("articles_total"), N(c("status") == "PROCESSED").alias("processed"), N(c("status") == "PENDING_FETCH").alias("pending"), N(c("status").endswith("_FAILED")).alias("failed"))
     r = reports(spark, d).agg(N(c("created_at") > hours_ago(720)).alias("briefs_30d"))
     return s.crossJoin(a).crossJoin(r)  # one row each
@@ -120,11 +122,11 @@ def monitor_counters(spark, d):
 
 
 @query(f"""WITH {ARTICLES}, {SOURCES} SELECT s.name, count(a.id) AS articles, count(a.id) FILTER (WHERE a.status = 'PROCESSED') AS processed,
-CASE WHEN s.last_checked IS NULL THEN 'never' WHEN s.last_checked > {T} - INTERVAL 1 DAY THEN 'fresh' ELSE 'old' END AS freshness FROM sources s LEFT JOIN articles a ON a.source_name = s.name GROUP BY s.name, s.last_checked""")
+CASE WHEN s.last_checked IS NULL THEN 'never' WHEN s.last_checked < {T} - INTERVAL 1 DAY THEN 'over a day' WHEN s.last_checked < {T} - INTERVAL 6 HOUR THEN 'over six hours' ELSE 'recent' END AS freshness FROM sources s LEFT JOIN articles a ON a.source_name = s.name GROUP BY s.name, s.last_checked""")
 def source_join_counts(spark, d):
     # Articles are counted before the join: the join then meets one row a source.
     a = articles(spark, d).groupBy(c("source_name").alias("name")).agg(F.count(F.lit(1)).alias("articles"), N(c("status") == "PROCESSED").alias("processed"))
-    fresh = F.when(c("last_checked").isNull(), "never").when(c("last_checked") > hours_ago(24), "fresh").otherwise("old")
+    fresh = F.when(c("last_checked").isNull(), "never").when(c("last_checked") < hours_ago(24), "over a day").when(c("last_checked") < hours_ago(6), "over six hours").otherwise("recent")
     zero = lambda x: F.coalesce(c(x), F.lit(0)).alias(x)
     return sources(spark, d).join(a, "name", "left").select("name", zero("articles"), zero("processed"), fresh.alias("freshness")).orderBy(F.desc("articles"), "name")
 

@@ -222,12 +222,15 @@ def used_sources(spark, d):
     return docs.join(used, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("used_articles"), F.count_distinct("source").alias("used_sources")).crossJoin(docs.agg(F.count_distinct("source").alias("total_sources")))
 
 
-@query("""SELECT label, vec_id FROM embeddings WHERE vec_id % 5 <> 0""")
+@query("""WITH u AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(v) AS m FROM u GROUP BY ALL), s AS (SELECT u.label, vec_id, round(sum(v * m), 6) AS s FROM u JOIN m USING (label, p) GROUP BY ALL)
+SELECT label, vec_id FROM s WHERE s >= 0""")
 def outlier_removal(spark, d):
-    """Members less their cluster's outliers (every fifth vector is named as one), by an anti join: no list of a cluster in one row."""
-    e = read(spark, d, "embeddings").select("label", "vec_id")
-    named = e.where(c("vec_id") % 5 == 0)
-    return e.join(named, ["label", "vec_id"], "left_anti")
+    """Members less their cluster's list of outliers (vectors that point away from the mean), by an anti join: no list of a cluster in one row."""
+    e = read(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    u = e.select("label", "vec_id", F.posexplode("embedding").alias("p", "v")).withColumn("v", c("v").cast("double"))
+    mean = u.groupBy("label", "p").agg(F.avg("v").alias("m"))
+    named = u.join(mean, ["label", "p"]).groupBy("label", "vec_id").agg(F.round(F.sum(c("v") * c("m")), 6).alias("s")).where(c("s") < 0)
+    return e.select("label", "vec_id").join(named, ["label", "vec_id"], "left_anti")
 
 
 @query(f"""WITH {STORY}, m AS (SELECT cluster_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM cand) SELECT m.cluster_id, string_agg(coalesce('- ' || a.lang || ' ' || m.id::VARCHAR, '- missing ' || m.id::VARCHAR), chr(10) ORDER BY p) AS listing FROM m LEFT JOIN documents a ON a.doc_id = m.id AND a.source <> 'src3' GROUP BY m.cluster_id""")

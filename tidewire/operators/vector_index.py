@@ -203,3 +203,16 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     hit = found.select("query_id", "id", F.lit(1).alias("_hit"))
     return truth.join(hit, ["query_id", "id"], "left").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
 
+
+def tuned(queries: DataFrame, index: Index, k: int, least: float = 0.9, probes: int = 4) -> tuple[DataFrame, float, int]:
+    """(found, recall, probes): a search of the nearest lists alone, with as many of them (doubled each time) as a recall of `least` takes.
+
+    The recall is measured on the queries themselves against the exact search.
+    """
+    truth = keep(search(queries, index, k), "truth")
+    while True:
+        found = keep(search(queries, index, k, probes, exact=False), "found")
+        reached = recall(found, truth).head()[0]
+        if reached is None or reached >= least or probes >= len(index.centres):
+            return found, reached if reached is not None else 1.0, min(probes, len(index.centres))
+        probes *= 2

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import annotate, bucket4
+from tidewire.llm.common import annotate, bucket4, release
 
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
 BLOCK = 512
@@ -236,13 +236,14 @@ def _model(samples: dict[str, str]) -> Model:
     key = hash(tuple(sorted(samples.items())))
     if key not in _MODELS:
         _MODELS.clear()
+        release()  # what earlier stages left in this worker
         _MODELS[key] = Model(samples)
     return _MODELS[key]
 
 
 def with_language(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
     """docs with two more columns, whose names docs must not have: the language and the score."""
-    return annotate(docs, text_col, lambda: _model(samples).predict, [(lang, "string"), (score, "double")])
+    return annotate(docs, text_col, lambda: _model(samples).predict, [(lang, "string"), (score, "double")], most_chars=1_000_000)
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,7 +63,7 @@ def test_cluster_and_grid(spark):
     rows = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)] + [(5, 900, None)], "b bigint, id bigint, vec array<double>")
     out = density.cluster(rows, "b").toPandas()
     assert len(out) == len(x) and out.groupby("b")["cluster"].max().tolist() == [2, 2]
-    best = density.grid_search(rows, "b", grid={"min_cluster": (3, 5), "min_samples": (1, 3), "epsilon": (0.0,)}).toPandas()
+    best = density.grid_search(rows, "b", grid={"neighbors": (10,), "min_cluster": (3, 5), "min_samples": (1, 3), "epsilon": (0.0,)}).toPandas()
     assert len(best) == 2 and (best["score"] > 0.3).all()
     with pytest.raises(Exception, match="take finer groups"):
         density.cluster(rows, "b", most_rows=5).collect()

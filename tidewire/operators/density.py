@@ -7,7 +7,7 @@ group beyond `most_rows` is refused by name, never cut; `density_table` clusters
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -220,23 +220,28 @@ GRID = {"neighbors": (5, 10, 15, 30), "min_cluster": (3, 5, 8, 10), "min_samples
 
 
 def grid_search(rows: DataFrame, by: str, p: Params = Params(), grid: dict = GRID, most_rows: int = 5000) -> DataFrame:
-    """Best parameters of each group by validity: by, min_cluster, min_samples, epsilon, score (-1: defaults).
+    """Best parameters of each group by validity: by, neighbors, min_cluster, min_samples, epsilon, score (-1: defaults).
 
-    The components don't depend on the number of neighbors, so each setting of the others is tried once.
+    Each number of neighbors gives the group a layout of its own by its neighbour graph; the other settings are tried on it.
     """
-    keys = ("min_cluster", "min_samples", "epsilon")
-    trials = list(itertools.product(*(grid[k] for k in keys)))
+    from tidewire.operators import layout
+
+    keys = ("neighbors", "min_cluster", "min_samples", "epsilon")
+    trials = list(itertools.product(*(grid[k] for k in keys[1:])))
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         if len(f) > most_rows:
             raise ValueError(f"group {key[0]} has {len(f)} rows, more than {most_rows}: take finer groups")
-        best = (-1.0, p.min_cluster, p.min_samples, float(p.epsilon))
+        best = (-1.0, p.neighbors, p.min_cluster, p.min_samples, float(p.epsilon))
         if len(f) > 5:
-            x = reduce(unit(np.stack(f.sort_values("id")["vec"].to_numpy()).astype(float)), p.components)
-            for size, samples, eps in trials:
-                labels = density_labels(x, size, samples, eps)
-                if len(set(labels) - {-1}) >= 2 and (score := validity(x, labels)) > best[0]:
-                    best = (score, size, samples, float(eps))
+            own = unit(np.stack(f.sort_values("id")["vec"].to_numpy()).astype(float))
+            flat = reduce(own, p.components)
+            for near in grid["neighbors"]:
+                x = layout.reduce(own, flat, safe(len(own), replace(p, neighbors=near))[0])
+                for size, samples, eps in trials:
+                    labels = density_labels(x, size, samples, eps)
+                    if len(set(labels) - {-1}) >= 2 and (score := validity(x, labels)) > best[0]:
+                        best = (score, near, size, samples, float(eps))
         return pd.DataFrame([(key[0], *best[1:], best[0])], columns=[by, *keys, "score"])
 
-    return rows.select(by, "id", "vec").where(F.col("vec").isNotNull()).groupBy(by).applyInPandas(run, f"{by} bigint, min_cluster int, min_samples int, epsilon double, score double")
+    return rows.select(by, "id", "vec").where(F.col("vec").isNotNull()).groupBy(by).applyInPandas(run, f"{by} bigint, neighbors int, min_cluster int, min_samples int, epsilon double, score double")

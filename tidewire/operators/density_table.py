@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators import layout
 from tidewire.operators import vector_index as VI
 from tidewire.operators.density import LEAST, Params, merge_group, safe
 from tidewire.operators.storage import components, forget, keep
@@ -277,9 +278,11 @@ def chosen_clusters(clusters: DataFrame, epsilon: float) -> DataFrame:
     return above(clusters.join(merged, "cluster", "left").select("cluster", "parent", F.coalesce("_m", F.lit(False)).alias("mark")), True)
 
 
-def cluster_table(rows: DataFrame, p: Params = Params(), neighbors: int = 16, most: int = 100_000, n_lists: int | None = None) -> DataFrame:
+def cluster_table(rows: DataFrame, p: Params = Params(), neighbors: int = 16, most: int = 100_000, n_lists: int | None = None, layout_turns: int = 0) -> DataFrame:
     """id, cluster for every row (id bigint, vec array): the smallest id of its cluster, -1 for noise.
 
+    layout_turns: turns of the neighbour graph's layout on top of the principal components (0: the components alone).
+
     Cases: null vectors are left out; up to three rows are one cluster; equal vectors share a cluster; an empty table
     gives an empty table.
     """
@@ -292,7 +295,11 @@ def cluster_table(rows: DataFrame, p: Params = Params(), neighbors: int = 16, mo
     _, least, samples = safe(n, p)
     if distinct == 1:
         return known.crossJoin(known.agg(F.min("id").alias("cluster"))).select("id", F.lit(-1).cast("bigint").alias("cluster"))
-    flat = keep(reduced(known, p.components).join(points.select("id", "weight"), "id"), "flat")
+    flat = reduced(known, p.components)
+    if layout_turns:
+        ends = points.select("id")  # equal vectors are one row of the graph
+        flat = layout.table(keep(known.join(ends, "id"), "vectors"), keep(flat.join(ends, "id"), "flat"), min(p.neighbors, distinct - 1), layout_turns)
+    flat = keep(flat.join(points.select("id", "weight"), "id"), "flat")
     index = VI.build(flat, n_lists)
     edges, cores = graph(flat, index, max(samples, min(neighbors, distinct)), samples)
     tree = keep(spanning_tree(flat, index, edges, cores), "tree")

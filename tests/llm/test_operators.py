@@ -399,6 +399,58 @@ def test_segments_brute_force():
         assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and all(abs(s[b:e].sum() - x) < 1e-9 for b, e, x in got)
 
 
+def test_all_segments_by_their_definition():
+    """The whole set: the best segment, then the same to both sides of it."""
+
+    def parted(s, at=0):
+        if not (s > 0).any():
+            return []
+        total = np.concatenate([[0], np.cumsum(s)])
+        gain = total[None, :] - total[:, None]
+        i, j = np.unravel_index(np.where(np.triu(np.ones_like(gain), 1) > 0, gain, -np.inf).argmax(), gain.shape)
+        return [*parted(s[:i], at), (at + int(i), at + int(j)), *parted(s[j:], at + int(j))]
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        s = rng.normal(-0.3, 1, rng.integers(0, 60))
+        assert [(b, e) for b, e, _ in toxicity.segments(s)] == parted(s)
+
+
+def test_toxicity_statistics_by_hand():
+    """Log-odds, lambda, K and the logistic curve against their definitions, on small rows."""
+    rows = [(["bad", "x"], 1)] * 30 + [(["fine", "x"], 0)] * 40
+    odds = toxicity._log_odds(rows)
+    every, n = 140, [80, 60]
+    a = {w: 0.5 + toxicity.PRIOR * m / every for w, m in (("bad", 30), ("fine", 40))}
+    want = math.log((30 + a["bad"]) / (60 + toxicity.PRIOR - 30 - a["bad"])) - math.log(a["bad"] / (80 + toxicity.PRIOR - a["bad"]))
+    assert odds["bad"] == pytest.approx(max(-1.0, want) - toxicity.DRIFT) and odds["fine"] < 0 and "x" not in odds
+    m = toxicity.Model({"bad": 1.0, "fine": -0.5})
+    clean = [["fine"] * 9 + ["bad"], ["fine"] * 5, ["bad", "fine", "fine"]]
+    lam, log_k = toxicity._gumbel(m, clean)
+    s = np.array([-0.5] * 9 + [1.0] + [-0.5] * 5 + [1.0, -0.5, -0.5])
+    assert np.exp(lam * s).mean() == pytest.approx(1, abs=1e-6)
+    assert log_k == pytest.approx(math.log(3 / sum(k * math.exp(-lam * t) for k, t in ((10, 1.0), (5, 0.0), (3, 1.0)))))
+    m.lam, m.log_k = lam, log_k
+    assert m.evidence(2.0, 7) == pytest.approx(lam * 2.0 - log_k - math.log(7))
+    x, y = np.array([-2.0, -1.0, 0.5, 1.0, 2.5, 0.0]), np.array([0, 0, 1, 0, 1, 1])
+    slope, bias = toxicity._logistic(x, y)
+    z = (x - x.mean()) / x.std()
+    w = np.array([slope * x.std(), bias + slope * x.mean()])
+    p = 1 / (1 + np.exp(-(z * w[0] + w[1])))
+    assert np.abs(np.stack([z, np.ones(6)]) @ (y - p) - 1e-2 * w).max() < 1e-6
+
+
+def test_toxicity_positions(spark):
+    m = toxicity.Model({"bad": 2.0}, lam=1.0, log_k=-3.0, slope=1.0)
+    texts = ["İstanbul ok bad bad bad ok", "x\u2003BAD, (bad)\nbad y", "bad " * 50_000, "ok", None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id int, text string")
+    got = toxicity.score(docs, m).collect()
+    spans = {r.doc_id: [(x.start, x.end) for x in r.passages] for r in got}
+    assert [texts[0][b:e] for b, e in spans[0]] == ["bad bad bad"] == [texts[0][b:e] for b, e in spans[None]]
+    assert [texts[1][b:e] for b, e in spans[1]] == ["BAD, (bad)\nbad"] and spans[2] == [(0, 199_999)] and spans[3] == spans[4] == []
+    assert all(r.held_out is False for r in got if r.doc_id is None)
+
+
 def test_toxicity_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(d, toxicity.train(d, labels)).join(labels, "doc_id").where("held_out").toPandas()

@@ -12,8 +12,9 @@ learned from.
 
 Labels are learned from; lang, source and id never enter a score.
 
-Cases: a null or empty text scores as text without toxic words; without toxic rows in the sample every score is 0;
-repeated rows score alike; an empty table gives an empty table; other columns are ignored.
+Cases: a null or empty text scores as text without toxic words; texts of any length are read whole; positions are those
+of the text as given, whatever its lower case is; null ids stay and are never held out; without toxic rows in the sample
+every score is 0; repeated rows score alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,9 +182,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if p <= P_VALUE:
                 passages.append((b, e, s, p))
         if passages:
-            at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
-            same = len(at) == n and len(text.lower()) == len(text)
-            passages = [{"start": at[b][0] if same else -1, "end": at[e - 1][1] if same else -1, "score": s, "p_value": p} for b, e, s, p in passages]
+            at = [(m.start(), m.end()) for m in WORD.finditer(text)]  # lower case may be longer, but has the same words
+            passages = [{"start": at[b][0], "end": at[e - 1][1], "score": s, "p_value": p} for b, e, s, p in passages]
         return model.probability(model.evidence(top, n)), passages
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,7 +79,9 @@ def test_due_checks(spark, tmp_path):
     first = go(25)
     assert {r.source_id for r in first} == {1, 2} and all(r.next_ms - r.due_ms >= (4000 if r.source_id == 1 else 16_000) for r in first)
     assert sum(r.source_id == 1 for r in first) > sum(r.source_id == 2 for r in first)
-    again = go(25)
+    write(feeds, "b.json", [{"source_id": 3, "frequency": 4}])  # after a restart the first new row sets the clock going
+    again = go(30)
+    assert sum(r.source_id == 1 for r in again) > sum(r.source_id == 1 for r in first) and {r.source_id for r in again} == {1, 2, 3}
     assert len(again) > len(first) and len({(r.source_id, r.due_ms) for r in again}) == len(again)
 
 

@@ -96,7 +96,10 @@ class Due(StatefulProcessor):
 
 
 def due_checks(sources: DataFrame, **how) -> DataFrame:
-    """sources: a stream of (source_id bigint, frequency int), one row to register a source or change its tier; a row whenever a check is due."""
+    """sources: a stream of (source_id bigint, frequency int), one row to register a source or change its tier; a row whenever a check is due.
+
+    Timers outlive a restart; the clock runs on with the first batch that has a row (a registration, or a heartbeat).
+    """
     sources.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return sources.groupBy("source_id").transformWithStateInPandas(Due(**how), "source_id bigint, due_ms bigint, next_ms bigint", "Append", "ProcessingTime")
 

@@ -241,9 +241,9 @@ def _model(samples: dict[str, str]) -> Model:
     return _MODELS[key]
 
 
-def with_language(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
+def with_language(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang: str = "_lang", score: str = "_score", most_chars: int = 4_000_000) -> DataFrame:
     """docs with two more columns, whose names docs must not have: the language and the score."""
-    return annotate(docs, text_col, lambda: _model(samples).predict, [(lang, "string"), (score, "double")], most_chars=1_000_000)
+    return annotate(docs, text_col, lambda: _model(samples).predict, [(lang, "string"), (score, "double")], most_chars)
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (a null text, or one without a letter) go; equal rows and null ids are judged alike."""
     samples = language_id.training_sample(docs, train_only=False)
     lang, score = free("_lang", docs), free("_score", docs)
-    return language_id.with_language(docs, samples, lang=lang, score=score).where(F.col(lang) != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.with_language(docs, samples, lang=lang, score=score, most_chars=1_000_000).where(F.col(lang) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,18 +25,30 @@ def embed(rows: DataFrame, text: str = "text", out: str = "embedding", dim: int
     return whole.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
 
 
+ARTICLE = ["id", "title", "content", "embedding", "publishDate"]  # fixed values
+
+
 def item_format(columns: list[str]) -> str:
-    """Which of the accepted inputs a table is, by its columns."""
+    """Which of the accepted inputs a table is, by its columns; up to seven with id and embedding are an extended item."""
     have = set(columns)
     if have == {"id", "embedding"}:
         return "embedding_item"
-    if {"id", "title", "content", "url", "embedding", "publishDate", "status"} <= have:
-        return "article_item"
-    if {"id", "embedding"} <= have and "text" not in have:
+    if {"id", "embedding"} <= have and len(have) <= 7:
         return "extended_item"
-    if {"text", "embedding"} <= have:
-        return "vector_item"
-    return "text_item" if "text" in have else "unknown"
+    if set(ARTICLE) <= have:
+        return "article_item"
+    if "text" in have:
+        return "vector_item" if "embedding" in have else "text_item"
+    return "unknown"
+
+
+def record_format(record: Column) -> Column:
+    """`item_format` of one JSON object's keys; what isn't an object is unknown."""
+    keys = F.json_object_keys(record)
+    has = lambda *names: F.array_size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names)
+    kinds = F.array_size(F.array_distinct(keys))
+    return (F.when(has("id", "embedding") & (kinds == 2), "embedding_item").when(has("id", "embedding") & (kinds <= 7), "extended_item").when(has(*ARTICLE), "article_item")
+            .when(has("text", "embedding"), "vector_item").when(has("text"), "text_item").otherwise("unknown"))
 
 
 def normalized_items(rows: DataFrame) -> DataFrame:

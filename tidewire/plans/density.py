@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from tidewire.bridge import read
+from tidewire.bridge import ARTICLES, articles, read
 from tidewire.functions import vector as V
-from tidewire.operators import density, density_table, providers
+from tidewire.operators import density, density_table, models, providers
+from tidewire.operators.ladder import SERVICE, Step, ladder
 from tidewire.plans.registry import query
 
 c = F.col
@@ -55,11 +58,31 @@ def rerank(spark, d):
     return s.withColumn("rank", F.row_number().over(w)).where(c("rank") <= 3).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("SELECT 'embeddings' AS name, 'vector' AS kind UNION ALL SELECT 'documents', 'text_item' UNION ALL SELECT 'items', 'embedding_item'")
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS word FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM w),
+p AS (SELECT doc_id, h % 384 AS place, sum(1 - 2 * (h // 384 % 2)) AS v FROM h GROUP BY ALL), u AS (SELECT doc_id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS v FROM p WHERE v <> 0),
+b AS (SELECT doc_id, count(*) FILTER (v <> 0) AS places, max(abs(v)) AS top, arg_min(place, (-abs(v), place)) AS place FROM u GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text <> '' THEN 384 END AS dimensions, CASE WHEN text <> '' THEN coalesce(places, 0) END AS places, CASE WHEN text <> '' THEN coalesce(top, 0.0) END AS top, place::INTEGER AS place,
+CASE WHEN coalesce(text, '') = '' THEN 'text is required (string or array)' END AS error FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
+def served_embeddings(spark, d):
+    """Vectors of whole texts, pooled by windows of 512 words: the numbers that aren't zero, the largest and its place."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    e = ladder(docs, models.embedding(), [Step("hashed", models.Embedder(), SERVICE)]).select("doc_id", "answer.error", "answer.value.dimensions", F.get("answer.value.embeddings", 0).alias("_v"))
+    far = e.withColumn("_v", F.transform("_v", lambda x: F.round(F.abs(x), 4))).withColumn("top", F.array_max("_v"))
+    return far.select("doc_id", "dimensions", F.size(F.filter("_v", lambda x: x != 0)).alias("places"), "top", F.when(c("top") > 0, F.array_position("_v", c("top")) - 1).cast("int").alias("place"), "error")
+
+
+@query(f"""WITH {ARTICLES}, v AS (SELECT *, embedding IS NOT NULL AS has, content IS NOT NULL AS whole FROM articles), k AS (SELECT 'documents' AS records, CASE WHEN text IS NULL THEN 'unknown' ELSE 'text_item' END AS kind FROM documents
+UNION ALL SELECT 'vectors', 'embedding_item' FROM embeddings UNION ALL SELECT 'labelled', 'extended_item' FROM embeddings
+UNION ALL SELECT 'articles', CASE WHEN has AND whole AND url IS NOT NULL THEN 'article_item' WHEN has THEN 'extended_item' ELSE 'unknown' END FROM v
+UNION ALL SELECT 'texts', CASE WHEN has AND whole THEN 'vector_item' WHEN whole THEN 'text_item' ELSE 'unknown' END FROM v) SELECT records, kind, count(*) AS n FROM k GROUP BY ALL""")
 def item_formats(spark, d):
-    tables = {"embeddings": read(spark, d, "embeddings").withColumnRenamed("vec_id", "key"), "documents": read(spark, d, "documents"), "items": read(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding")}
-    kinds = [(n, "vector" if (k := providers.item_format(t.columns)) == "unknown" and "embedding" in t.columns else k) for n, t in tables.items()]
-    return spark.createDataFrame(kinds, "name string, kind string")
+    """How many records of each table, written as JSON (a null is left out), are of each accepted format."""
+    a, e = articles(spark, d, vectors=True), read(spark, d, "embeddings")
+    tables = {
+        "documents": read(spark, d, "documents").select(c("doc_id").alias("id"), "text", "lang"), "vectors": e.select(c("vec_id").alias("id"), "embedding"), "labelled": e.select(c("vec_id").alias("id"), "embedding", "label"),
+        "articles": a.select("id", "title", "content", "url", "embedding", c("publish_date").alias("publishDate"), "status", "created_at"), "texts": a.select(c("content").alias("text"), "embedding")}
+    kinds = [t.select(F.lit(name).alias("records"), providers.record_format(F.to_json(F.struct("*"))).alias("kind")) for name, t in tables.items()]
+    return reduce(lambda x, y: x.unionByName(y), kinds).groupBy("records", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT vec_id::VARCHAR AS id, len(embedding) AS dim, label::VARCHAR AS label FROM embeddings")

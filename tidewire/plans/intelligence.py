@@ -6,6 +6,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidewire.bridge import ARTICLES, articles, read
+from tidewire.operators import models
+from tidewire.operators.ladder import ONCE, SERVICE, SPENT_QUOTA, Refused, Step, ladder
 from tidewire.plans.registry import query
 from tidewire.plans.vectors import VALID, candidates, validated
 
@@ -30,6 +32,30 @@ def article_analysis(spark, d):
         F.when(c("words").isNull(), "JUNK").when(c("kinds") * 5 < c("words"), "LOW_QUALITY").otherwise("OK").alias("content_quality"))
 
 
+def rungs() -> list[Step]:
+    """Three providers: two that fail by the length of the text, for good or for a while, and one that is off for even lengths."""
+    long = lambda k, r=0: lambda q: len(q["content"]) % k == r
+    large = models.failing(models.analyst, [(long(5), 2, Refused("429 rate limit", 429)), (long(7), 9, Refused("context length of the model", 400)), (long(3, 1), 9, "I can't say.")])
+    small = models.failing(models.analyst, [(long(11), 9, Refused("503 busy", 503))])
+    return [Step("large", large, SPENT_QUOTA), Step("small", small, SERVICE), Step("rules", models.failing(models.analyst, [(long(2), 9, Refused("offline"))]), ONCE)]
+
+
+@query(f"""WITH {ARTICLES}, a AS (SELECT id, title, content, length(content) AS n, coalesce(title, '') <> '' AND coalesce(content, '') <> '' AS asked FROM articles),
+r AS (SELECT *, CASE WHEN NOT asked THEN 0 WHEN n % 7 <> 0 AND n % 3 <> 1 THEN 1 WHEN n % 11 <> 0 THEN 2 ELSE 3 END AS rung, CASE WHEN n % 5 = 0 THEN 3 ELSE 1 END AS first FROM a),
+o AS (SELECT *, CASE rung WHEN 0 THEN 0 WHEN 1 THEN first WHEN 2 THEN first + 1 ELSE first + 4 END AS calls, CASE WHEN rung = 0 THEN 'title and content are required' WHEN rung = 3 AND n % 2 = 0 THEN 'offline' END AS error FROM r),
+w AS (SELECT id, unnest(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{{6,}}')) AS word FROM a), f AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS k FROM f),
+t AS (SELECT id, sum(n) AS words, count(*) AS kinds, string_agg(word, ',' ORDER BY k) FILTER (k <= 5) AS keywords FROM k GROUP BY id)
+SELECT o.id, rung::INTEGER AS rung, calls::INTEGER AS calls, error, CASE WHEN error IS NULL THEN ['large', 'small', 'rules'][rung] END AS provider,
+CASE WHEN error IS NULL THEN CASE WHEN o.n >= 500 THEN 'COMPLETE' WHEN o.n >= 100 THEN 'PARTIAL_USEFUL' ELSE 'PARTIAL_USELESS' END END AS completeness,
+CASE WHEN error IS NULL THEN CASE WHEN words IS NULL THEN 'JUNK' WHEN kinds * 5 < words THEN 'LOW_QUALITY' ELSE 'OK' END END AS content_quality,
+CASE WHEN error IS NULL THEN coalesce(keywords, '') END AS keywords, CASE WHEN error IS NULL THEN title END AS points FROM o LEFT JOIN t ON t.id = o.id""")
+def article_ladder(spark, d):
+    """Every article asks one provider after the other until an answer can be read; rows without title or content are not asked."""
+    a = ladder(articles(spark, d).select("id", "title", "content"), models.analysis(), rungs(), wait=lambda seconds: None)
+    v = "answer.value."
+    return a.select("id", "answer.rung", "answer.calls", "answer.error", "answer.provider", v + "completeness", v + "content_quality", F.array_join(v + "thematic_keywords", ",").alias("keywords"), F.array_join(v + "event_summary_points", ",").alias("points"))
+
+
 REPORT = f"""{VALID}, st AS (SELECT cluster_id, part, importance, unnest(ids) AS id FROM acc),
 rep AS (SELECT cluster_id, part, 'Story ' || cluster_id::VARCHAR || '-' || part::VARCHAR AS title, any_value(importance) AS importance, count(*) AS articles, count(*) FILTER (text IS NOT NULL AND text <> '') AS found FROM st LEFT JOIN documents ON doc_id = id GROUP BY cluster_id, part),
 repo AS (SELECT *, CASE WHEN found = articles THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status FROM rep)"""

@@ -5,9 +5,11 @@ The same projections stand as CTE text for the oracle.  "Now" is a literal in bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.tables import numbered
+
 NOW = "2024-01-31 00:00:00"
 DIM = 64
 
@@ -60,13 +62,8 @@ def articles(spark: SparkSession, d: str, labels: bool = False, vectors: bool =
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each source name, numbered by name: inside names of the same first letters, on top of the counts before."""
-    names = read(spark, d, "documents").select(F.col("source").alias("name")).distinct()
-    head = F.coalesce(F.substring("name", 1, 4), F.lit(""))
-    own = names.withColumn("_h", head).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("name")))
-    heads = names.groupBy(head.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    offset = heads.select("_h", (F.sum("_n").over(Window.orderBy("_h")) - F.col("_n")).alias("_off"))  # a row for each first four letters
-    s = own.join(offset, "_h").withColumn("id", (F.col("_off") + F.col("_r")).cast("bigint"))
+    """One row for each source name, numbered by name."""
+    s = numbered(read(spark, d, "documents").select(F.col("source").alias("name")).distinct(), "name")
     i = F.col("id")
     return s.select(
         "id", F.concat(F.lit("https://"), "name", F.lit(".example.com/feed")).alias("url"), "name", ((i - 1) % 4 + 1).cast("int").alias("scrape_frequency"),

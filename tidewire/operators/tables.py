@@ -36,14 +36,40 @@ def next_status(pdf: Column, fetched: Column, analysed: Column, embedded: Column
             .when(~embedded, "EMBEDDING_FAILED").when(~stored, "R2_UPLOAD_FAILED").otherwise("PROCESSED"))
 
 
+def numbered(keys: DataFrame, key: str, out: str = "id", parts: int = 256) -> DataFrame:
+    """Distinct keys with their place (1, 2, ...) in ascending order, null first.
+
+    Keys are numbered inside `parts` ranges, whose limits are the keys of smallest hash: a sample that every run draws alike,
+    one row of fewer than `parts` keys.  Each range holds about the same number of keys, however alike their beginnings are.
+    """
+    limits = keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(parts - 1).agg(F.sort_array(F.collect_list(key)).alias("_limits"))
+    placed = keys.crossJoin(F.broadcast(limits)).withColumn("_g", F.size(F.filter("_limits", lambda x: x <= F.col(key)))).drop("_limits")
+    counted = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = counted.select("_g", (F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).alias("_off"))  # at most `parts` rows
+    own = F.row_number().over(Window.partitionBy("_g").orderBy(key))
+    return placed.withColumn("_r", own).join(F.broadcast(before), "_g").withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_g", "_r", "_off")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, parts: int = 16) -> DataFrame:
+    """rows joined to the one row of their group; a group's rows are dealt to `parts` tasks by the hash of `spread`.
+
+    For keys of few values, one of which may hold a third of the rows; the groups' rows are repeated `parts` times.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    return dealt.join(groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))), [key, "_part"]).drop("_part")
+
+
 def batches(ids: DataFrame, id_col: str = "id", size: int = 100) -> DataFrame:
     """Queue messages of at most `size` ids in order.
 
-    Ids are numbered inside ranges of equal width first, so that no window holds the table.
+    Ids are numbered inside ranges of equal width first, ranges inside groups of 4,096: no window holds the table, and the
+    one over all groups has a row for every 26 million ids.
     """
     wide = F.floor(F.col(id_col) / (size * 64))
-    counted = ids.groupBy(wide.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counted.select("_g", (F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).alias("_off"))
-    numbered = ids.withColumn("_g", wide).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(id_col)))
-    placed = numbered.join(offsets, "_g").withColumn("batch", F.floor((F.col("_off") + F.col("_r") - 1) / size).cast("bigint"))
+    counted = ids.groupBy(wide.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.floor(F.col("_g") / 4096))
+    running = lambda part, order: F.sum("_n").over(part.orderBy(order)) - F.col("_n")
+    above = counted.groupBy("_h").agg(F.sum("_n").alias("_n")).select("_h", running(Window, "_h").alias("_base"))
+    offsets = counted.withColumn("_own", running(Window.partitionBy("_h"), "_g")).join(above, "_h").select("_g", (F.col("_base") + F.col("_own")).alias("_off"))
+    numbers = ids.withColumn("_g", wide).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(id_col)))
+    placed = numbers.join(offsets, "_g").withColumn("batch", F.floor((F.col("_off") + F.col("_r") - 1) / size).cast("bigint"))
     return placed.groupBy("batch").agg(F.sort_array(F.collect_list(id_col)).alias("ids"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.bridge import ARTICLES, articles, read
 from tidewire.functions import vector as V
-from tidewire.operators import density, density_table, models, providers
+from tidewire.operators import density, density_table, models, providers, tables
 from tidewire.operators.ladder import SERVICE, Step, ladder
 from tidewire.plans.registry import query
 
@@ -51,7 +51,7 @@ def rerank(spark, d):
     """The three contexts of each label nearest to its first vector; each map task keeps three, so little is shuffled."""
     e = read(spark, d, "embeddings")
     q = e.groupBy("label").agg(F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("v"))
-    s = e.join(q, "label").where(c("vec_id") != c("query_id")).select("query_id", c("vec_id").alias("id"), V.cosine(c("v"), c("embedding")).alias("score"))
+    s = tables.join_groups(e, q, "label", "vec_id").where(c("vec_id") != c("query_id")).select("query_id", c("vec_id").alias("id"), V.cosine(c("v"), c("embedding")).alias("score"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -78,10 +78,10 @@ UNION ALL SELECT 'texts', CASE WHEN has AND whole THEN 'vector_item' WHEN whole
 def item_formats(spark, d):
     """How many records of each table, written as JSON (a null is left out), are of each accepted format."""
     a, e = articles(spark, d, vectors=True), read(spark, d, "embeddings")
-    tables = {
+    records = {
         "documents": read(spark, d, "documents").select(c("doc_id").alias("id"), "text", "lang"), "vectors": e.select(c("vec_id").alias("id"), "embedding"), "labelled": e.select(c("vec_id").alias("id"), "embedding", "label"),
         "articles": a.select("id", "title", "content", "url", "embedding", c("publish_date").alias("publishDate"), "status", "created_at"), "texts": a.select(c("content").alias("text"), "embedding")}
-    kinds = [t.select(F.lit(name).alias("records"), providers.record_format(F.to_json(F.struct("*"))).alias("kind")) for name, t in tables.items()]
+    kinds = [t.select(F.lit(name).alias("records"), providers.record_format(F.to_json(F.struct("*"))).alias("kind")) for name, t in records.items()]
     return reduce(lambda x, y: x.unionByName(y), kinds).groupBy("records", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidewire.bridge import ARTICLES, DIM, METRICS, REPORTS, T, articles, hours_ago, metrics, now, read, reports, text_of
+from tidewire.operators import tables
 from tidewire.plans.observability import DEC, decisions
 from tidewire.plans.registry import query
 from tidewire.plans.vectors import VALID, candidates, validated
@@ -151,4 +152,4 @@ def cluster_response(spark, d):
     e = read(spark, d, "embeddings").where(c("label") != 0)
     meta = F.create_map(F.lit("id"), F.when(c("vec_id") % 3 == 0, F.concat(F.lit("a"), c("vec_id").cast("string"))).otherwise(""))
     items = e.select(c("label").cast("bigint").alias("cluster_id"), F.coalesce(F.nullif(meta["id"], F.lit("")), c("vec_id").cast("string")).alias("article_id"))
-    return items.join(items.groupBy("cluster_id").agg(n_rows().alias("size")), "cluster_id")
+    return tables.join_groups(items, items.groupBy("cluster_id").agg(n_rows().alias("size")), "cluster_id", "article_id")

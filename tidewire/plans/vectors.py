@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.bridge import ARTICLES, articles, read
 from tidewire.functions import vector as V
-from tidewire.operators import vector_index
+from tidewire.operators import tables, vector_index
 from tidewire.plans.registry import query
 
 c = F.col
@@ -87,7 +87,7 @@ def cluster_stats(spark, d):
 def cluster_members(spark, d):
     """A row for each member, clusters by size with the noise last: no list of a cluster's members in one row."""
     every = clusters(spark, d).select("cluster", "id")
-    sized = every.join(every.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    sized = tables.join_groups(every, every.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster", "id")
     return sized.select("cluster", "size", "id").orderBy(c("cluster") == -1, F.desc("size"), "cluster", "id")
 
 

@@ -77,6 +77,15 @@ def test_runs_of_hard_rows(spark):
         word_runs.find_runs(docs, periods=1)
 
 
+def test_op11_of_texts_without_words(spark, tmp_path):
+    """Ids whose crc32 ends in 0 build their text anew: a text without words has nothing to build from."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    spark.createDataFrame(list(zip(ids, [None, "", " \n\x0b ", "a"], strict=True)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op11_runs(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_runs == 0 and got[i].start is None for i in ids)
+    assert [got[i].collapsed_sha256 for i in ids] == [hashlib.sha256(x).hexdigest() for x in (b"", b"", b"", b"a")]
+
+
 def brute_trie(convs):
     """convs: id -> list of (role, text)."""
     members, ends = defaultdict(list), defaultdict(list)

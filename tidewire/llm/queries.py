@@ -74,7 +74,7 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string"))
     words = F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
     some = docs.select("doc_id", "text", crc.alias("h"), F.when(crc % 10 == 0, words).alias("w")).withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w"))
-    placed = some.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    placed = some.withColumn("a", F.expr("g % nullif(n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
     again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
     made = placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
     found = word_runs.find_runs(made, periods=4, least=6)

@@ -1,6 +1,7 @@
 """Whole-table density clustering: the tree, the hierarchy and the index against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,28 @@ def test_small_tables(spark, n):
     got = [r.cluster for r in density_table.cluster_table(table(spark, x).where(F.lit(n > 0))).orderBy("id").collect()] if n else []
     want = density._labelled(x, density.Params()) if n else np.zeros(0)
     assert len(got) == n and (n > 3 or set(got) <= {0}) and same(got, want.tolist())
+
+
+@pytest.mark.parametrize("dim", [2, 10, 64])
+def test_nearest_rows_equal_those_of_all_distances(dim):
+    """Candidates by products lose no row and no tie: places and distances are those of sorting all distances."""
+    r = np.random.default_rng(dim)
+    a, b = r.integers(0, 3, (70, dim)) / 7, np.concatenate([r.integers(0, 3, (150, dim)) / 7, r.normal(1e3, 1e-6, (50, dim))])
+    a, ids = np.concatenate([a, b[-20:]]), r.permutation(200)
+    d = vector_index.distances(a, b)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)
+    for k in (1, 7, 200, 300):
+        i, j, got = vector_index.nearest(a, b, ids, k)
+        assert (j.reshape(90, -1) == order[:, :k]).all() and (got.reshape(90, -1) == np.take_along_axis(d, order, 1)[:, :k]).all()
+        far = np.sort(d, axis=1)[:, 3]
+        i, j, got = vector_index.nearest(a, b, ids, k, far)
+        assert [(x, y) for x in range(90) for y in order[x, :k] if d[x, y] <= far[x]] == list(zip(i.tolist(), j.tolist(), strict=True)) and (got == d[i, j]).all()
+
+
+def test_searches_hand_on_small_pieces():
+    """A query may ask every list, so what a task holds at once doesn't grow with the number of lists."""
+    f = pd.DataFrame({"id": np.arange(10_000)})
+    for lists in (1, 100, 8192, 100_000):
+        parts = list(vector_index.slices(iter([f, f.iloc[:0], f]), lists))
+        assert max(len(p) for p in parts) * lists <= max(lists, vector_index.ASKED) and pd.concat(parts)["id"].tolist() == 2 * f["id"].tolist()
+    assert list(vector_index.slices(iter([f]), 0)) == []

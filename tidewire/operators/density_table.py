@@ -113,11 +113,13 @@ def _outside(index: VI.Index, points: DataFrame, upper: DataFrame | None) -> Dat
 
     def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            own = [np.zeros(0)]
+            for part in VI.slices([f], len(c)):
+                d = VI.distances(VI.matrix(part["vec"]), c) + radii
+                most = np.maximum(np.maximum(d, core), part["core"].to_numpy()[:, None])
+                own.append(np.where(foreign(part["comp"].to_numpy()), most, np.inf).min(axis=1))
             if len(f):
-                d = VI.distances(VI.matrix(f["vec"]), c) + radii
-                most = np.maximum(np.maximum(d, core), f["core"].to_numpy()[:, None])
-                own = np.where(foreign(f["comp"].to_numpy()), most, np.inf).min(axis=1)
-                yield pd.DataFrame({"comp": f["comp"], "u": own}).groupby("comp", as_index=False).min()
+                yield pd.DataFrame({"comp": f["comp"], "u": np.concatenate(own)}).groupby("comp", as_index=False).min()
 
     rough = asking.mapInPandas(bounds, "comp bigint, u double")
     if upper is not None:
@@ -125,11 +127,10 @@ def _outside(index: VI.Index, points: DataFrame, upper: DataFrame | None) -> Dat
     bound = keep(rough.groupBy("comp").agg((F.min("u") * (1 + 1e-9)).alias("u")), "bound")
 
     def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                low = np.maximum(VI.distances(VI.matrix(f["vec"]), c) - radii, f["core"].to_numpy()[:, None])
-                i, j = np.nonzero(foreign(f["comp"].to_numpy()) & (low <= f["u"].to_numpy()[:, None]))
-                yield f.iloc[i][["id", "vec", "core", "comp"]].assign(list=j.astype(np.int32))
+        for f in VI.slices(frames, len(c)):
+            low = np.maximum(VI.distances(VI.matrix(f["vec"]), c) - radii, f["core"].to_numpy()[:, None])
+            i, j = np.nonzero(foreign(f["comp"].to_numpy()) & (low <= f["u"].to_numpy()[:, None]))
+            yield f.iloc[i][["id", "vec", "core", "comp"]].assign(list=j.astype(np.int32))
 
     asks = asking.join(bound, "comp").mapInPandas(lists, "id bigint, vec array<double>, core double, comp bigint, list int")
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidewire.operators.storage import keep
 
 BLOCK = 1024
+ASKED = 16_384  # rows that a task hands on at once: a query may ask every list
 MOST_LISTS = 8192  # centres go to every task: 8,192 of 384 numbers are 25 MB
 
 
@@ -68,6 +69,14 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def slices(frames: Iterator[pd.DataFrame], lists: int) -> Iterator[pd.DataFrame]:
+    """Rows in pieces whose rows asking all lists are about ASKED: a piece's distances to centres and its answers stay that small."""
+    step = max(1, ASKED // max(1, lists))
+    for f in frames:
+        for at in range(0, len(f) if lists else 0, step):
+            yield f.iloc[at:at + step]
+
+
 def build(vectors: DataFrame, n_lists: int | None = None, path: str | None = None) -> Index:
     """Index of vectors (id bigint, vec array of numbers of one length); null vectors are left out.
 
@@ -78,10 +87,11 @@ def build(vectors: DataFrame, n_lists: int | None = None, path: str | None = Non
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                d = distances(matrix(f["vec"]), c)
-                at = d.argmin(axis=1)
-                yield f.assign(list=at.astype(np.int32), away=d[np.arange(len(f)), at])
+            for at in range(0, len(f), BLOCK):
+                part = f.iloc[at:at + BLOCK]
+                d = distances(matrix(part["vec"]), c)
+                near = d.argmin(axis=1)
+                yield part.assign(list=near.astype(np.int32), away=d[np.arange(len(part)), near])
 
     placed = known.mapInPandas(run, "id bigint, vec array<double>, list int, away double")
     if path is None:
@@ -140,12 +150,41 @@ def meet(asks: DataFrame, base: DataFrame, compare: Callable[[pd.DataFrame, pd.D
 FOUND = "query_id bigint, id bigint, dist double"
 
 
-def _nearest(asks: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance): each a's k nearest rows of b, ties by ids; with `far` only those no farther than that.
+
+    Products tell which rows may be among them, with room for their rounding; the distances are those of distances().
+    """
+    aa, bb = (a ** 2).sum(axis=1)[:, None], (b ** 2).sum(axis=1)[None, :]
+    room = 1e-12 * a.shape[1] * (aa + bb.max(initial=0))
+    rough = aa + bb - 2 * (a @ b.T)
+    most = np.partition(rough, k - 1, axis=1)[:, k - 1:k] + 2 * room if len(b) > k else np.full((len(a), 1), np.inf)
+    if far is not None:
+        most = np.minimum(most, far[:, None] ** 2 * (1 + 1e-9) + room)
+    i, j = np.nonzero(rough <= most)
+    d, step = np.empty(len(i)), max(1, 4_000_000 // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        d[at:at + step] = np.sqrt(((a[i[at:at + step]] - b[j[at:at + step]]) ** 2).sum(axis=1))
+    if far is not None:
+        within = d <= far[i]
+        i, j, d = i[within], j[within], d[within]
+    order = np.lexsort((ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], d[first]
+
+
+def _nearest(asks: DataFrame, base: DataFrame, k: int, bound: str | None = None) -> DataFrame:
+    """Each query's k nearest rows of each list that it asks; with a column `bound` of asks only rows no farther than that."""
+    if bound:
+        base = base.withColumn(bound, F.lit(None).cast("double"))
+
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(matrix(q["vec"]), matrix(b["vec"]))
+        if not len(q) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "dist": []})
         ids = b["id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+        i, j, d = nearest(matrix(q["vec"]), matrix(b["vec"]), ids, k, q[bound].to_numpy() if bound else None)
+        return pd.DataFrame({"query_id": q["id"].to_numpy()[i], "id": ids[j], "dist": d})
 
     return meet(asks, base, compare, FOUND)
 
@@ -160,18 +199,16 @@ def _asked(queries: DataFrame, index: Index, probes: int, bound: str | None = No
     c, radii, some = index.centres, index.radii, index.sizes > 0
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f) or not len(c):
-                continue
+        for f in slices(frames, len(c)):
             d = np.where(some, distances(matrix(f["vec"]), c), np.inf)
             near = np.zeros(d.shape, bool)
             np.put_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
             if bound:
                 near = ~near & some & (d - radii <= f[bound].to_numpy()[:, None] * (1 + 1e-9))
             i, j = np.nonzero(near & some)
-            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "vec": f["vec"].to_numpy()[i], "list": j.astype(np.int32)})
+            yield f.iloc[i].assign(list=j.astype(np.int32))
 
-    return queries.mapInPandas(run, "id bigint, vec array<double>, list int")
+    return queries.select("id", "vec", *([bound] if bound else [])).mapInPandas(run, f"id bigint, vec array<double>{f', {bound} double' if bound else ''}, list int")
 
 
 def search(queries: DataFrame, index: Index, k: int, probes: int = 4, exact: bool = True) -> DataFrame:
@@ -188,7 +225,7 @@ def search(queries: DataFrame, index: Index, k: int, probes: int = 4, exact: boo
     first = keep(best(_nearest(asked, base, k), k), "nearest")
     far = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("dist").alias("_far"))
     bound = q.join(far, "id", "left").withColumn("_far", F.coalesce("_far", F.lit(float("inf"))))
-    more = _nearest(_asked(bound, index, probes, "_far"), base, k)
+    more = _nearest(_asked(bound, index, probes, "_far"), base, k, "_far")
     return best(first.drop("rank").unionByName(more), k)
 
 

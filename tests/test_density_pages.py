@@ -163,3 +163,18 @@ def test_items_and_embedding(spark):
     assert providers.item_format(["id", "embedding"]) == "embedding_item" and providers.item_format(["x"]) == "unknown"
     staged = providers.Staged().add("embed", providers.embed).add("items", providers.normalized_items)
     assert staged.run(t).count() == 3 and list(staged.took) == ["embed", "items"]
+
+
+def test_trials_on_the_same_rows_share_their_work(monkeypatch):
+    """Labels and scores are those of trials on their own; a hierarchy is merged once for each size and number of samples."""
+    x = density.reduce(density.unit(np.random.default_rng(5).normal(size=(120, 8))), 3)
+    trials = [(size, samples, eps) for size in (3, 5) for samples in (1, 3) for eps in (0.0, 0.2, 0.5)]
+    alone = [density.density_labels(x, *t) for t in trials]
+    scores = [density.validity(x, a) for a in alone]
+    merges, merge = [], density.merge_group
+    monkeypatch.setattr(density, "merge_group", lambda *a: merges.append(a) or merge(*a))
+    trees, known = {}, {}
+    for t, a, score in zip(trials, alone, scores, strict=True):
+        labels = density.density_labels(x, *t, trees)
+        assert (labels == a).all() and density.validity(x, labels, known) == score
+    assert len(merges) == 4 and len(set(scores)) > 2

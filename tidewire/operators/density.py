@@ -56,13 +56,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def _tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Minimum spanning tree of mutual reachability, rows (from, to, length); a row of distances at a time."""
+def _tree(x: np.ndarray, core: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    """Minimum spanning tree of mutual reachability, rows (from, to, length); a row of distances (of `apart`, where known) at a time."""
     n = len(x)
     inside, best, frm, at, out = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, np.empty((n - 1, 3))
     for i in range(n - 1):
         inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
+        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)) if apart is None else apart[at], core), core[at])
         nearer = ~inside & (d < best)
         best[nearer], frm[nearer] = d[nearer], at
         at = int(np.where(inside, np.inf, best).argmin())
@@ -130,17 +130,26 @@ def _node(node: int, size: int, points: list[int] | None, cluster: str | None =
     return {"node": node, "size": size, "points": points, "cluster": cluster, "n_left": 0, "sum_left": 0.0, "split": None, "n_split": 0, "below": 0.0}
 
 
-def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: float = 0.0) -> np.ndarray:
-    """Cluster of each row, -1: noise.  Clusters of the condensed hierarchy with the greatest excess of mass."""
+def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: float = 0.0, known: dict | None = None) -> np.ndarray:
+    """Cluster of each row, -1: noise.  Clusters of the condensed hierarchy with the greatest excess of mass.
+
+    known: what trials on the same rows share (distances, trees, hierarchies); a new dict for each x.
+    """
     n = len(x)
     if n <= 3:
         return np.zeros(n, int)
     if min_cluster < 2:
         raise ValueError("min_cluster is 2 or more")
+    known = {} if known is None else known
     k = min(min_samples, n - 1)
-    core = np.array([np.partition(np.sqrt(((x - r) ** 2).sum(1)), k - 1)[k - 1] for r in x])
-    edges = [(int(a), int(b), w) for a, b, w in _tree(x, core)]
-    homes, closed, _ = merge_group([_node(i, 1, [i]) for i in range(n)], edges, min_cluster, "c")
+    if "apart" not in known:
+        known["apart"] = np.array([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
+    if ("tree", k) not in known:
+        core = np.partition(known["apart"], k - 1, axis=1)[:, k - 1]
+        known["tree", k] = [(int(a), int(b), w) for a, b, w in _tree(x, core, known["apart"])]
+    if (min_cluster, k) not in known:
+        known[min_cluster, k] = merge_group([_node(i, 1, [i]) for i in range(n)], known["tree", k], min_cluster, "c")
+    homes, closed, _ = known[min_cluster, k]
     parent, birth = {c: up for c, up, _, _ in closed}, {c: level for c, _, level, _ in closed}
 
     def highest(c: str | None, marked: set[str]) -> str | None:
@@ -167,34 +176,51 @@ def density_labels(x: np.ndarray, min_cluster: int, min_samples: int, epsilon: f
     return np.array(of)
 
 
-def validity(x: np.ndarray, labels: np.ndarray) -> float:
-    """Density-based validity of the clusters of the rows that are not noise, -1 to 1; -1 where fewer than two."""
-    x, labels = x[labels >= 0].astype(float), labels[labels >= 0]
-    names = np.unique(labels)
+def _inner(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(rows, core distances, inner rows, longest inner edge) of a cluster's rows."""
+    m, dim = y.shape
+    if m < 2:
+        return y, np.zeros(m), np.arange(m), 0.0
+    logs = -dim * np.log(np.maximum(_distances(y, y), 1e-12))
+    np.fill_diagonal(logs, -np.inf)
+    peak = logs.max(axis=1)
+    core = np.exp(-(peak + np.log(np.exp(logs - peak[:, None]).sum(axis=1)) - np.log(m - 1)) / dim)
+    tree = _tree(y, core)
+    ends = tree[:, :2].astype(int)
+    degree = np.bincount(ends.ravel(), minlength=m)
+    inner = np.flatnonzero(degree > 1) if (degree > 1).any() else np.arange(m)
+    both = (degree[ends] > 1).all(axis=1)
+    return y, core, inner, tree[both if both.any() else slice(None), 2].max()
+
+
+def validity(x: np.ndarray, labels: np.ndarray, known: dict | None = None) -> float:
+    """Density-based validity of the clusters of the rows that are not noise, -1 to 1; -1 where fewer than two.
+
+    known: what labellings of the same rows share (scores, clusters, how far two lie apart); a new dict for each x.
+    """
+    names = np.unique(labels[labels >= 0])
     if len(names) < 2:
         return -1.0
-    dim, parts = x.shape[1], []
+    known = {} if known is None else known
+    if (whole := labels.tobytes()) in known:
+        return known[whole]
+    x, parts = x.astype(float), []
     for c in names:
-        y = x[labels == c]
-        m = len(y)
-        if m < 2:
-            parts.append((y, np.zeros(m), np.arange(m), 0.0))
-            continue
-        logs = -dim * np.log(np.maximum(_distances(y, y), 1e-12))
-        np.fill_diagonal(logs, -np.inf)
-        peak = logs.max(axis=1)
-        core = np.exp(-(peak + np.log(np.exp(logs - peak[:, None]).sum(axis=1)) - np.log(m - 1)) / dim)
-        tree = _tree(y, core)
-        ends = tree[:, :2].astype(int)
-        degree = np.bincount(ends.ravel(), minlength=m)
-        inner = np.flatnonzero(degree > 1) if (degree > 1).any() else np.arange(m)
-        both = (degree[ends] > 1).all(axis=1)
-        parts.append((y, core, inner, tree[both if both.any() else slice(None), 2].max()))
-    total = 0.0
-    for i, (y, core, inner, sparse) in enumerate(parts):
-        apart = min(np.maximum(np.maximum(_distances(y[inner], z[other]), core[inner][:, None]), core2[other][None, :]).min() for j, (z, core2, other, _) in enumerate(parts) if j != i)
-        total += len(y) / len(x) * (apart - sparse) / max(apart, sparse, 1e-12)
-    return float(total)
+        rows = np.flatnonzero(labels == c)
+        if (key := rows.tobytes()) not in known:
+            known[key] = (len(known), *_inner(x[rows]))
+        parts.append(known[key])
+    total, kept = 0.0, (labels >= 0).sum()
+    for i, (one, y, core, inner, sparse) in enumerate(parts):
+        apart = np.inf
+        for j, (two, z, core2, other, _) in enumerate(parts):
+            if j != i:
+                if (one, two) not in known:
+                    known[one, two] = np.maximum(np.maximum(_distances(y[inner], z[other]), core[inner][:, None]), core2[other][None, :]).min()
+                apart = min(apart, known[one, two])
+        total += len(y) / kept * (apart - sparse) / max(apart, sparse, 1e-12)
+    known[whole] = float(total)
+    return known[whole]
 
 
 def _labelled(x: np.ndarray, p: Params) -> np.ndarray:
@@ -222,7 +248,8 @@ GRID = {"neighbors": (5, 10, 15, 30), "min_cluster": (3, 5, 8, 10), "min_samples
 def grid_search(rows: DataFrame, by: str, p: Params = Params(), grid: dict = GRID, most_rows: int = 5000) -> DataFrame:
     """Best parameters of each group by validity: by, neighbors, min_cluster, min_samples, epsilon, score (-1: defaults).
 
-    Each number of neighbors gives the group a layout of its own by its neighbour graph; the other settings are tried on it.
+    Each number of neighbors gives the group a layout of its own by its neighbour graph; the other settings are tried on it
+    and share its distances, a tree for each number of samples, a hierarchy for each of these and size, and clusters met before.
     """
     from tidewire.operators import layout
 
@@ -238,9 +265,10 @@ def grid_search(rows: DataFrame, by: str, p: Params = Params(), grid: dict = GRI
             flat = reduce(own, p.components)
             for near in grid["neighbors"]:
                 x = layout.reduce(own, flat, safe(len(own), replace(p, neighbors=near))[0])
+                trees, scores = {}, {}
                 for size, samples, eps in trials:
-                    labels = density_labels(x, size, samples, eps)
-                    if len(set(labels) - {-1}) >= 2 and (score := validity(x, labels)) > best[0]:
+                    labels = density_labels(x, size, samples, eps, trees)
+                    if len(set(labels.tolist()) - {-1}) >= 2 and (score := validity(x, labels, scores)) > best[0]:
                         best = (score, near, size, samples, float(eps))
         return pd.DataFrame([(key[0], *best[1:], best[0])], columns=[by, *keys, "score"])
 

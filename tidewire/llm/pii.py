@@ -4,7 +4,7 @@ The network is written and trained in numpy from labelled spans: a seeded genera
 kinds in usual and unusual spelling (addresses with [at], numbers with other separators), all of which obey their
 kind's rules (cards pass Luhn), and of things that are none.  Gates are hard sigmoids and softsign stands for tanh.
 Every text is read whole through overlapping windows of 192 characters; each window is decoded by Viterbi (where the
-emissions prove that no tag can win, the search is left out), and the decodings are reconciled over the whole text: a
+emissions and transitions prove that no tag can win, the search is left out), and the decodings are reconciled over the whole text: a
 character takes the tag of the window in whose middle 160 it lies.  Runs of one tag are spans of the method.  They are
 added where they overlap no base span and obey their kind's rules: an address has @, [at] or (at) and a dotted host;
 an IP four numbers of at most 255; a card 13 to 19 digits that pass Luhn; a phone number 9 to 15 digits.
@@ -107,6 +107,21 @@ def _soft(z: np.ndarray) -> np.ndarray:
     return z / (1 + np.abs(z))
 
 
+def unsure(e: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Rows of emissions e [time, tag, row] where the best path may leave tag 0.
+
+    A stretch of other tags gains at most its emissions' lead over tag 0 and its transitions' lead over staying there;
+    where no stretch can gain (with room for rounding), tag 0 throughout is the best path.
+    """
+    enter, stay, leave = (part.max() - a[0, 0] for part in (a[0, 1:], a[1:, 1:], a[1:, 0]))
+    gain = e[:, 1:].max(axis=1) - e[:, 0]
+    now, most = gain[0], np.full(e.shape[2], -np.inf, np.float32)
+    for t in range(1, len(e)):
+        most = np.maximum(most, now + leave)
+        now = gain[t] + np.maximum(now + stay, enter)
+    return np.flatnonzero(np.maximum(most, now) > -0.1)
+
+
 @dataclass
 class Net:
     p: dict[str, np.ndarray]
@@ -146,35 +161,42 @@ class Net:
         T, n = x.shape
         h, k = self.p["uf"].shape[0], len(self.p["b"])
         e = np.zeros((T, k, n), np.float32) + self.p["b"][:, None]
+        at = x.astype(np.intp)
+        z, more = np.empty((4 * h, n), np.float32), np.empty((4 * h + k, n), np.float32)  # used again by every step
         for part, d in enumerate("fb"):
             # The gates' factor 1/4 and summand 1/2 go into their weights.
             part_of = np.concatenate([np.full(3 * h, 0.25, np.float32), np.ones(h, np.float32)])
             g = np.ascontiguousarray(((self.p[f"g{d}"] + self.p[f"c{d}"]) * part_of + np.where(part_of < 1, 0.5, 0.0).astype(np.float32)).T)
             u, w = np.ascontiguousarray((self.p[f"u{d}"] * part_of).T), np.ascontiguousarray(self.p["w"][part * h:(part + 1) * h].T)
             hid, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+            both, last = np.concatenate([u, w]), None  # one product gives the next step's input and the last step's emissions
             for t in range(T) if d == "f" else range(T - 1, -1, -1):
-                z = g.take(x[t], axis=1)
-                z += u @ hid
+                np.matmul(both, hid, out=more)
+                if last is not None:
+                    e[last] += more[4 * h:]
+                last = t
+                np.take(g, at[t], axis=1, out=z, mode="clip")
+                z += more[:4 * h]
                 gate = z[:3 * h]
-                np.minimum(np.maximum(gate, 0, out=gate), 1, out=gate)
+                np.clip(gate, 0, 1, out=gate)
                 cell = gate[h:2 * h] * cell + gate[:h] * _soft(z[3 * h:])
                 hid = gate[2 * h:] * _soft(cell)
-                e[t] += w @ hid
-        # Where tag 0 leads everywhere by more than two transitions can win back, it is the best path: no search there.
+            if last is not None:
+                e[last] += w @ hid
         a = self.p["a"]
-        lead = np.full(n, np.inf, np.float32)
-        for i in range(1, k):
-            np.minimum(lead, (e[:, 0] - e[:, i]).min(axis=0), out=lead)
-        open_ = np.flatnonzero(lead <= 2 * (a.max() - a[0, 0]))
+        open_ = unsure(e, a)
         tags = np.zeros(x.shape, np.int8)
         if not len(open_):
             return tags
         e = e[:, :, open_]
         best, back = e[0], np.zeros((T, k, len(open_)), np.int8)
         for t in range(1, T):
-            s = best[:, None] + a[:, :, None]
-            back[t] = s.argmax(0)
-            best = s.max(0) + e[t]
+            most, from_ = best[0] + a[0][:, None], back[t]
+            for i in range(1, k):  # the first of equal ones stays
+                s = best[i] + a[i][:, None]
+                np.copyto(from_, i, where=s > most)
+                np.maximum(most, s, out=most)
+            best = most + e[t]
         path, rows = np.empty((T, len(open_)), np.int8), np.arange(len(open_))
         path[-1] = best.argmax(0)
         for t in range(T - 1, 0, -1):

@@ -664,6 +664,36 @@ def test_pieces_no_cut_through_pieces():
     assert all(v.decode(x[0]) == run for x in got) and got[0][0].tolist() != got[1][0].tolist()
 
 
+def test_pieces_look_up_only_what_may_be_a_piece(monkeypatch):
+    """Strings that begin no piece are not lengthened; texts give the same samples alone and together."""
+    v = piece_sampling.vocabulary(piece_sampling.MODEL, 1.0)
+    r = np.random.default_rng(4)
+    texts = [" ".join("".join(r.choice(list("etaoinshrdlu"), n)) for n in r.integers(6, 15, 60)) for _ in range(40)]
+    looked, find = [], piece_sampling.Vocabulary.find
+    monkeypatch.setattr(piece_sampling.Vocabulary, "find", lambda self, h: (looked.append(h.size), find(self, h))[1])
+    got = piece_sampling.encode_batch(list(range(40)), texts, v, 2, 3)
+    assert sum(looked) < 4.5 * len("".join(set(" ".join(texts).split())))
+    alone = [piece_sampling.encode_batch([i], [t], v, 2, 3)[0] for i, t in enumerate(texts)]
+    assert [[x[0].tolist() for x in s] for s in got] == [[x[0].tolist() for x in s] for s in alone]
+
+
+def test_pieces_words_and_cuts(monkeypatch):
+    """Texts with any spaces fall into the words of the expression; cuts by classes are those by pairs."""
+    v = piece_sampling.vocabulary(piece_sampling.MODEL, 1.0)
+    texts = ["a b", " a", "a ", "a  b", "  ", "▁a ▁", "x ▁▁ y", "né\n  日本 b", "it's\t so,  then. "]
+    held = []
+    cuts = piece_sampling.Vocabulary.cuts
+    monkeypatch.setattr(piece_sampling.Vocabulary, "cuts", lambda self, code, ends: (held.extend("".join(map(chr, x)) for x in np.split(code, ends)[:-1]), cuts(self, code, ends))[1])
+    piece_sampling.encode_batch(list(range(len(texts))), texts, v, 1, 3)
+    spelled = [piece_sampling.SPACE + t.replace(piece_sampling.SPACE, piece_sampling.MARK).replace(" ", piece_sampling.SPACE) for t in texts]
+    words = list(dict.fromkeys(w for s in spelled for w in v.word.findall(s)))
+    assert held == words
+    by_class = v.units(words)
+    monkeypatch.setattr(v, "classes", None)
+    by_pair = v.units(words)
+    assert by_class[0] == by_pair[0] and by_class[1].tolist() == by_pair[1].tolist() and len(by_pair[0]) > len(words)
+
+
 def test_pieces_decode_replaces_a_column(spark):
     rows = spark.createDataFrame([("old", [1, 2])], "text string, ids array<int>")
     assert piece_sampling.decode(rows).columns == ["ids", "text"]

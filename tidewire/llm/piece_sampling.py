@@ -11,8 +11,9 @@ and sampling the rest yields the next segmentation; nothing is enumerated.  The
 entry left, gives each sample its inclusion probability 1 - exp(-exp(log p - kappa)), returned as a logarithm.
 
 A text is cut into units only between characters that no vocabulary piece holds next to each other, so no piece can
-cross a cut and the lattice is that of the whole text: its probabilities are the products of the units'.  Distinct
-units are looked up once a batch, in numpy tables; a unit takes about 400 bytes a character.  Piece weights follow the
+cross a cut and the lattice is that of the whole text: its probabilities are the products of the units'.  Arrow
+numbers the distinct words and units of a batch; each unit is looked up once, in numpy tables, and only strings with
+which some piece begins are lengthened.  A unit takes about 200 bytes a character.  Piece weights follow the
 vocabulary's ranks by Zipf's law, raised to `alpha`.
 All random numbers are hashes of (seed, row key, sample, place), so results don't depend on batches or tasks.
 
@@ -41,20 +42,46 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import release, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, MARK, FILL = "▁", "\ud800", "\udfff"  # MARK stands for a SPACE that is in the text itself, FILL for no character
-LEAST = -1e300
+SPACE, MARK = "▁", "\ud800"  # MARK stands for a SPACE that is in the text itself
 WORD, WHOLE = re.compile("▁*[^▁]+|▁+"), re.compile("(?s).+")
 WIDE = 1 << 21  # added to a code point that is written as several bytes
 BASE = np.uint64(1099511628211)
+M64 = 2**64 - 1
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Hash to (0, 1)."""
-    x = (x ^ (x >> np.uint64(30))) * C2
-    x = (x ^ (x >> np.uint64(27))) * C3
-    x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= C2
+    y ^= y >> np.uint64(27)
+    y *= C3
+    y ^= y >> np.uint64(31)
+    y >>= np.uint64(11)
+    u = y.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
+def points(s: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def strings(ends: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    """Arrow's array of the byte strings of data that end (in elements of data) at `ends`; nothing is copied."""
+    at = np.concatenate([[0], ends * data.itemsize])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def content(x: pa.LargeBinaryArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data) of such an array."""
+    at = np.frombuffer(x.buffers()[1], np.int64)[x.offset:x.offset + len(x) + 1]
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(x.buffers()[2] or b"", np.uint8)[at[0]:at[-1]].view(kind)
+    return (at[1:] - at[0]) // size, data
 
 
 class Vocabulary:
@@ -75,12 +102,24 @@ class Vocabulary:
                 self.bytes_of.append(p.replace(SPACE, " ").encode())
         self.longest = max(len(p) for p, _ in pieces)
         self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for p, _ in pieces for a, b in zip(p, p[1:])}), np.int64)
+        # The same as a table by the characters' classes, where they are few; class 0 is that of all others.
+        first, second = self.neighbours >> 21, self.neighbours & (1 << 21) - 1
+        known = np.union1d(first, second)
+        self.classes, self.beside = None, None
+        if len(known) < 1 << 11:
+            self.classes = np.zeros(int(known.max(initial=0)) + 2, np.int32)
+            self.classes[known] = np.arange(1, len(known) + 1)
+            self.beside = np.zeros((len(known) + 1, len(known) + 1), bool)
+            self.beside[self.classes[first], self.classes[second]] = True
         # Where no piece has a space after something else, texts are taken apart at spaces first.
         self.word = WHOLE if any(p[i] == SPACE != p[i - 1] for p, _ in pieces for i in range(1, len(p))) else WORD
         flat = math.log(math.log(len(pieces) + 1))
         own: dict[int, list] = defaultdict(list)
+        begun: set[int] = set()
         for rank, (p, i) in enumerate(sorted(pieces, key=lambda x: (-sp.get_score(x[1]), x[1]))):
-            own[len(p)].append((self.hash_of(p), i, -alpha * (math.log(rank + 2.0) + flat)))
+            *shorter, whole = self.hashes_of(p)
+            begun.update(shorter)
+            own[len(p)].append((whole, i, -alpha * (math.log(rank + 2.0) + flat)))
         rows = [r for n in sorted(own) for r in own[n]]
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.begin_of = np.cumsum(self.size_of) - self.size_of
@@ -99,6 +138,9 @@ class Vocabulary:
             if self.slots[1][slot] >= 0:
                 raise ValueError("two pieces share both slots")
             self.slots[1][slot] = i
+        # Slots of strings with which a longer piece begins; others that share a slot are only looked up in vain.
+        self.begins = np.zeros(1 << 20, bool)
+        self.begins[self.slot_of(np.fromiter(begun, np.uint64, len(begun)), 0)] = True
         # After the pieces: characters that are none, of one to four bytes; the last entry, number -1, is no edge.
         byte_weight = -alpha * (math.log(len(pieces)) + flat)
         self.weights = np.concatenate([self.weights, byte_weight * np.arange(1, 5), [-np.inf]])
@@ -107,41 +149,50 @@ class Vocabulary:
     def slot_of(h: np.ndarray, which: int) -> np.ndarray:
         return ((h * (C1 if which == 0 else C3)) >> np.uint64(44)).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat places in h that are pieces, their numbers)."""
-        h = h.ravel()
-        got = self.slots[0].take(self.slot_of(h, 0))
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in h that are pieces, their numbers, for all whether a longer piece may begin so)."""
+        slot = self.slot_of(h, 0)
+        got = self.slots[0].take(slot)
         full = np.flatnonzero(got >= 0)
         no = got[full]
         same = self.keys.take(no) == h.take(full)
         other = full[~same]
         second = self.slots[1].take(self.slot_of(h[other], 1))
         ok = (second >= 0) & (self.keys[second] == h[other])
-        return np.concatenate([full[same], other[ok]]), np.concatenate([no[same], second[ok]])
+        return np.concatenate([full[same], other[ok]]), np.concatenate([no[same], second[ok]]), self.begins.take(slot)
 
     @staticmethod
-    def hash_of(s: str) -> int:
-        h = 0
+    def hashes_of(s: str) -> list[int]:
+        """Of every beginning of s, itself last."""
+        h, out, base = 0, [], int(BASE)
         for c in s:
-            h = (h * int(BASE) + ord(c) + 7) & (2**64 - 1)
-        return h
+            h = (h * base + ord(c) + 7) & M64
+            out.append(h)
+        return out
 
-    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """(units of all words in order, units of each word): cut where no piece holds the two characters together."""
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        pair = code[:-1] << 21 | code[1:]
-        at = np.searchsorted(self.neighbours, pair)
+    @classmethod
+    def hash_of(cls, s: str) -> int:
+        return cls.hashes_of(s)[-1] if s else 0
+
+    def cuts(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ends of the units of the words that end at `ends`: cut where no piece holds the two characters together."""
         apart = np.ones(len(code), bool)
-        apart[:-1] = self.neighbours.take(at, mode="clip") != pair
+        if self.classes is not None:
+            kind = self.classes.take(code, mode="clip")
+            np.logical_not(self.beside.ravel().take(kind[:-1] * np.int32(len(self.beside)) + kind[1:]), out=apart[:-1])
+        else:
+            pair = code[:-1].astype(np.int64) << 21 | code[1:]
+            apart[:-1] = self.neighbours.take(np.searchsorted(self.neighbours, pair), mode="clip") != pair
         apart[ends - 1] = True
-        cuts = np.flatnonzero(apart) + 1
-        whole, begin = "".join(words), 0
-        out = []
-        for e in cuts.tolist():
-            out.append(whole[begin:e])
-            begin = e
-        return out, np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
+        return np.flatnonzero(apart) + 1
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of all words in order, units of each word)."""
+        whole = "".join(words)
+        ends = np.cumsum([len(w) for w in words])
+        cuts = self.cuts(points(whole), ends)
+        upto = cuts.tolist()
+        return [whole[b:e] for b, e in zip([0, *upto], upto)], np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray, step: int = 500_000) -> list[bytes]:
         """The UTF-8 text of each run of ids; run i ends before ids[ends[i]]."""
@@ -168,81 +219,81 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """Nodes and edges of a list of distinct units; nodes of a unit are consecutive, edges sorted by node."""
-
-    def __init__(self, units: list[str], v: Vocabulary):
-        n = len(units)
-        self.size = np.fromiter(map(len, units), np.int32, n)
-        self.first = np.zeros(n, np.int64)
-        counts, length, piece, prob, base = [], [], [], [], 0
-        # Units of like sizes go together, long ones with room at the front: nodes that no path enters.
-        room = np.array([x if x <= 24 else -(-x // (1 << (x.bit_length() - 2))) * (1 << (x.bit_length() - 2)) for x in self.size.tolist()], np.int64)
-        for size in np.unique(room).tolist():
-            rows = np.flatnonzero(room == size)
-            code = np.frombuffer("".join([units[r].rjust(size, FILL) for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size)
-            self.first[rows] = base + np.arange(len(rows)) * size + size - self.size[rows]
-            base += len(rows) * size
-            for part in self._group(code.astype(np.uint64), size, size - self.size[rows], v):
-                for to, x in zip((counts, length, piece, prob), part, strict=True):
-                    to.append(x)
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        counts, self.length, self.piece, self.prob = join(counts, np.int64), join(length, np.int64), join(piece, np.int32), join(prob, float)
-        self.begin = np.concatenate([[0], np.cumsum(counts)])
-        cum = np.cumsum(self.prob)
-        before = np.concatenate([[0.0], cum])[self.begin[:-1]]
-        self.cdf = cum - np.repeat(before, counts)
-        last = self.begin[1:] - 1
-        if len(last):
-            self.cdf[last] = 2.0
-        self.log = np.log(np.maximum(self.prob, 1e-300)).astype(np.float32)
-        with np.errstate(divide="ignore"):
-            rest = 1.0 - self.prob
-            self.rest = np.log(np.where(rest < 1e-12, 0.0, rest)).astype(np.float32)  # log mass of a node's other edges
-
-    def _group(self, code: np.ndarray, size: int, pad: np.ndarray, v: Vocabulary, chars: int = 400_000):
-        most = min(v.longest, size)
-        byte0 = np.array([v.byte_id[x] for x in range(128)], np.int64)
-        step = max(1, chars // size)
-        for b in range(0, len(code), step):
-            c = code[b:b + step]
-            filled = np.arange(size) < pad[b:b + step, None]
-            n = len(c)
-            pre = np.zeros((n, size + 1), np.uint64)
-            for i in range(size):
-                pre[:, i + 1] = pre[:, i] * BASE + c[:, i] + np.uint64(7)
-            number = np.full((n, size, most), -1, np.int32)  # of the piece that fits, by row, place and length
-            for m in range(1, most + 1):
-                power = np.uint64(pow(int(BASE), m, 2**64))
-                wide = size - m + 1
-                at, no = v.find(pre[:, m:] - pre[:, :wide] * power)
-                number.ravel()[(at // wide * size + at % wide) * most + (m - 1)] = no
-            bare = (number[:, :, 0] < 0) & ~filled  # characters that are no piece
-            if bare.any():
-                own = c[bare]
-                own = np.where(own == 0xD800, 0x2581, own).astype(np.int64)
-                number[:, :, 0][bare] = len(v.ids) + np.select([own < 0x80, own < 0x800, own < 0x10000], [0, 1, 2], 3)
-            weight = v.weights.take(number.transpose(1, 2, 0), mode="wrap")  # rows last: sums run along whole columns
-            beta = np.zeros((size + 1, n))
-            for i in range(size - 1, -1, -1):
-                k = min(most, size - i)
-                x = weight[i, :k] + beta[i + 1:i + 1 + k]
-                top = np.maximum(x.max(axis=0), LEAST)  # no edges leave the room at the front
-                x -= top
-                np.exp(x, out=x)
-                beta[i] = top + np.log(np.maximum(x.sum(axis=0), 1e-300))
-            edge = np.flatnonzero(number >= 0)
-            no = number.ravel().take(edge)
-            node, m = edge // most, edge % most
-            r, i = node // size, node % size
-            piece = v.ids.take(no, mode="clip")
-            odd = np.flatnonzero(no >= len(v.ids))
-            if len(odd):
-                own = c.ravel().take(node.take(odd)).astype(np.int64)
-                own = np.where(own == 0xD800, 0x2581, own)
-                piece[odd] = np.where(own < 0x80, byte0.take(own, mode="clip"), own + WIDE)
-            flat = beta.ravel()
-            log = v.weights.take(no) + flat.take((i + m + 1) * n + r) - flat.take(i * n + r)
-            yield np.bincount(node, minlength=n * size), (m + 1).astype(np.int8), piece, np.exp(log)
+    """Nodes and edges of a list of distinct units; nodes nearer to their unit's end come first, edges are sorted by node and length."""
+
+    def __init__(self, units: list[str] | pa.LargeBinaryArray, v: Vocabulary):
+        """units: as strings, or as Arrow's byte strings of their code points."""
+        ends, code = (np.cumsum([len(u) for u in units], dtype=np.int64), points("".join(units))) if isinstance(units, list) else content(units, np.uint32)
+        n, size = len(code), np.diff(ends, prepend=0)
+        left = np.repeat(ends, size) - np.arange(n)  # characters from a place to its unit's end
+        order = np.argsort(left.astype(np.int16) if size.max(initial=0) < 1 << 15 else left, kind="stable")
+        node = np.empty(n, np.int64)
+        node[order] = np.arange(n)
+        self.first = node.take(ends - size)
+        found = self._found(code, left, v)
+        many = np.zeros(n, np.int64)
+        for place, _ in found:
+            many[place] += 1
+        many = many.take(order)
+        self.begin = np.concatenate([[0], np.cumsum(many)])
+        edges = int(self.begin[-1])
+        number, self.length, self.to = np.empty(edges, np.int32), np.empty(edges, np.int8), np.empty(edges, np.int32 if n < 1 << 31 else np.int64)
+        free = self.begin.take(node)
+        for m, (place, no) in enumerate(found, 1):
+            at = free.take(place)
+            free[place] = at + 1
+            number[at], self.length[at] = no, m
+            self.to[at] = np.where(left.take(place) > m, node.take(place + m, mode="clip"), -1)  # -1 is the end
+        self.piece = v.ids.take(number, mode="clip")
+        odd = np.flatnonzero(number >= len(v.ids))
+        if len(odd):
+            own = code.take(order.take(np.searchsorted(self.begin, odd, side="right") - 1)).astype(np.int64)
+            own = np.where(own == 0xD800, 0x2581, own)
+            self.piece[odd] = np.where(own < 0x80, np.array([v.byte_id[x] for x in range(128)], np.int64).take(own, mode="clip"), own + WIDE)
+        self.prob = self._prob(v.weights.take(number), many, np.bincount(left)[1:])
+        # Sums within each node, edge by edge.
+        self.cdf = self.prob.copy()
+        at = self.begin[:-1]
+        stop = at + many
+        while len(at):
+            on = at + 1 < stop
+            at, stop = at[on] + 1, stop[on]
+            self.cdf[at] += self.cdf.take(at - 1)
+        self.cdf[self.begin[1:] - 1] = 2.0
+
+    @staticmethod
+    def _found(code: np.ndarray, left: np.ndarray, v: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1 the places where a piece (or one character that is none) lies, and its number."""
+        place, h, out = np.arange(len(code)), code.astype(np.uint64) + np.uint64(7), []
+        while len(place):
+            at, no, on = v.find(h)
+            if not out:  # characters that are no piece
+                bare = np.ones(len(code), bool)
+                bare[at] = False
+                bare = np.flatnonzero(bare)
+                own = code.take(bare)
+                own[own == 0xD800] = 0x2581
+                at, no = np.concatenate([at, bare]), np.concatenate([no, len(v.ids) + np.select([own < 0x80, own < 0x800, own < 0x10000], [0, 1, 2], 3)])
+            out.append((place.take(at), no))
+            on = np.flatnonzero(on & (left.take(place) > len(out)))
+            place = place.take(on)
+            h = h.take(on) * BASE + code.take(place + len(out)) + np.uint64(7)
+        return out
+
+    def _prob(self, weight: np.ndarray, many: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Each edge's share of its node; wide: the number of nodes at each distance from the end."""
+        beta = np.zeros(len(many) + 1)  # the last entry is the end's
+        a = b = 0
+        for w in wide.tolist():
+            a, b = b, b + w
+            lo, hi, n = self.begin[a], self.begin[b], many[a:b]
+            x = weight[lo:hi]
+            x += beta.take(self.to[lo:hi], mode="wrap")
+            top = np.maximum.reduceat(x, self.begin[a:b] - lo)
+            owner = np.repeat(np.arange(w), n)
+            beta[a:b] = top + np.log(np.bincount(owner, weights=np.exp(x - top.take(owner))))
+            x -= beta[a:b].take(owner)
+        return np.exp(weight, out=weight)
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at quantile u."""
@@ -251,25 +302,23 @@ class Lattice:
         u, at = u.take(todo), e.take(todo)
         while len(todo):
             at += 1
-            more = u >= self.cdf.take(at)
+            more = np.flatnonzero(u >= self.cdf.take(at))
             e[todo] = at  # the last word stands
-            todo, u, at = todo[more], u[more], at[more]
+            todo, u, at = todo.take(more), u.take(more), at.take(more)
         return e
 
 
 def sample_paths(lat: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A path through every unit occurrence: (edges, begin of each occurrence's edges)."""
-    node, left = lat.first.take(unit), lat.size.take(unit)
-    live, steps, who = np.arange(len(unit)), [], []
+    node, live, steps, who = lat.first.take(unit), np.arange(len(unit)), [], []
     t = 0
     while len(live):
-        e = lat.pick(node, _uniform(key + np.uint64(t * int(C1) & (2**64 - 1))))
+        e = lat.pick(node, _uniform(key + np.uint64(t * int(C1) & M64)))
         steps.append(e)
         who.append(live)
-        length = lat.length.take(e)
-        node, left = node + length, left - length
-        on = left > 0
-        live, node, left, key = live[on], node[on], left[on], key[on]
+        node = lat.to.take(e)
+        on = np.flatnonzero(node >= 0)
+        live, node, key = live.take(on), node.take(on), key.take(on)
         t += 1
     count = np.zeros(len(unit), np.int64)
     for w in who:
@@ -277,13 +326,10 @@ def sample_paths(lat: Lattice, unit: np.ndarray, key: np.ndarray) -> tuple[np.nd
     begin = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(begin[-1], np.int64)
     for t, (w, e) in enumerate(zip(who, steps, strict=True)):
-        out[begin[w] + t] = e
+        out[begin.take(w) + t] = e
     return out, begin
 
 
-M64 = 2**64 - 1
-
-
 def _scalar(x: int) -> float:
     """_uniform of one number."""
     x = ((x ^ (x >> 30)) * int(C2)) & M64
@@ -295,13 +341,12 @@ def _scalar(x: int) -> float:
 class Search:
     """The samples found and the frontier of one text: occurrences lo..hi of the batch."""
 
-    def __init__(self, lat: Lattice, unit: np.ndarray, paths: list, lo: int, hi: int, seed: int):
-        self.lat, self.unit, self.paths, self.lo, self.hi, self.seed, self.draws = lat, unit, paths, lo, hi, seed, 0
+    def __init__(self, lat: Lattice, lo: int, hi: int, seed: int):
+        self.lat, self.lo, self.hi, self.seed, self.draws = lat, lo, hi, seed, 0
         self.found: list[tuple[np.ndarray, float, float]] = []
         self.fronts: list[dict] = []
-        edges, begin = paths[0]
-        self.path, self.fresh_from = edges[begin[lo]:begin[hi]], 0
-        self.owner = np.repeat(np.arange(lo, hi), np.diff(begin[lo:hi + 1]))
+        none = np.zeros(0, np.int64)
+        self.path, self.owner, self.fresh_from, self.since = none, none, 0, lo  # occurrences from `since` are still to be sampled
         self.top, self.kappa = -math.log(-math.log(self.draw())), -math.inf
 
     def draw(self) -> float:
@@ -318,7 +363,7 @@ class Search:
         self.best = tops.index(self.kappa)
 
     def go_on(self) -> bool:
-        """Make the next path from the largest frontier entry; False if there is none."""
+        """Begin the next path from the largest frontier entry, up to the end of a unit; False if there is none."""
         if not math.isfinite(self.kappa):
             return False
         lat, f = self.lat, self.fronts[self.best]
@@ -341,29 +386,38 @@ class Search:
             f["bound"][j] = loc - np.logaddexp(loc - self.top, math.log(-math.log(self.draw())))
         else:
             f["bound"][j] = -math.inf
-        # Finish the unit, then go on with the sample of this turn.
-        occ, added, node = int(f["owner"][j]), [e], own + int(lat.length[e])
-        end = int(lat.first[self.unit[occ]] + lat.size[self.unit[occ]])
-        while node < end:
+        occ, added, node = int(f["owner"][j]), [e], int(lat.to[e])
+        while node >= 0:
             x, u = int(lat.begin[node]), self.draw()
             while u >= lat.cdf[x]:
                 x += 1
             added.append(x)
-            node += int(lat.length[x])
-        edges, begin = self.paths[len(self.found)]
-        self.path = np.concatenate([f["path"][:j], added, edges[begin[occ + 1]:begin[self.hi]]]).astype(np.int64)
-        self.owner = np.concatenate([f["owner"][:j], np.full(len(added), occ), np.repeat(np.arange(occ + 1, self.hi), np.diff(begin[occ + 1:self.hi + 1]))])
-        self.fresh_from = j + 1
+            node = int(lat.to[x])
+        self.path = np.concatenate([f["path"][:j], added]).astype(np.int64)
+        self.owner = np.concatenate([f["owner"][:j], np.full(len(added), occ)])
+        self.fresh_from, self.since = j + 1, occ + 1
         return True
 
+    def finish(self, edges: np.ndarray, owner: np.ndarray) -> None:
+        """Go on with the sample of this turn: the edges of the occurrences still open, and whose they are."""
+        self.path, self.owner = (np.concatenate([self.path, edges]), np.concatenate([self.owner, owner])) if len(self.path) else (edges, owner)
+
 
-def search_all(lat: Lattice, live: list[Search], k: int) -> None:
+def search_all(lat: Lattice, unit: np.ndarray, key: np.ndarray, live: list[Search], k: int) -> None:
     """Run the searches together: a turn adds one path to each text, and the bounds of all its sets are drawn at once."""
     for turn in range(k):
+        open_ = np.array([s.hi - s.since for s in live], np.int64)
+        upto = np.cumsum(open_)
+        occ = np.arange(int(open_.sum())) + np.repeat(np.array([s.since for s in live], np.int64) - upto + open_, open_)
+        edges, begin = sample_paths(lat, unit.take(occ), key.take(occ) ^ np.uint64((turn + 1) * 0x632BE59BD9B4E019 & M64))
+        owner = np.repeat(occ, np.diff(begin))
+        for s, a, b in zip(live, begin.take(upto - open_).tolist(), begin.take(upto).tolist(), strict=True):
+            s.finish(edges[a:b], owner[a:b])
         sizes = np.array([len(s.path) for s in live], np.int64)
         ends = np.cumsum(sizes)
         path = np.concatenate([s.path for s in live]) if live else np.zeros(0, np.int64)
-        log = lat.log.take(path)
+        prob = lat.prob.take(path)
+        log = np.log(np.maximum(prob, 1e-300)).astype(np.float32)
         total = np.cumsum(log, dtype=np.float64)
         start = np.concatenate([[0.0], total])[ends - sizes]
         before = total - log - np.repeat(start, sizes)
@@ -372,11 +426,14 @@ def search_all(lat: Lattice, live: list[Search], k: int) -> None:
         fresh = sizes - since
         local = np.arange(int(fresh.sum())) - np.repeat(np.cumsum(fresh) - fresh - since, fresh)
         at = local + np.repeat(ends - sizes, fresh)
+        rest = 1.0 - prob.take(at)
+        some = np.flatnonzero(rest >= 1e-12)  # where the node's other edges have any mass
+        at, local, who = at.take(some), local.take(some), np.repeat(np.arange(len(live)), fresh).take(some)
         seeds = np.array([s.seed for s in live], np.uint64) ^ np.uint64((turn + 1) * 0xA0761D6478BD642F & M64)
-        u = _uniform(np.repeat(seeds, fresh) + C1 * (local.astype(np.uint64) + np.uint64(1)))
-        loc = before.take(at) + lat.rest.take(path.take(at))
+        u = _uniform(seeds.take(who) + C1 * (local.astype(np.uint64) + np.uint64(1)))
+        loc = before.take(at) + np.log(rest.take(some)).astype(np.float32)
         bound = np.full(len(path), -np.inf)
-        bound[at] = loc - np.logaddexp(loc - np.repeat(np.array([s.top for s in live]), fresh), np.log(-np.log(u)))
+        bound[at] = loc - np.logaddexp(loc - np.array([s.top for s in live]).take(who), np.log(-np.log(u)))
         for i, s in enumerate(live):
             b, e = ends[i] - sizes[i], ends[i]
             s.add(before[b:e], float(total[e - 1] - start[i]), bound[b:e])
@@ -389,22 +446,30 @@ def _row_seed(key, seed: int) -> int:
 
 def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples (piece ids, log p, perturbed log p, log inclusion probability)."""
-    words: dict[str, int] = defaultdict()
-    words.default_factory = words.__len__
-    held: list[int] = []
-    word_ends = [0]
+    # Texts as their words without the SPACE that each begins with, set apart by one space.
+    spelled = []
     for t in texts:
-        if t:
-            s = SPACE + (t.replace(SPACE, MARK) if SPACE in t else t).replace(" ", SPACE)
-            held.extend(map(words.__getitem__, v.word.findall(s)))
-        word_ends.append(len(held))
-    place: dict[str, int] = defaultdict()
-    place.default_factory = place.__len__
-    found, many = v.units(list(words)) if words else ([], np.zeros(0, np.int64))
-    unit_of_words = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-    lat = Lattice(list(place), v)
+        s = t.replace(SPACE, MARK) if t and SPACE in t else t
+        if s and (v.word is WHOLE or "  " in s or s[0] == " " or s[-1] == " "):
+            s = " ".join([w[1:] for w in v.word.findall(SPACE + s.replace(" ", SPACE))])
+        spelled.append(s.encode("utf-8", "surrogatepass") if s else None)
+    lists = pc.split_pattern(pa.array(spelled, pa.large_binary()), " ")
+    word_ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)])
+    held = lists.flatten().dictionary_encode()
+    word = held.indices.to_numpy().astype(np.int64)
+    upto, data = content(held.dictionary, np.uint8)
+    bare = points(data.tobytes().decode("utf-8", "surrogatepass"))
+    upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).take(upto) + np.arange(1, len(upto) + 1)  # in code points, with the SPACE
+    code = np.full(len(bare) + len(upto), ord(SPACE), np.uint32)
+    inner = np.ones(len(code), bool)
+    inner[np.concatenate([[0], upto])[:-1]] = False
+    code[inner] = bare
+    cuts = v.cuts(code, upto)
+    many = np.diff(np.searchsorted(cuts, upto, side="right"), prepend=0)
+    found = strings(cuts, code).dictionary_encode()
+    unit_of_words = found.indices.to_numpy().astype(np.int64)
+    lat = Lattice(found.dictionary, v)
     # Every word's units, in the order of the texts.
-    word = np.array(held, np.int64)
     per = many.take(word)
     after = np.cumsum(per)
     unit_a = unit_of_words.take(np.repeat((np.cumsum(many) - many).take(word) - after + per, per) + np.arange(int(per.sum())))
@@ -412,9 +477,8 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     own = np.array([_row_seed(key, seed) for key in keys], np.uint64)
     sizes = np.diff(ends)
     occ_key = np.repeat(own, sizes) + C2 * (np.arange(len(unit_a), dtype=np.uint64) - np.repeat(ends[:-1].astype(np.uint64), sizes))
-    paths = [sample_paths(lat, unit_a, occ_key ^ np.uint64((r + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) for r in range(k)]
-    searches = {i: Search(lat, unit_a, paths, int(ends[i]), int(ends[i + 1]), int(own[i] ^ C1)) for i in range(len(texts)) if sizes[i]}
-    search_all(lat, list(searches.values()), k)
+    searches = {i: Search(lat, int(ends[i]), int(ends[i + 1]), int(own[i] ^ C1)) for i in range(len(texts)) if sizes[i]}
+    search_all(lat, unit_a, occ_key, list(searches.values()), k)
     out = []
     for i in range(len(texts)):
         if sizes[i] == 0:

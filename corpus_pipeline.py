@@ -64,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every text; a null or empty text has one without pieces, repeated rows have equal ones."""
-    return piece_sampling.encode(docs, most_chars=1_000_000)  # executors hold the earlier stages' heap
+    return piece_sampling.encode(docs, most_chars=500_000)  # executors hold the earlier stages' heap
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", pieces)]

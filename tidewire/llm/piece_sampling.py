@@ -444,8 +444,8 @@ def _row_seed(key, seed: int) -> int:
     return xxhash.xxh64_intdigest(f"{key}", seed)
 
 
-def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples (piece ids, log p, perturbed log p, log inclusion probability)."""
+def units_of(texts: list[str | None], v: Vocabulary) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """(distinct units, the number of each unit of the texts in order, where each text's units begin and the last one's end)."""
     # Texts as their words without the SPACE that each begins with, set apart by one space.
     spelled = []
     for t in texts:
@@ -468,12 +468,17 @@ def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, see
     many = np.diff(np.searchsorted(cuts, upto, side="right"), prepend=0)
     found = strings(cuts, code).dictionary_encode()
     unit_of_words = found.indices.to_numpy().astype(np.int64)
-    lat = Lattice(found.dictionary, v)
     # Every word's units, in the order of the texts.
     per = many.take(word)
     after = np.cumsum(per)
-    unit_a = unit_of_words.take(np.repeat((np.cumsum(many) - many).take(word) - after + per, per) + np.arange(int(per.sum())))
-    ends = np.concatenate([[0], after]).take(word_ends)
+    own = unit_of_words.take(np.repeat((np.cumsum(many) - many).take(word) - after + per, per) + np.arange(int(per.sum())))
+    return found.dictionary, own, np.concatenate([[0], after]).take(word_ends)
+
+
+def encode_batch(keys: list, texts: list[str | None], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text its samples (piece ids, log p, perturbed log p, log inclusion probability)."""
+    distinct, unit_a, ends = units_of(texts, v)
+    lat = Lattice(distinct, v)
     own = np.array([_row_seed(key, seed) for key in keys], np.uint64)
     sizes = np.diff(ends)
     occ_key = np.repeat(own, sizes) + C2 * (np.arange(len(unit_a), dtype=np.uint64) - np.repeat(ends[:-1].astype(np.uint64), sizes))
@@ -507,6 +512,18 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, mode
     ship(docs.sparkSession)
     file = shipped(docs.sparkSession, model)
 
+    def encoded(part: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+        texts, keys = part.column("_t").to_pylist(), part.column("_id").to_pylist()
+        got = encode_batch(keys, texts, v, k, seed)
+        rows = [(i, s, *x) for i, samples in enumerate(got) for s, x in enumerate(samples)]
+        lens = np.array([len(r[2]) for r in rows], np.int64)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
+        ok = [x == (texts[r[0]] or "").encode() for r, x in zip(rows, v.decode_all(ids.values.to_numpy(), np.cumsum(lens)), strict=True)]
+        return pa.RecordBatch.from_arrays([
+            part.column("_id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(lens, pa.int32()), ids,
+            *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)], pa.array(ok, pa.bool_())],
+            names=["_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(SparkFiles.get(file), alpha)
         for batch in batches:
@@ -517,19 +534,9 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 17, alpha: float = 1.0, mode
                 while end < len(sizes) and (end == begin or held + sizes[end] <= most_chars):
                     held += sizes[end]
                     end += 1
-                part = batch.slice(begin, end - begin)
-                texts, keys = part.column("_t").to_pylist(), part.column("_id").to_pylist()
-                got = encode_batch(keys, texts, v, k, seed)
-                rows = [(i, s, *x) for i, samples in enumerate(got) for s, x in enumerate(samples)]
-                lens = np.array([len(r[2]) for r in rows], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
-                ok = [x == (texts[r[0]] or "").encode() for r, x in zip(rows, v.decode_all(ids.values.to_numpy(), np.cumsum(lens)), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("_id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(lens, pa.int32()), ids,
-                    *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)], pa.array(ok, pa.bool_())],
-                    names=["_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
+                yield encoded(batch.slice(begin, end - begin), v)  # what a part took is free before the next
                 begin = end
-            release()
+                release()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kind = rows.schema["_id"].dataType.simpleString()
